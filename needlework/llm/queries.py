@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing
+from . import bpe, chat, hilbert, language, packing, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    sharded = hilbert.hilbert_shards(docs, ["source", "lang", "n_chars"], n_shards=16, tie=["doc_id", "size", "text_crc32"])
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out()))
+    found = language.identify(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql("select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
@@ -44,6 +62,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op2_language_id": op2_language_id,
+    "op3_warc": op3_warc,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_packing": op7_packing,
     "op9_bpe": op9_bpe,
