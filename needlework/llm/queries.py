@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hilbert, language, packing, warc
+from . import bpe, chat, digest, hilbert, language, packing, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(), payload=packing.crc_payload, payload_type="ids_crc32 bigint")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_frame(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), digests=True)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_packing": op7_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
 }
 
