@@ -9,6 +9,8 @@ take a bounded number of windows into one task.
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -20,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import chunks_of, small
+from . import words
+from .bpe import small
 from .common import materialize
 
 #: Open windows that one task of a merging round takes.
@@ -59,13 +62,28 @@ class Packer:
         return {w: self.capacity - free for free, w in self.open}
 
 
-class TokenBytes(dict):
-    """Ids (unsigned 32-bit, little-endian) of pieces of text, by ``tokenizers``.
+#: Letters of ASCII and Latin-1 are 1, other ASCII but white space 2.
+_CLASSES = np.zeros(256, np.uint8)
+_CLASSES[0x21:0x7F] = 2
+_CLASSES[[*range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = 1
+_CLASSES[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x7F]] = 2
+#: What the tokenizer joins across classes, or reads otherwise in lower case.
+_ODD = (b"'", b"<|", b"\xc3\x97", b"\xc3\xb7")
+_NOT_LATIN = re.compile(rb"[\xc2\xc4-\xff]")
 
-    At most ``keep`` pieces are remembered.
+
+class TokenTable:
+    """Ids of texts by ``tokenizers``, through a hash table of pieces that came before.
+
+    Text of ASCII and Latin-1 letters is cut into runs of letters and runs of
+    other characters without white space; the tokenizer cuts there too. A run's
+    ids come from an open-addressing table over 64-bit hashes, and only runs
+    that it lacks go to the tokenizer. Other texts go there whole. Beyond
+    ``keep`` runs, those that the last batch lacks are forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -73,38 +91,114 @@ class TokenBytes(dict):
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix")
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
-
-    def learn(self, pieces: set[str]) -> None:
-        """Afterwards all of ``pieces`` are known."""
-        if len(self) + len(pieces) > self.keep:
-            self.clear()
-        new = [p for p in pieces if p not in self]
-        words = [p for p in new if p.isalpha() and p.isascii()]
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(words):  # a word each, since none has fewer than one
-            raw, ends = ids.astype("<u4").tobytes(), [0, *(ends * 4).tolist()]
-            self.update((w, raw[a:b]) for w, a, b in zip(words, ends, ends[1:], strict=False))
-        rest = [p for p in new if p not in self]
-        for piece, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self[piece] = np.array(found.ids, "<u4").tobytes()
-
-    def texts(self, texts: list[str], budget: int = 2_000_000) -> Iterator[bytes]:
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        self.slots = 1 << (2 * keep + (1 << 17)).bit_length()
+        self._reset()
+
+    def _reset(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.values = np.full(self.slots, -1, np.int32)
+        self.count, self.used = 0, 0
+        self.where = np.zeros((1 << 16, 2), np.int64)  # start and length in the blob
+        self.blob = np.zeros(1 << 18, np.uint32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash's run, or -1."""
+        found = np.full(len(h), -1, np.int64)
+        todo, at = np.arange(len(h)), (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            value, hit = self.values[at], self.keys[at] == h[todo]
+            found[todo[hit]] = value[hit]
+            on = ~hit & (value >= 0)
+            todo, at = todo[on], (at[on] + 1) & (self.slots - 1)
+        return found
+
+    def _add(self, h: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Different hashes that aren't in the table, with their ids end to end."""
+        n, size = len(h), len(ids)
+        while self.count + n > len(self.where):
+            self.where = np.concatenate([self.where, np.zeros_like(self.where)])
+        while self.used + size > len(self.blob):
+            self.blob = np.concatenate([self.blob, np.zeros_like(self.blob)])
+        self.blob[self.used : self.used + size] = ids
+        self.where[self.count : self.count + n, 0] = self.used + np.cumsum(lengths) - lengths
+        self.where[self.count : self.count + n, 1] = lengths
+        todo, at = np.arange(n), (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            free = self.values[at] < 0
+            self.values[at[free]] = todo[free] + self.count
+            won = self.values[at] == todo + self.count
+            self.keys[at[won]] = h[todo[won]]
+            todo, at = todo[~won], (at[~won] + 1) & (self.slots - 1)
+        self.count += n
+        self.used += size
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and how many each has."""
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        words = [k for k, p in enumerate(pieces) if p.isalpha()]
+        groups = [words[k : k + 50] for k in range(0, len(words), 50)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join([pieces[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):  # a word each, since none has fewer than one
+                a = 0
+                for k, b in zip(group, ends.tolist(), strict=True):
+                    out[k], a = ids[a:b], b
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(found.ids, np.uint32)
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
+
+    def texts(self, texts: list[str], budget: int = 1_000_000) -> Iterator[np.ndarray]:
+        """Ids (unsigned, 32 bit) of every text; ``budget`` bytes at a time, about."""
+        held: list[bytes | str] = []
+        size = 0
+        for text in texts:
+            raw = text.lower().encode("utf-8", "surrogatepass")
+            plain = len(raw) < 8 * budget and not _NOT_LATIN.search(raw) and not any(o in raw for o in _ODD)
+            held.append(raw if plain else text)
+            size += len(raw)
+            if size >= budget:
+                yield from self._batch(held)
+                held, size = [], 0
+        yield from self._batch(held)
+
+    def _batch(self, held: list[bytes | str]) -> Iterator[np.ndarray]:
+        raws = [r for r in held if isinstance(r, bytes)]
+        x = np.frombuffer(b"\n".join(raws), np.uint8)
+        starts, ends, _ = words.segments(x, _CLASSES)
+        h = words.hashes(x, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        found = self._find(h)
+        lacking = np.flatnonzero(found < 0)
+        if len(lacking):
+            new, first = np.unique(h[lacking], return_index=True)
+            at = lacking[first]
+            pieces = [x[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self._add(new, *self._encode(pieces))
+            found[lacking] = self._find(h[lacking])
+        lengths = self.where[found, 1]
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        take = np.repeat(self.where[found, 0] - sums[:-1], lengths) + np.arange(sums[-1])
+        ids = self.blob[take]
+        begins = np.cumsum([0, *[len(r) + 1 for r in raws]])
+        bounds = sums[np.searchsorted(starts, begins)]
+        if self.count > self.keep:
+            last, first = np.unique(found, return_index=True)
+            kept = [self.blob[a : a + n] for a, n in self.where[last].tolist()]
+            size = self.where[last, 1].copy()
+            self._reset()
+            self._add(h[first], np.concatenate(kept), size)
         k = 0
-        while k < len(texts):
-            split, size = [], 0
-            while k < len(texts) and (not split or size < budget):
-                split.append(chunks_of(texts[k]))
-                size += len(texts[k])
+        for r in held:
+            if isinstance(r, bytes):
+                yield ids[bounds[k] : bounds[k + 1]]
                 k += 1
-            self.learn({c for chunks in split for c in chunks})
-            for chunks in split:
-                yield b"".join(map(self.__getitem__, chunks))
+            else:
+                yield np.array(self.tokenizer.encode_batch_fast([r], add_special_tokens=False)[0].ids, np.uint32)
 
 
-_tokens: dict[str, TokenBytes] = {}
+_tokens: dict[str, TokenTable] = {}
 
 
 def ids_payload(ids: bytes) -> dict:
@@ -146,7 +240,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokens:
-            _tokens[tokenizer_path] = TokenBytes(tokenizer_path)
+            _tokens[tokenizer_path] = TokenTable(tokenizer_path)
         tokens, packer, part = _tokens[tokenizer_path], Packer(capacity, slots), TaskContext.get().partitionId()
         waiting: dict[int, list[dict]] = {}  # the pieces of the windows that are open
 
@@ -163,7 +257,7 @@ def pack(
                     shape = pa.schema([(id_col, some.schema.field(0).type), *zip(fields[1:], [pa.int64()] * 2 + extra + [pa.int64()] * 5, strict=True)])
                 rows: list[dict] = []
                 for doc, ids in zip(some.column(0).to_pylist(), tokens.texts([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    ids += tail
+                    ids = ids.astype("<u4").tobytes() + tail
                     n = len(ids) // 4
                     for start in range(0, n, capacity):
                         length = min(capacity, n - start)
