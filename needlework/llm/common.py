@@ -87,3 +87,48 @@ def budgeted(rows, size, limit: int):
             held, total = [], 0
     if held:
         yield held
+
+
+def first_of_key(slim: DataFrame, key: str, ident: str, salts: int = 64, extra: DataFrame | None = None) -> DataFrame:
+    """``slim`` with first_id, the smallest ``ident`` of the rows that share ``key``.
+
+    A key is first reduced in ``salts`` parts by its identifiers, so that a key
+    with a third of all rows doesn't meet in one task: what meets is a row per
+    part. ``extra`` (first_id and more columns, unique by first_id) is joined
+    before the result goes back to the rows.
+    """
+    rows = slim.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(salts)))
+    parts = rows.groupBy(key, "_salt").agg(F.min(ident).alias("first_id"))
+    whole = parts.groupBy(key).agg(F.min("first_id").alias("first_id"), F.collect_list("_salt").alias("_salt"))
+    if extra is not None:
+        whole = whole.join(extra, "first_id", "left")
+    return rows.join(whole.withColumn("_salt", F.explode("_salt")), [key, "_salt"]).drop("_salt")
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) of all nodes of ``edges`` (a, b: long); the component is its smallest node.
+
+    Every round contracts each node into its neighbour of least random rank, so
+    the graph shrinks by a constant factor however it is shaped. Rounds are
+    written to the shared folder. Edges are never collected.
+    """
+    spark = edges.sparkSession
+    live = edges.where("a <> b").select("a", "b").distinct()
+    live, path = materialize_at(live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label, label_path = materialize_at(live.select(F.col("a").alias("node"), F.col("a").alias("at")).distinct(), "labels")
+    for k in range(most_rounds):
+        if live.isEmpty():
+            break
+        rank = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("n"))
+        step = live.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("n"), F.least(F.col("m"), rank("a"))["n"].alias("to"))
+        step, step_path = materialize_at(step, "step")
+        moved = live.join(step.select(F.col("n").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("n").alias("b"), F.col("to").alias("y")), "b")
+        live, new_path = materialize_at(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        label, new_label = materialize_at(label.join(step.select(F.col("n").alias("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at")), "labels")
+        for old in (path, step_path, label_path):
+            remove(spark, old)
+        path, label_path = new_path, new_label
+    else:
+        raise RuntimeError("components did not settle")
+    least = materialize(label.groupBy("at").agg(F.min("node").alias("component")), "least")
+    return label.join(least, "at").select("node", "component")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, digest, hilbert, language, packing, warc
+from . import bpe, chat, digest, hilbert, language, packing, probminhash, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,6 +65,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_frame(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), digests=True)
 
 
+def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_language_id": op2_language_id,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
+    "op10_probminhash": op10_probminhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
