@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, digest, hilbert, language, packing, probminhash, substring, warc
+from . import bpe, chat, digest, hilbert, language, packing, probminhash, search, substring, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +37,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
+    "op4_topk_search": op4_topk_search,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_packing": op7_packing,
