@@ -40,13 +40,20 @@ def pattern_table(df_or_spark, patterns: PatternSet) -> DataFrame:
 def _keys(df: DataFrame, patterns: PatternSet, every: bool) -> DataFrame:
     """(key, pattern_id) of the literals, to be broadcast: a table of the driver's, no larger than the set."""
     rows = [(k, i) for k, ids in patterns.keys.items() for i in (ids if every else ids[:1])]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "key string, pattern_id int"))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "_key string, _pattern int"))
 
 
 def _names(df: DataFrame, keep: list[str] | None) -> list[Column]:
     return [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
 
 
+def _kept(df: DataFrame, col: str, keep: list[str] | None) -> list[str]:
+    keep = [c for c in df.columns if c != col] if keep is None else keep
+    if clash := {"pattern_id", "start", "end"} & set(keep):
+        raise ValueError(f"the result has columns of these names already: {sorted(clash)}")
+    return keep
+
+
 def nested(df: DataFrame, col: str, patterns: PatternSet, config: ScanConfig = ScanConfig(), into: str = "matches") -> DataFrame:
     """``df`` with an array of (pattern_id, start, end) by (start, pattern_id, end); empty for a null haystack."""
     binary = is_binary(df, col)
@@ -65,7 +72,7 @@ def scan(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None =
     ``max_matches`` fails the query if a row has that many or more;
     ``first_n`` stops after so many of a row.
     """
-    keep = [c for c in df.columns if c != col] if keep is None else keep
+    keep = _kept(df, col, keep)
     rows = df.select(*_names(df, keep), F.col(col).alias("_hay"))
     limits = max_matches is not None or first_n is not None
     if strategy(patterns, config) == NATIVE and len(patterns.keys) > MAP_PATTERNS and not limits:
@@ -82,7 +89,7 @@ def scan(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None =
 def _scan_joined(rows: DataFrame, keep: list[str], patterns: PatternSet, binary: bool) -> DataFrame:
     """Ids by a broadcast join on the matched text."""
     view = C.byte_view("_hay", binary)
-    kinds = "array<struct<text:string,end:bigint,id:int>>"
+    kinds = "array<struct<_text:string,_end:bigint,_id:int>>"
 
     def numbered(pattern_id: int | None) -> Callable[[Column], Column]:
         return lambda h: F.struct(h["text"].alias("text"), h["end"].alias("end"), F.lit(pattern_id).cast("int").alias("id"))
@@ -93,34 +100,33 @@ def _scan_joined(rows: DataFrame, keep: list[str], patterns: PatternSet, binary:
         return (F.concat(*parts) if len(parts) > 1 else parts[0]).cast(kinds)
 
     hits = rows.select(*_names(rows, keep), F.inline(C.let(view, found)))
-    key = F.when(F.col("id").isNull(), F.col("text"))
-    joined = hits.join(_keys(rows, patterns, every=False), key == F.col("key"), "left")
-    return joined.select(*_names(rows, keep), F.coalesce("id", "pattern_id").alias("pattern_id"), (F.col("end") - F.length("text")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    key = F.when(F.col("_id").isNull(), F.col("_text"))
+    joined = hits.join(_keys(rows, patterns, every=False), key == F.col("_key"), "left")
+    return joined.select(*_names(rows, keep), F.coalesce("_id", "_pattern").alias("pattern_id"), (F.col("_end") - F.length("_text")).cast("int").alias("start"), F.col("_end").cast("int").alias("end"))
 
 
-def scan_overlapping(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None = None, config: ScanConfig = ScanConfig(), max_matches: int | None = None) -> DataFrame:
+def scan_overlapping(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None = None, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Every occurrence of every literal (duplicates with all their ids); regexes as in ``scan``.
 
     Places where some literal begins come from one look-ahead; each candidate
     is then verified by a join on the bytes that follow, for every length that
     a literal has.
     """
-    keep = [c for c in df.columns if c != col] if keep is None else keep
+    keep = _kept(df, col, keep)
     binary = is_binary(df, col)
     rows = df.select(*_names(df, keep), F.col(col).alias("_hay"))
     regexes = PatternSet(tuple(p for p in patterns.patterns if p.pattern_id in {r.pattern_id for r in patterns.regexes}))
     if not patterns.keys:
-        return scan(df, col, patterns, keep, config, max_matches)
+        return scan(df, col, patterns, keep, config)
     lengths = F.array(*[F.lit(n) for n in sorted({len(k) for k in patterns.keys})])
-    starts = rows.select(*_names(rows, keep), F.inline(C.let(C.byte_view("_hay", binary), lambda v: C.overlapping_hits(v, patterns))))
-    tried = starts.select("*", F.explode(F.filter(lengths, lambda n: n <= F.length("window"))).alias("_n"))
-    keyed = tried.withColumn("key", C.fold(F.substring(F.col("window"), F.lit(1), F.col("_n")), patterns))
-    hits = keyed.join(_keys(df, patterns, every=True), "key").select(*_names(rows, keep), "pattern_id", F.col("start").cast("int").alias("start"), (F.col("start") + F.col("_n")).cast("int").alias("end"))
+    begins = C.let(C.byte_view("_hay", binary), lambda v: C.overlapping_hits(v, patterns)).cast("array<struct<_start:bigint,_window:string>>")
+    starts = rows.select(*_names(rows, keep), F.inline(begins))
+    tried = starts.select("*", F.explode(F.filter(lengths, lambda n: n <= F.length("_window"))).alias("_n"))
+    keyed = tried.withColumn("_key", C.fold(F.substring(F.col("_window"), F.lit(1), F.col("_n")), patterns))
+    hits = keyed.join(_keys(df, patterns, every=True), "_key").select(*_names(rows, keep), F.col("_pattern").alias("pattern_id"), F.col("_start").cast("int").alias("start"), (F.col("_start") + F.col("_n")).cast("int").alias("end"))
     if regexes.patterns:
         own = _regex_only(rows, keep, patterns, binary, config)
         hits = hits.unionByName(own)
-    if max_matches is not None:
-        raise ValueError("limit overlapping scans with max_per_source")
     return hits
 
 

@@ -56,7 +56,8 @@ class StreamScanner:
 
     def _exact(self, chunk: bytes, last: bool) -> list[tuple[int, int, int]]:
         data, out = self.buffer + chunk, []
-        sure = len(data) if last else len(data) - self.longest
+        # a place is certain once the longest match from it, and a byte to look ahead at, are here
+        sure = len(data) if last else len(data) - self.longest - bool(self.patterns.regexes)
         literal, ids, regexes = compiled(self.patterns)
         fold = bytes.lower if self.patterns.case_insensitive else bytes
         # a byte before the resumed place stays, for the looks behind
@@ -66,7 +67,7 @@ class StreamScanner:
             ended = -1
             while at <= len(data):
                 m = regex.search(data, at)
-                if m is None or (m.start() > sure if not last else False):
+                if m is None or m.start() > sure:
                     break
                 if m.end() == m.start() == ended:
                     at += 1
