@@ -33,29 +33,46 @@ FAN_IN = 8192
 class Packer:
     """Best-fit over at most ``slots`` open windows of ``capacity`` tokens.
 
-    ``place(length)`` returns (window, offset); ``closed`` tells which windows
-    can't grow any more. Windows are numbered from 0 in the order of opening.
+    Windows are numbered from 0 in the order of opening. A run that fits no
+    open window, when no more may be opened, is cut: its head fills the fullest,
+    which is emitted, if that takes ``least`` tokens or more; else the fullest
+    is emitted as it is.
     """
 
-    def __init__(self, capacity: int, slots: int):
-        self.capacity, self.slots = capacity, slots
+    def __init__(self, capacity: int, slots: int, least: int = 32):
+        self.capacity, self.slots, self.least = capacity, slots, least
         self.open: list[tuple[int, int]] = []  # (free, window), ascending
         self.opened = 0
 
-    def place(self, length: int) -> tuple[int, int]:
-        if not 0 < length <= self.capacity:
-            raise ValueError(f"a run of {length} tokens in windows of {self.capacity}")
-        k = bisect_left(self.open, (length, -1))
-        if k == len(self.open):
-            if len(self.open) == self.slots:
-                del self.open[0]  # the fullest goes out
-            free, window = self.capacity, self.opened
-            self.opened += 1
-        else:
-            free, window = self.open.pop(k)
-        if free > length:
-            insort(self.open, (free - length, window))
-        return window, self.capacity - free
+    def _new(self) -> int:
+        self.opened += 1
+        return self.opened - 1
+
+    def place(self, length: int) -> list[tuple[int, int, int]]:
+        """(window, offset, length) of the run's pieces, in order."""
+        if length < 1:
+            raise ValueError(f"a run of {length} tokens")
+        out = []
+        while length >= self.capacity:
+            out.append((self._new(), 0, self.capacity))
+            length -= self.capacity
+        while length:
+            k = bisect_left(self.open, (length, -1))
+            if k < len(self.open):
+                free, window = self.open.pop(k)
+            elif len(self.open) < self.slots:
+                free, window = self.capacity, self._new()
+            else:
+                free, window = self.open.pop(0)
+                if free >= self.least:
+                    out.append((window, self.capacity - free, free))
+                    length -= free
+                continue
+            out.append((window, self.capacity - free, length))
+            if free > length:
+                insort(self.open, (free - length, window))
+            length = 0
+        return out
 
     def leftovers(self) -> dict[int, int]:
         """Tokens by open window."""
@@ -214,7 +231,7 @@ def pack(
     tokenizer_path: str,
     end_id: int = 1,
     capacity: int = 2048,
-    slots: int = 128,
+    slots: int = 32,
     id_col: str = "doc_id",
     text_col: str = "text",
     payload: Callable[[bytes], dict] = ids_payload,
@@ -223,8 +240,9 @@ def pack(
     """One row per piece of a document, placed in a sequence of ``capacity`` tokens.
 
     Columns: ``id_col``, start, length, the payload's, doc_tokens, sequence_id,
-    offset. A document is its ids and ``end_id``; only those longer than a
-    window are cut, into whole windows and a rest. ``payload`` makes a piece's
+    offset. A document is its ids and ``end_id``; those longer than a window
+    are cut into whole windows and a rest, and a rest that fits nowhere fills
+    the fullest window first. ``payload`` makes a piece's
     further columns from its ids (unsigned 32-bit, little-endian): by default
     the ids themselves.
 
@@ -258,12 +276,11 @@ def pack(
                 rows: list[dict] = []
                 for doc, ids in zip(some.column(0).to_pylist(), tokens.texts([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     ids = ids.astype("<u4").tobytes() + tail
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        length = min(capacity, n - start)
-                        window, offset = packer.place(length)
+                    n, start = len(ids) // 4, 0
+                    for window, offset, length in packer.place(n):
                         piece = {id_col: doc, "start": start, "length": length, **payload(ids[4 * start : 4 * (start + length)]), "doc_tokens": n, "part": part, "window": window, "offset": offset, "left": 0}
                         waiting.setdefault(window, []).append(piece)
+                        start += length
                 still = packer.leftovers()
                 for window in [w for w in waiting if w not in still]:
                     rows += waiting.pop(window)
@@ -275,9 +292,10 @@ def pack(
 
     pieces = materialize(frame.mapInArrow(run, schema), "packed")
     done = pieces.where("left = 0").withColumn("sequence_id", _sequence(F.lit(0), "part", "window"))
-    open_ = pieces.where("left > 0").select("part", "window", "left").distinct()
-    where = merge_leftovers(open_, capacity, slots)
-    merged = pieces.where("left > 0").join(where, ["part", "window"]).withColumn("offset", F.col("offset") + F.col("base"))
+    open_ = pieces.where("left > 0").select("part", "window", F.col("offset").alias("place"), "length")
+    where = merge_leftovers(open_, capacity)
+    open_pieces = pieces.where("left > 0").withColumnRenamed("offset", "place")
+    merged = open_pieces.join(where, ["part", "window", "place"]).withColumnRenamed("base", "offset")
     columns = [F.col(f"`{id_col}`"), "start", "length", *names, "doc_tokens", "sequence_id", "offset"]
     return done.select(*columns).unionByName(merged.select(*columns))
 
@@ -287,36 +305,37 @@ def _sequence(level, part, window):
     return level * F.lit(1 << 58) + F.col(part) * F.lit(1 << 32) + F.col(window)
 
 
-def merge_leftovers(windows: DataFrame, capacity: int, slots: int, fan_in: int = FAN_IN) -> DataFrame:
-    """(part, window, sequence_id, base) for all open windows (part, window, left).
+def merge_leftovers(pieces: DataFrame, capacity: int, fan_in: int | None = None) -> DataFrame:
+    """(part, window, place, sequence_id, base) for all pieces of open windows (part, window, place, length).
 
-    A task of a round takes about ``fan_in`` windows at most, fullest first, and
-    packs them with as many slots. Rounds go on while more than one task is
-    needed and the number of windows falls.
+    A task of a round takes about ``fan_in`` of them at most, the longest first,
+    and packs them best-fit into windows; the next round does so with these.
+    Rounds go on while more than one task is needed and the number of windows
+    falls.
     """
-    spark = windows.sparkSession
-    found = materialize(windows, "leftovers").withColumns({"base": F.lit(0).cast("long"), "to_part": F.col("part"), "to_window": F.col("window"), "level": F.lit(0).cast("long")})
-    tops = found.select("to_part", "to_window", "left")
-    n, level = tops.count(), 0
+    fan_in = fan_in or FAN_IN
+    unit = F.col("window") * F.lit(capacity) + F.col("place")
+    found = materialize(pieces.withColumns({"base": F.lit(0).cast("long"), "to_part": F.col("part"), "to_window": unit, "level": F.lit(1).cast("long")}), "leftovers")
+    tops = found.select("to_part", "to_window", F.col("length").alias("left"))
+    n, level = tops.count(), 1
     while n > 1:
         level += 1
         groups = -(-n // fan_in)
         schema = "to_part bigint, to_window bigint, base bigint, new_part bigint, new_window bigint, left bigint"
 
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            packer = Packer(capacity, max(slots, fan_in))
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            packer = Packer(capacity, len(pdf))
             pdf = pdf.sort_values(["left", "to_part", "to_window"], ascending=[False, True, True])
-            placed = [packer.place(int(n)) for n in pdf["left"]]
-            out = pdf[["to_part", "to_window"]].assign(base=[o for _, o in placed], new_part=int(key[0]), new_window=[w for w, _ in placed])
+            placed = [packer.place(int(n))[0] for n in pdf["left"]]
             total: dict[int, int] = {}
-            for (w, _), n in zip(placed, pdf["left"], strict=True):
-                total[w] = total.get(w, 0) + int(n)
-            return out.assign(left=[total[w] for w, _ in placed])
+            for w, _, n in placed:
+                total[w] = total.get(w, 0) + n
+            return pdf[["to_part", "to_window"]].assign(base=[o for _, o, _ in placed], new_part=int(key[0]), new_window=[w for w, _, _ in placed], left=[total[w] for w, _, _ in placed])
 
         moved = materialize(tops.groupBy(F.pmod(F.xxhash64("to_part", "to_window"), F.lit(groups)).alias("g")).applyInPandas(run, schema), "merged")
         step = moved.select("to_part", "to_window", F.col("base").alias("more"), "new_part", "new_window")
         found = materialize(
-            found.join(step, ["to_part", "to_window"]).select("part", "window", (F.col("base") + F.col("more")).alias("base"), F.col("new_part").alias("to_part"), F.col("new_window").alias("to_window"), F.lit(level).cast("long").alias("level")),
+            found.join(step, ["to_part", "to_window"]).select("part", "window", "place", (F.col("base") + F.col("more")).alias("base"), F.col("new_part").alias("to_part"), F.col("new_window").alias("to_window"), F.lit(level).cast("long").alias("level")),
             "leftovers",
         )
         tops = moved.select(F.col("new_part").alias("to_part"), F.col("new_window").alias("to_window"), "left").distinct()
@@ -326,6 +345,4 @@ def merge_leftovers(windows: DataFrame, capacity: int, slots: int, fan_in: int =
         if fewer >= n * 0.95:
             break
         n = fewer
-    if found.isEmpty():
-        return spark.createDataFrame([], "part bigint, window bigint, base bigint, sequence_id bigint")
-    return found.select("part", "window", "base", _sequence(F.col("level"), "to_part", "to_window").alias("sequence_id"))
+    return found.select("part", "window", "place", "base", _sequence(F.col("level"), "to_part", "to_window").alias("sequence_id"))
