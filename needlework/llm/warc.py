@@ -166,6 +166,11 @@ def first_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
     return slim.join(whole.select("digest", "first_id", F.explode("salt").alias("salt")), ["digest", "salt"]).select("page_id", "digest", "first_id")
 
 
+def _key():
+    """The page's id as a key that is never null."""
+    return F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+
+
 def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, bundle_bytes: int = 16 << 20) -> None:
     """A WARC record per row of ``pages``, in bundles of about ``bundle_bytes``, as a table at ``path``.
 
@@ -176,11 +181,12 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     Other columns are ignored; an empty table gives an empty one.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest")).withColumn("key", _key())
     first = first_pages(pages.withColumn(id_col, F.col(id_col).cast("long")), id_col, payload_col, least_bytes)
-    joined = rows.alias("r").join(first.alias("f"), (F.col("r.digest") == F.col("f.digest")) & F.col("r.page_id").eqNullSafe(F.col("f.page_id")), "left").select("r.*", "f.first_id", F.col("f.digest").isNotNull().alias("linked"))
-    copy = F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url")) - 1
-    joined = joined.withColumn("copy", copy)
+    first = first.select("digest", _key().alias("key"), "first_id", F.lit(True).alias("linked"))
+    # the window has the join's keys, so the payloads are shuffled once
+    copy = F.row_number().over(W.partitionBy("digest", "key").orderBy("url")) - 1
+    joined = rows.join(first, ["digest", "key"], "left").withColumn("copy", copy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, writer = TaskContext.get().partitionId(), 0, BundleWriter()
