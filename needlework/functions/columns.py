@@ -39,19 +39,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def prefix_sums(lengths: Column) -> Column:
     """Running sums of an array of bigint, in blocks of the square root of its size."""
+    zero = F.array(F.lit(0).cast("long"))
 
-    def sums(values: Column) -> Column:
-        grown = F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    def running(values: Column) -> Column:
+        """0 and the sums; an array grows by copying, so it is for few values."""
+        return F.aggregate(values, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    def blocks(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v["all"]) - 1) / v["width"]).cast("int")), lambda k: F.slice(v["all"], k * v["width"] + 1, v["width"]))
+        return let(parts, lambda own: let(running(F.transform(own, total)), lambda before: F.flatten(F.transform(own, lambda a, i: shifted(a, before[i])))))
+
+    def shifted(values: Column, by: Column) -> Column:
+        grown = F.aggregate(values, F.array(by), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
         return F.slice(grown, 2, F.size(values))
 
-    def blocks(width: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / width).cast("int")), lambda k: F.slice(lengths, k * width + 1, width))
-        own = F.transform(parts, sums)
-        before = let(sums(F.transform(own, lambda a: F.element_at(a, -1))), lambda s: F.concat(F.array(F.lit(0).cast("long")), s))
-        return let(F.struct(own.alias("own"), before.alias("before")), lambda v: F.flatten(F.transform(v["own"], lambda a, i: F.transform(a, lambda x: x + v["before"][i]))))
+    def sums(own: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(own).cast("double"))).cast("int")
+        return F.when(F.size(own) == 0, own).otherwise(let(F.struct(own.alias("all"), width.alias("width")), blocks))
 
-    empty = F.array().cast("array<bigint>")
-    return F.when(F.size(lengths) == 0, empty).otherwise(let(F.ceil(F.sqrt(F.size(lengths).cast("double"))).cast("int"), blocks))
+    return let(lengths, sums)
 
 
 def regex_hits(view: Column, regex: str) -> Column:

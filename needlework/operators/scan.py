@@ -1,5 +1,8 @@
 """Scans: DataFrame in, one row per match (or per source) out.
 
+Counts, tests, flags and first matches are built-in expressions; rows of matches
+come from Arrow batches or, in the native strategy, from built-in functions.
+
 All are lazy plans over the given rows: no shuffle, no unique identifier
 needed, the table is read once. A null haystack has no match.
 """
@@ -17,7 +20,7 @@ from ..functions import columns as C
 from ..plans.patterns import HotSwapPatternSet, PatternSet
 from ..plans.planner import MAP_PATTERNS, NATIVE, ScanConfig, strategy
 from ..types import MATCHES, PATTERN_SCHEMA
-from .arrow import matches_arrow
+from .arrow import matches_arrow, scan_rows
 
 
 class Scanner(Protocol):
@@ -69,13 +72,17 @@ def scan(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None =
 
     Literals: at the leftmost start the longest, of duplicates the lowest id.
     Regexes: each by itself, leftmost-first, without overlaps of its own.
-    ``max_matches`` fails the query if a row has that many or more;
+    Rows of matches are made in Arrow batches unless the native strategy is
+    asked for. ``max_matches`` fails the query if a row has that many or more;
     ``first_n`` stops after so many of a row.
     """
     keep = _kept(df, col, keep)
     rows = df.select(*_names(df, keep), F.col(col).alias("_hay"))
     limits = max_matches is not None or first_n is not None
-    if strategy(patterns, config) == NATIVE and len(patterns.keys) > MAP_PATTERNS and not limits:
+    if strategy(patterns, config) != NATIVE or config.strategy == "auto":
+        if not limits:
+            return scan_rows(rows.withColumn("_hay", F.col("_hay").cast("binary")), keep, patterns)
+    elif len(patterns.keys) > MAP_PATTERNS and not limits:
         return _scan_joined(rows, keep, patterns, is_binary(df, col))
     found = nested(rows, "_hay", patterns, config, "_found")
     own = F.col("_found")
@@ -109,8 +116,8 @@ def scan_overlapping(df: DataFrame, col: str, patterns: PatternSet, keep: list[s
     """Every occurrence of every literal (duplicates with all their ids); regexes as in ``scan``.
 
     Places where some literal begins come from one look-ahead; each candidate
-    is then verified by a join on the bytes that follow, for every length that
-    a literal has.
+    is then verified by a lookup (in the native strategy, a join) of the bytes
+    that follow, for every length that a literal has.
     """
     keep = _kept(df, col, keep)
     binary = is_binary(df, col)
@@ -118,6 +125,8 @@ def scan_overlapping(df: DataFrame, col: str, patterns: PatternSet, keep: list[s
     regexes = PatternSet(tuple(p for p in patterns.patterns if p.pattern_id in {r.pattern_id for r in patterns.regexes}))
     if not patterns.keys:
         return scan(df, col, patterns, keep, config)
+    if config.strategy != NATIVE:
+        return scan_rows(rows.withColumn("_hay", F.col("_hay").cast("binary")), keep, patterns, every=True)
     lengths = F.array(*[F.lit(n) for n in sorted({len(k) for k in patterns.keys})])
     begins = C.let(C.byte_view("_hay", binary), lambda v: C.overlapping_hits(v, patterns)).cast("array<struct<_start:bigint,_window:string>>")
     starts = rows.select(*_names(rows, keep), F.inline(begins))

@@ -75,6 +75,8 @@ def test_golden(spark, case):
     if plain is not None:
         assert sorted(scan_bytes(raw, own)) == sorted((s, i, e) for i, s, e in plain)
         assert rows(S.scan(df, "hay", own)) == plain
+        if strategy(own) == "native":
+            assert rows(S.scan(df, "hay", own, config=ScanConfig(strategy="native"))) == plain
         assert S.scan_count(df, "hay", own).first()["n_matches"] == len(plain)
         first = S.first_match(df, "hay", own).first()["first_match"]
         assert (tuple(first) if first else None) == (plain[0] if plain else None)
@@ -107,7 +109,7 @@ def test_random_bytes(spark, seed):
         joined = S._scan_joined(df.select("id", df["hay"].alias("_hay")), ["id"], own, True)
         assert sorted((r["id"], r["pattern_id"], r["start"], r["end"]) for r in joined.collect()) == want
         want = sorted((i, *m) for i, t in enumerate(texts) for m in overlapping(low(t), [low(x) for x in literals]))
-        for found in (S.scan_overlapping(df, "hay", own), chunk.scan_chunked(df, "hay", own, ["id"], ScanConfig().with_chunk_bytes(3))):
+        for found in (S.scan_overlapping(df, "hay", own), S.scan_overlapping(df, "hay", own, config=ScanConfig(strategy="native")), chunk.scan_chunked(df, "hay", own, ["id"], ScanConfig().with_chunk_bytes(3))):
             assert sorted((r["id"], r["pattern_id"], r["start"], r["end"]) for r in found.collect()) == want
 
 
