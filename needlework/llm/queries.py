@@ -92,6 +92,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        with rows as (select page_id, encode(coalesce(html, '')) as payload from pages),
+        firsts as (select *, sha1(payload) as h, min(page_id) over (partition by payload) as first_id from rows),
+        five as (select *, list_transform(range(8), lambda g: cast('0x' || substr(h, 1 + 5 * g, 5) as bigint)) as v from firsts)
+        select page_id, octet_length(payload) as payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 as bigint), 1)), 'string_agg', '') as payload_digest,
+            case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to
+        from five
+    """,
     "op6_chat_formatting": """
         with rows as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
