@@ -52,6 +52,37 @@ def overlapping(data: bytes, patterns: PatternSet) -> Iterator[tuple[int, int, i
                 yield s, i, s + n
 
 
+def shortest_all(data: bytes, patterns: PatternSet) -> list[tuple[int, int, int]]:
+    """At each start the shortest literal that matches, with all ids of it; goes on at its end."""
+    out, at = [], 0
+    for s, i, e in overlapping(data, patterns):
+        if s >= at or (out and out[-1][0] == s and out[-1][2] == e):
+            out.append((s, i, e))
+            at = e
+    return out
+
+
+def needle_by_needle(data: bytes, patterns: PatternSet) -> list[tuple[int, int, int]]:
+    """Each literal's own non-overlapping hits; of those that overlap the leftmost, then longest, then lowest id."""
+    low = data.lower() if patterns.case_insensitive else data
+    found = []
+    for i, raw in patterns.literals:
+        raw = raw.lower() if patterns.case_insensitive else raw
+        at = low.find(raw)
+        while at >= 0:
+            found.append((at, -len(raw), i))
+            at = low.find(raw, at + len(raw))
+    out, at = [], 0
+    for s, n, i in sorted(found):
+        if s >= at:
+            out.append((s, i, s - n))
+            at = s - n
+    return out
+
+
+COMPAT = {"shortest_all": shortest_all, "needle_by_needle": needle_by_needle}
+
+
 def spans(regex: re.Pattern, data: bytes):
     """Non-overlapping matches; an empty one right after another match doesn't count."""
     at, last = 0, -1
@@ -92,7 +123,7 @@ def matches_arrow(c: Column, patterns: PatternSet) -> Column:
 ROWS = 256
 
 
-def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: bool = False) -> DataFrame:
+def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: bool = False, compat: str | None = None) -> DataFrame:
     """``keep``, pattern_id, start, end for every match in the last column, a binary one; with ``every``, overlapping literals. Nothing is shuffled."""
     numbers = ["pattern_id", "start", "end"]
     schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], *[T.StructField(c, T.IntegerType()) for c in numbers]])
@@ -102,8 +133,8 @@ def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: boo
         fold = bytes.lower if patterns.case_insensitive else None
 
         def all_of(value: bytes) -> Iterator[tuple[int, int, int]]:
-            if every:
-                yield from overlapping(value, patterns)
+            if every or compat:
+                yield from (COMPAT[compat] if compat else overlapping)(value, patterns)
                 for i, regex in regexes:
                     yield from ((s, i, e) for s, e in spans(regex, value))
             else:
@@ -115,7 +146,7 @@ def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: boo
                 counts, found, starts, ends = [], [], [], []
                 for value in part.column(part.num_columns - 1).to_pylist():
                     before = len(found)
-                    if value is not None and (regexes or every):
+                    if value is not None and (regexes or every or compat):
                         for s, i, e in all_of(value):
                             found.append(i)
                             starts.append(s)

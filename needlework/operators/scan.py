@@ -80,8 +80,10 @@ def scan(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None =
     rows = df.select(*_names(df, keep), F.col(col).alias("_hay"))
     limits = max_matches is not None or first_n is not None
     if strategy(patterns, config) != NATIVE or config.strategy == "auto":
+        if config.compat and limits:
+            raise ValueError("limits are for the leftmost-longest rule")
         if not limits:
-            return scan_rows(rows.withColumn("_hay", F.col("_hay").cast("binary")), keep, patterns)
+            return scan_rows(rows.withColumn("_hay", F.col("_hay").cast("binary")), keep, patterns, compat=config.compat)
     elif len(patterns.keys) > MAP_PATTERNS and not limits:
         return _scan_joined(rows, keep, patterns, is_binary(df, col))
     found = nested(rows, "_hay", patterns, config, "_found")

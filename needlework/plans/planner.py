@@ -15,9 +15,15 @@ NATIVE_PATTERNS = 20_000
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """``strategy``: auto, native (built-in functions) or arrow (Python's engine in Arrow batches)."""
+    """``strategy``: auto, native (built-in functions) or arrow (Python's engine in Arrow batches).
+
+    ``compat`` gives literals another rule than leftmost-longest: shortest_all
+    (at each start the shortest, with all its ids) or needle_by_needle (hits of
+    each literal first, then the leftmost and longest of them).
+    """
 
     strategy: str = "auto"
+    compat: str | None = None
     chunk_bytes: int = 1 << 20
     overlap: int = 4096
     max_matches: int = 1 << 20
@@ -40,10 +46,14 @@ def strategy(patterns: PatternSet, config: ScanConfig = ScanConfig()) -> str:
     """Native unless a regex can be empty or would recurse in Java, or the set is very large."""
     if config.strategy not in ("auto", NATIVE, ARROW):
         raise ValueError(f"unknown strategy {config.strategy}")
+    if config.compat not in (None, "shortest_all", "needle_by_needle"):
+        raise ValueError(f"unknown rule {config.compat}")
+    if config.compat and config.strategy == NATIVE:
+        raise ValueError("the native strategy is leftmost-longest")
     if config.strategy == NATIVE and not patterns.native:
         raise ValueError("a regex of the set can't run in the native strategy")
-    if config.strategy != "auto":
-        return config.strategy
+    if config.strategy != "auto" or config.compat:
+        return ARROW if config.compat else config.strategy
     return NATIVE if patterns.native and len(patterns.keys) <= NATIVE_PATTERNS else ARROW
 
 

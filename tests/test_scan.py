@@ -275,6 +275,18 @@ def test_hot_swap_and_udtf(spark):
     assert rows(spark.sql("select pattern_id, start, end from hays, lateral scan_test(encode(hay, 'utf-8'))")) == [(0, 1, 2)]
 
 
+def test_compat(spark):
+    df = spark.createDataFrame([(1, "xaaa"), (2, "abcabc")], "id int, hay string")
+    multi = lambda *p: sorted((r["id"], r["pattern_id"], r["start"], r["end"]) for r in S.scan(df, "hay", make(p), config=ScanConfig(compat="needle_by_needle")).collect())
+    short = lambda *p: sorted((r["id"], r["pattern_id"], r["start"], r["end"]) for r in S.scan(df, "hay", make(p), config=ScanConfig(compat="shortest_all")).collect())
+    assert multi("xa", "aa") == [(1, 0, 0, 2)]
+    assert multi("ab", "abc") == [(2, 1, 0, 3), (2, 1, 3, 6)]
+    assert short("abc", "ab", "ab", "bc") == [(2, 1, 0, 2), (2, 1, 3, 5), (2, 2, 0, 2), (2, 2, 3, 5)]
+    with pytest.raises(ValueError):
+        S.scan(df, "hay", make(["a"]), config=ScanConfig(compat="other"))
+    assert [r["n"] for r in df.select(C.byte_count("hay", 97).alias("n")).collect()] == [3, 2]
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("aé foobar", b"\xff"), (None, None)], "t string, b binary")
     got = df.select(C.fnv1a32(F_lit("foobar")).alias("h"), C.fnv1a32(F_lit("")).alias("e"), C.redact("t", make(["foo", "é"]), "$1").alias("r"), C.match_texts("t", make(["é"])).alias("m")).first()
