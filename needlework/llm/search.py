@@ -32,10 +32,12 @@ from .common import materialize_at, remove, scratch_path
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Limits of a shard.
-SHARD_DOCS, SHARD_POSTINGS = 1 << 16, 3_000_000
+SHARD_DOCS, SHARD_POSTINGS = 1 << 16, 2_000_000
 #: Terms of the queries that are searched at once, about; so much is broadcast.
 QUERY_TERMS = 1_000_000
 DECIMALS, MARGIN = 6, 1e-5
+#: What the terms after the last one tried may add at most, as a share of a known threshold.
+PAST_PIVOT = 0.2
 #: Shares of the sum of upper bounds after which the pivot is looked for.
 _STEPS = (0.35, 0.6, 0.8, 0.92)
 
@@ -83,25 +85,30 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Shard:
-    """An index in memory, its impacts for a mean length."""
+    """An index in memory, its impacts for a mean length; by term, and by document for scoring in full."""
 
     def __init__(self, row: dict, mean_length: float):
         self.ids = np.frombuffer(row["ids"], np.int64)
         lengths = np.frombuffer(row["lengths"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
-        self.docs = np.frombuffer(row["posting_docs"], np.uint16).astype(np.int64)
-        counts = np.frombuffer(row["posting_counts"], np.uint32).astype(np.float64)
-        self.impacts = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * lengths / max(mean_length, 1e-9)))[self.docs])
-        self.most = np.maximum.reduceat(self.impacts, self.offsets[:-1]) if len(self.terms) else np.zeros(0)
+        self.docs = np.frombuffer(row["posting_docs"], np.uint16)
+        self.impacts = np.frombuffer(row["posting_counts"], np.uint32).astype(np.float64)
+        norms = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
+        self.impacts *= (K1 + 1) / (self.impacts + norms[self.docs])
+        self.weights = np.zeros(len(self.terms))
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.offsets))
         # block maxima: runs of one term and one block
-        block, size = self.docs // BLOCK, np.diff(self.offsets)
-        term = np.repeat(np.arange(len(self.terms)), size)
+        block = (self.docs // BLOCK).astype(np.int32)
         heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.block_of = block[heads]
+        self.block_of, self.blocks = block[heads], -(-len(self.ids) // BLOCK)
         self.block_most = np.maximum.reduceat(self.impacts, heads) if len(heads) else np.zeros(0)
         self.block_offsets = np.searchsorted(term[heads], np.arange(len(self.terms) + 1))
-        self.blocks = -(-len(self.ids) // BLOCK)
+        self.most = np.maximum.reduceat(self.impacts, self.offsets[:-1]) if len(self.terms) else np.zeros(0)
+        # the same postings by document
+        order = np.argsort(self.docs, kind="stable")
+        self.doc_terms, self.doc_impacts = term[order], self.impacts[order]
+        self.doc_offsets = np.searchsorted(self.docs[order], np.arange(len(self.ids) + 1))
 
     @staticmethod
     def _gather(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,26 +118,36 @@ class Shard:
         return np.repeat(offsets[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
 
     def _add(self, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        at, sizes = self._gather(self.offsets, which)
-        return np.bincount(self.docs[at], self.impacts[at] * np.repeat(weights, sizes), len(self.ids))
+        """What the chosen terms add to every document."""
+        spans = list(zip(self.offsets[which].tolist(), self.offsets[which + 1].tolist(), strict=True))
+        docs = np.concatenate([self.docs[a:b] for a, b in spans])
+        impacts = np.concatenate([self.impacts[a:b] for a, b in spans])
+        impacts *= np.repeat(weights, [b - a for a, b in spans])
+        return np.bincount(docs, impacts, len(self.ids))
 
     def _block_bounds(self, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
         at, sizes = self._gather(self.block_offsets, which)
         return np.bincount(self.block_of[at], self.block_most[at] * np.repeat(weights, sizes), self.blocks)
 
+    def _full(self, docs: np.ndarray, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of the given documents by all terms of the query."""
+        self.weights[which] = weights
+        at, sizes = self._gather(self.doc_offsets, docs)
+        total = np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weights[self.doc_terms[at]] * self.doc_impacts[at], len(docs))
+        self.weights[which] = 0
+        return total
+
     def _rest(self, docs: np.ndarray, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the chosen terms add to the given documents."""
-        total = np.zeros(len(docs))
-        for t, w in zip(which.tolist(), weights.tolist(), strict=True):
-            a, b = self.offsets[t], self.offsets[t + 1]
+        """What the chosen terms add to the given documents (ascending)."""
+        total, docs = np.zeros(len(docs)), docs.astype(np.uint16)
+        for a, b, w in zip(self.offsets[which].tolist(), self.offsets[which + 1].tolist(), weights.tolist(), strict=True):
             own = self.docs[a:b]
-            k = np.minimum(np.searchsorted(own, docs), b - a - 1)
-            hit = own[k] == docs
-            total[hit] += w * self.impacts[a:b][k[hit]]
+            k = np.minimum(own.searchsorted(docs), b - a - 1)
+            total += np.where(own[k] == docs, w * self.impacts[a + k], 0.0)
         return total
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best ``k`` documents, best first."""
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best ``k`` documents, best first; such as have less than ``floor`` may be left out."""
         none = np.zeros(0, np.int64), np.zeros(0)
         if not len(self.terms) or not len(terms):
             return none
@@ -141,27 +158,38 @@ class Shard:
             return none
         bound = weights * self.most[at]
         order = np.argsort(-bound, kind="stable")
-        at, weights, bound = at[order], weights[order], bound[order]
-        sums = np.cumsum(bound)
-        steps = np.unique(np.append(np.searchsorted(sums, [s * sums[-1] for s in _STEPS]) + 1, len(at)))
-        scores, done, docs = np.zeros(len(self.ids)), 0, None
-        for step in np.minimum(steps, len(at)).tolist():
+        at, weights = at[order], weights[order]
+        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)  # bounds of the terms from here on
+        least = floor - MARGIN
+        if rest[0] < least:
+            return none
+        steps = [int(np.searchsorted(-rest, -s * rest[0])) for s in _STEPS] if floor <= 0 else []
+        # past the known threshold's pivot, to where the documents reached before it need a part of it
+        steps = sorted({*steps, int(np.searchsorted(-rest, -PAST_PIVOT * least, "right")) if floor > 0 else len(at), len(at)})
+        scores, done = np.zeros(len(self.ids)), 0
+        for step in steps:
+            step = min(max(step, 1), len(at))
             if step > done:
                 scores += self._add(at[done:step], weights[done:step])
                 done = step
-            if done == len(at):
-                break
-            least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-            if sums[-1] - sums[done - 1] < least - MARGIN:  # the pivot is here
-                docs = np.flatnonzero(scores + (sums[-1] - sums[done - 1]) >= least - MARGIN)
-                docs = docs[scores[docs] + self._block_bounds(at[done:], weights[done:])[docs // BLOCK] >= least - MARGIN]
+            if floor <= 0 and done < len(at) and len(scores) > k:
+                least = np.partition(scores, -k)[-k] - MARGIN
+            if rest[done] < least:
                 break
-        if docs is None:
-            docs = np.flatnonzero(scores > 0)
-            total = scores[docs]
+        docs = np.flatnonzero(scores + rest[done] >= least) if done < len(at) else np.flatnonzero((scores > 0) & (scores >= least))
+        if done < len(at):
+            if len(docs) > 4 * k:  # the k-th best so far may say more
+                least = max(least, np.partition(scores[docs], -k)[-k] - MARGIN)
+                docs = docs[scores[docs] + rest[done] >= least]
+                docs = docs[scores[docs] + self._block_bounds(at[done:], weights[done:])[docs // BLOCK] >= least]
+            # by the documents' own lists or by those of the terms left, whichever is less to read
+            if (self.doc_offsets[docs + 1] - self.doc_offsets[docs]).sum() < 500 * (len(at) - done):
+                total = self._full(docs, at, weights)
+            else:
+                total = scores[docs] + self._rest(docs, at[done:], weights[done:])
+            total = np.round(total, DECIMALS)
         else:
-            total = scores[docs] + self._rest(docs, at[done:], weights[done:])
-        total = np.round(total, DECIMALS)
+            total = np.round(scores[docs], DECIMALS)
         if len(docs) > k:
             keep = total >= np.partition(total, -k)[-k]
             docs, total = docs[keep], total[keep]
@@ -207,18 +235,22 @@ def _search_block(index: DataFrame, rows: list, terms: np.ndarray, idf: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, starts, flat, terms, idf = held.value
+        best: list[list[tuple[float, int]]] = [[] for _ in ids]  # of all shards so far: (-score, id)
         for batch in batches:
             for n in range(batch.num_rows):
                 shard = Shard(batch.slice(n, 1).to_pylist()[0], mean_length)
-                queries, docs, scores = [], [], []
-                for q, a, b in zip(ids, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    found, score = shard.search(terms[flat[a:b]], idf[flat[a:b]], k)
-                    queries += [q] * len(found)
-                    docs.append(found)
-                    scores.append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(scores), pa.float64())], ["query_id", "doc_id", "score"])
-
-    return index.drop("docs", "words").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+                for q, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                    own = best[q]
+                    docs, scores = shard.search(terms[flat[a:b]], idf[flat[a:b]], k, -own[-1][0] if len(own) == k else 0.0)
+                    if len(docs):
+                        best[q] = sorted([*own, *zip((-scores).tolist(), docs.tolist(), strict=True)])[:k]
+        rows = [(i, doc, -score) for i, own in zip(ids, best, strict=True) for score, doc in own]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
+
+    # a task takes several shards, the later of which profit from the thresholds of the earlier
+    tasks = 2 * index.sparkSession.sparkContext.defaultParallelism
+    return index.drop("docs", "words").coalesce(tasks).mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text") -> DataFrame:

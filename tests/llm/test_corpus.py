@@ -108,8 +108,8 @@ def test_pruning_is_used():
     shard = search.Shard(row, lengths.mean())
     idf = np.log1p((3000 - np.diff(shard.offsets) + 0.5) / (np.diff(shard.offsets) + 0.5))
     tried = []
-    rest = shard._rest
-    shard._rest = lambda docs, *a: tried.append(len(docs)) or rest(docs, *a)
+    for name in ("_full", "_rest"):
+        setattr(shard, name, lambda docs, *a, f=getattr(shard, name): tried.append(len(docs)) or f(docs, *a))
     for q in range(50):
         terms = found[q][0]
         at = np.searchsorted(shard.terms, terms)
@@ -117,6 +117,9 @@ def test_pruning_is_used():
         full = np.round(shard._add(at, idf[at]), search.DECIMALS)
         best = np.lexsort((np.arange(3000), -full))[:10]
         assert ids.tolist() == best.tolist() and np.allclose(scores, full[best], atol=2e-6)
+        floor = float(scores[4])
+        ids, scores = shard.search(terms, idf[at], 10, floor)
+        assert [i for i, s in zip(ids.tolist(), scores, strict=True) if s >= floor] == [i for i in best.tolist() if full[i] >= floor]
     assert tried and np.mean(tried) < 1500
 
 
