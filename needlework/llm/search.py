@@ -38,15 +38,16 @@ QUERY_TERMS = 1_000_000
 DECIMALS, MARGIN = 6, 1e-5
 #: What the terms after the last one tried may add at most, as a share of a known threshold.
 PAST_PIVOT = 0.2
-#: Shares of the sum of upper bounds after which the pivot is looked for.
-_STEPS = (0.35, 0.6, 0.8, 0.92)
+#: Share of the upper bounds whose terms find the first documents to take a threshold from.
+FIRST_TERMS = 0.35
 
 _INDEX = "docs bigint, words bigint, ids binary, lengths binary, terms binary, offsets binary, posting_docs binary, posting_counts binary"
 
 
 def terms_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Different terms (hashes, ascending) and their counts."""
-    return np.unique(words.words_of(text)[3], return_counts=True)
+    terms, counts = np.unique(words.words_of(text)[3], return_counts=True)
+    return terms, counts.astype(np.uint32)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,14 +58,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def shard(ids: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         sizes = np.array([len(t) for t, _ in found], np.int64)
-        lengths = np.array([c.sum() for _, c in found], np.int64)
+        lengths = np.array([c.sum(dtype=np.int64) for _, c in found], np.int64)
         term = np.concatenate([t for t, _ in found])
         count = np.concatenate([c for _, c in found])
-        doc = np.repeat(np.arange(len(ids)), sizes)
+        doc = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
         order = np.argsort(term, kind="stable")
         term, count, doc = term[order], count[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        row = [len(ids), int(lengths.sum()), np.array(ids, np.int64), lengths, term[first], np.append(first, len(term)), doc.astype(np.uint16), np.minimum(count, 2**32 - 1).astype(np.uint32)]
+        row = [len(ids), int(lengths.sum()), np.array(ids, np.int64), lengths, term[first], np.append(first, len(term)), doc, count]
         return pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, int) else x.tobytes()], t) for x, t in zip(row, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +147,12 @@ class Shard:
             total += np.where(own[k] == docs, w * self.impacts[a + k], 0.0)
         return total
 
+    def _whole(self, docs: np.ndarray, scores: np.ndarray, at: np.ndarray, weights: np.ndarray, done: int) -> np.ndarray:
+        """Scores of the given documents: by their own lists or by those of the terms left, whichever is less to read."""
+        if (self.doc_offsets[docs + 1] - self.doc_offsets[docs]).sum() < 500 * (len(at) - done):
+            return self._full(docs, at, weights)
+        return scores[docs] + self._rest(docs, at[done:], weights[done:])
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k`` documents, best first; such as have less than ``floor`` may be left out."""
         none = np.zeros(0, np.int64), np.zeros(0)
@@ -163,31 +170,27 @@ class Shard:
         least = floor - MARGIN
         if rest[0] < least:
             return none
-        steps = [int(np.searchsorted(-rest, -s * rest[0])) for s in _STEPS] if floor <= 0 else []
-        # past the known threshold's pivot, to where the documents reached before it need a part of it
-        steps = sorted({*steps, int(np.searchsorted(-rest, -PAST_PIVOT * least, "right")) if floor > 0 else len(at), len(at)})
         scores, done = np.zeros(len(self.ids)), 0
-        for step in steps:
-            step = min(max(step, 1), len(at))
-            if step > done:
-                scores += self._add(at[done:step], weights[done:step])
-                done = step
-            if floor <= 0 and done < len(at) and len(scores) > k:
-                least = np.partition(scores, -k)[-k] - MARGIN
-            if rest[done] < least:
-                break
+        if floor <= 0 and len(self.ids) > k:
+            # a threshold: the best by the first terms, scored in full
+            done = min(len(at), max(1, int(np.searchsorted(-rest, (FIRST_TERMS - 1) * rest[0]))))
+            scores += self._add(at[:done], weights[:done])
+            few = min(len(self.ids), 2 * k)
+            top = np.sort(np.argpartition(scores, -few)[-few:])
+            least = np.partition(self._whole(top, scores, at, weights, done), -k)[-k] - MARGIN
+        # past the pivot, to where the documents reached before it need most of the threshold
+        step = int(np.searchsorted(-rest, -PAST_PIVOT * least, "right")) if least > 0 else len(at)
+        step = min(max(step, done, 1), len(at))
+        if step > done:
+            scores += self._add(at[done:step], weights[done:step])
+            done = step
         docs = np.flatnonzero(scores + rest[done] >= least) if done < len(at) else np.flatnonzero((scores > 0) & (scores >= least))
         if done < len(at):
             if len(docs) > 4 * k:  # the k-th best so far may say more
                 least = max(least, np.partition(scores[docs], -k)[-k] - MARGIN)
                 docs = docs[scores[docs] + rest[done] >= least]
                 docs = docs[scores[docs] + self._block_bounds(at[done:], weights[done:])[docs // BLOCK] >= least]
-            # by the documents' own lists or by those of the terms left, whichever is less to read
-            if (self.doc_offsets[docs + 1] - self.doc_offsets[docs]).sum() < 500 * (len(at) - done):
-                total = self._full(docs, at, weights)
-            else:
-                total = scores[docs] + self._rest(docs, at[done:], weights[done:])
-            total = np.round(total, DECIMALS)
+            total = np.round(self._whole(docs, scores, at, weights, done), DECIMALS)
         else:
             total = np.round(scores[docs], DECIMALS)
         if len(docs) > k:
