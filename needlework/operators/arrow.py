@@ -119,6 +119,27 @@ def matches_arrow(c: Column, patterns: PatternSet) -> Column:
     return found(c)
 
 
+def nested_rows(df: DataFrame, hay: str, patterns: PatternSet, into: str) -> DataFrame:
+    """``df``, whose column ``hay`` is binary, with the array of its matches instead of it."""
+    keep = [c for c in df.columns if c != hay]
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(into, T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("pattern_id", "start", "end")])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                found, ends = [], [0]
+                for value in part.column(part.num_columns - 1).to_pylist():
+                    if value is not None:
+                        found += scan_bytes(value, patterns)
+                    ends.append(len(found))
+                columns = [pa.array([m[k] for m in found], pa.int32()) for k in (1, 0, 2)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["pattern_id", "start", "end"]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*keep, into])
+
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(hay)).mapInArrow(run, schema)
+
+
 #: Haystacks whose matches are one batch of the result, about.
 ROWS = 256
 

@@ -20,7 +20,7 @@ from ..functions import columns as C
 from ..plans.patterns import HotSwapPatternSet, PatternSet
 from ..plans.planner import MAP_PATTERNS, NATIVE, ScanConfig, strategy
 from ..types import MATCHES, PATTERN_SCHEMA
-from .arrow import matches_arrow, scan_rows
+from .arrow import matches_arrow, nested_rows, scan_rows
 
 
 class Scanner(Protocol):
@@ -192,6 +192,9 @@ def first_match(df: DataFrame, col: str, patterns: PatternSet, into: str = "firs
 
 def scan_nested(df: DataFrame, col: str, patterns: PatternSet, config: ScanConfig = ScanConfig()) -> DataFrame:
     """``df`` without the haystack, with the array of its matches."""
+    if config.strategy == "auto":
+        others = [c for c in df.columns if c != col]
+        return nested_rows(df.select(*_names(df, others), F.col(col).cast("binary").alias("_hay")), "_hay", patterns, "matches")
     return nested(df, col, patterns, config).drop(col)
 
 

@@ -122,7 +122,8 @@ def test_nulls_and_extra_columns(spark):
     clashing = spark.createDataFrame([("k", "ab", "w")], "text string, hay string, window string")
     assert S.scan_overlapping(clashing, "hay", own).columns == ["text", "window", "pattern_id", "start", "end"]
     assert [r["n_matches"] for r in S.scan_count(df, "hay", own).collect()] == [None, 2]
-    assert [len(r["matches"]) for r in S.scan_nested(df, "hay", own).collect()] == [0, 2]
+    for config in (ScanConfig(), ScanConfig(strategy="native"), ScanConfig(strategy="arrow")):
+        assert [len(r["matches"]) for r in S.scan_nested(df, "hay", own, config).collect()] == [0, 2]
     assert S.scan(df.limit(0), "hay", own, keep=[]).count() == 0
     assert S.no_match(df, "hay", own).count() == 1
 
