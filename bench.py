@@ -34,7 +34,8 @@ def main() -> None:
         .config("spark.sql.files.maxPartitionBytes", "2m").config("spark.sql.files.openCostInBytes", "0").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    # the table is one row group, so one task; dealt out and held in memory, as the figures to match are of scans in memory
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(int(cpus)).cache()
     megabytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] / 1e6
     words = [r["w"] for r in docs.select(F.explode(F.split("text", "[^a-z]+")).alias("w")).where("length(w) between 6 and 12").groupBy("w").count().orderBy("count", "w").limit(10_000).collect()]
     sets = {n: PatternSet.of(*words[:n]) for n in (10, 100, 1000, 10_000)}
@@ -53,6 +54,7 @@ def main() -> None:
         "any_match": lambda: S.any_match(docs, "text", PatternSet.of(*Q.WORDS)),
         "scan_overlapping": lambda: S.scan_overlapping(docs, "text", PatternSet.of(*Q.OVERLAPPING)),
         "scan_chunked": lambda: chunk.scan_chunked(docs, "text", PatternSet.of(*Q.OVERLAPPING), ["doc_id"], ScanConfig().with_chunk_bytes(1 << 16).with_overlap(64)),
+        # from the files
         "docs_by_pattern": lambda: Q.docs_by_pattern(spark, sf),
         "match_rollup": lambda: Q.match_rollup(spark, sf),
         "match_gaps": lambda: Q.match_gaps(spark, sf),
