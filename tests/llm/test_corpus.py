@@ -201,6 +201,23 @@ def test_passages(spark, monkeypatch, batch):
     assert substring.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [substring.BATCH_SEEDS, 60])
+def test_passages_of_scattered_seeds(spark, monkeypatch, batch):
+    """An exact passage whose seeds were all seen earlier, each in another document."""
+    monkeypatch.setattr(substring, "BATCH_SEEDS", batch)
+    rng = random.Random(15)
+    passage = prose(rng, 60)
+    around = lambda mid: " ".join([*prose(rng, 30), *mid, *prose(rng, 30)])
+    rows = []
+    for i in range(120):
+        k = rng.randrange(51) if i > 50 else i
+        rows.append((i, around(passage[k : k + 10])))
+    rows += [(200, around(passage[:45])), (300, around(passage)), (301, around(passage)), (302, around(passage[5:57]))]
+    found = substring.repeated_passages(frame(spark, rows)).collect()
+    got = covered(rows, [r for r in found if r["doc_id"] > 300])
+    assert got == {301: [" ".join(passage)], 302: [" ".join(passage[5:57])]}
+
+
 def test_passages_of_tables(spark, data_dir):
     """Every exact run of 50 words that an earlier document has is covered."""
     found = Q.op5_substring_dedup(spark, data_dir).collect()
