@@ -218,6 +218,23 @@ def test_passages_of_scattered_seeds(spark, monkeypatch, batch):
     assert got == {301: [" ".join(passage)], 302: [" ".join(passage[5:57])]}
 
 
+@pytest.mark.parametrize(("length", "edits", "even", "least"), [(60, 3, True, 0.95), (60, 5, False, 0.95), (60, 5, True, 0.95), (60, 8, False, 0.9), (60, 8, True, 0.9), (52, 5, False, 0.9), (80, 16, False, 0.7)])
+def test_passages_that_are_edited(spark, length, edits, even, least):
+    """Share of the passages found, of substitutions in one of two documents."""
+    rng = random.Random(length * 100 + edits)
+    rows = []
+    for i in range(60):
+        passage = [f"p{i}x{k}" for k in range(length)]
+        copy = list(passage)
+        for n, k in enumerate([(n + 1) * (length + 1) // (edits + 1) - 1 for n in range(edits)] if even else rng.sample(range(1, length - 1), edits)):
+            copy[k] = f"e{i}x{n}"
+        around = lambda mid, name, i=i: " ".join([*[f"{name}{i}x{k}" for k in range(30)], *mid, *[f"{name}{i}y{k}" for k in range(30)]])
+        rows += [(i, around(passage, "a")), (1000 + i, around(copy, "b"))]
+    found = substring.repeated_passages(frame(spark, rows)).collect()
+    assert all(r["other_ids"] == [r["doc_id"] - 1000] for r in found)
+    assert len({r["doc_id"] for r in found}) >= least * 60
+
+
 def test_passages_of_tables(spark, data_dir):
     """Every exact run of 50 words that an earlier document has is covered."""
     found = Q.op5_substring_dedup(spark, data_dir).collect()
