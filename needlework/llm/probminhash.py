@@ -8,7 +8,8 @@ sets. An element stops once its next arrival is later than all registers.
 
 Documents with equal sets are one representative. Representatives that share a
 band's bucket are compared with its most popular member and their neighbours in
-its order, in further rounds with members of the bucket's other classes; a pair
+its order, in further rounds with members of the bucket's other classes, and at
+last all pairs of a bucket that verified links haven't put in one class; a pair
 is a link if the exact similarity of its whole texts reaches the threshold.
 """
 
@@ -31,6 +32,8 @@ REGISTERS, BANDS = 80, 16
 #: Members of a bucket that each is compared with beside the most popular.
 NEIGHBOURS = 3
 ROUNDS = 3
+#: Members of a bucket from which its last pairs are dealt over tasks.
+BLOCK = 1000
 #: Representatives in one part of a hot bucket, about.
 ROWS_A_SALT, LEAST_SALTS = 1_000_000, 32
 
@@ -160,6 +163,26 @@ def _pairs(rows: DataFrame, salts: int, seed: int) -> DataFrame:
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
+def _rest(shared: DataFrame, classes: DataFrame, salts: int) -> DataFrame:
+    """All pairs (a, b) of different classes within a bucket.
+
+    Members of a bucket's largest class meet those of the others only, so a
+    group of copies that is one class makes no pair. Hot buckets are dealt in
+    parts, and each member outside the largest class goes to all of them.
+    """
+    own = shared.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "salt", "rep", F.coalesce("component", "rep").alias("class"))
+    sizes = own.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    # by (bucket, salt), so that a hot bucket isn't one task
+    hot = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    members = materialize(own.join(hot, ["bucket", "salt"]).select("bucket", "salt", "rep", "class", "main", "n"), "mixed")
+    dealt = F.col("n") > BLOCK
+    every = members.select("bucket", F.when(dealt, F.col("salt")).otherwise(F.lit(0)).alias("part"), "rep", "class")
+    parts = F.when(dealt, F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("long")))
+    some = members.where("class <> main").select("bucket", F.explode(parts).alias("part"), F.col("rep").alias("other"), F.col("class").alias("other_class"))
+    return some.join(every, ["bucket", "part"]).where("class <> other_class").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole texts reach ``threshold``, with their similarity."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).where("id is not null and body is not null")
@@ -228,6 +251,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes, tried = None, tried.unionByName(again)
     if classes is None:
         classes = components(links)
+    again = materialize(_rest(shared, classes, salts).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not again.isEmpty():
+        more = materialize(verify(again, docs, id_col, text_col, k, threshold), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     found = classes.join(degree, "node", "left").select(F.col("node").alias("first_id"), "component", "degree")
     found = materialize(found, "classes")

@@ -323,6 +323,20 @@ def test_near_duplicates(spark):
     assert probminhash.near_duplicates(frame(spark, rows[:3])).count() == 3
 
 
+def test_near_duplicates_of_families(spark):
+    """Edited copies of texts that aren't in the table, many of them too far from each other."""
+    rng = random.Random(1)
+    rows = []
+    for f in range(6):
+        for c in range(60):
+            own = [f"b{f}x{i}" for i in range(300)]
+            for _ in range(3 + c % 2):
+                own[rng.randrange(300)] = f"e{rng.getrandbits(50)}"
+            rows.append((f * 1000 + c, " ".join(own)))
+    found = probminhash.near_duplicates(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == brute_classes(rows)
+
+
 def test_near_duplicates_of_tables(spark, data_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
     found = Q.op10_probminhash(spark, data_dir).collect()
