@@ -378,6 +378,16 @@ def test_pipeline(spark, tmp_path, path):
         assert {i: np.frombuffer(b"".join(b for _, b in sorted(p)), "<u4").tolist() for i, p in pieces.items()} == {i: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1] for i, r in left.items()}
 
 
+def test_pipeline_keeps_multilingual(spark):
+    rng = random.Random(10)
+    letters = ["abcde", "fghij", "klmno", "pqrst"]
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(6)) for _ in range(n))
+    rows = [(i, text(i % 4, 60), f"l{i % 4}") for i in range(80)] + [(1000, " ".join(text(k, 60) for k in range(4)), None), (1001, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_languages(spark, docs, "").collect()}
+    assert kept == {*range(80), 1000}
+
+
 def test_entry_without_llm():
     """The entry point works where the subpackage and the pipeline are gone."""
     code = """
