@@ -60,14 +60,54 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return materialize_at(df, name)[0]
 
 
+#: Has a query's shuffle files deleted when it ends, not when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As ``materialize``, with the path for those who delete it earlier."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Intermediate tables that go together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = materialize_at(df, name)
+        self.paths.append(path)
+        return df
+
+    def drop(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths.clear()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -105,30 +145,31 @@ def first_of_key(slim: DataFrame, key: str, ident: str, salts: int = 64, extra:
     return rows.join(whole.withColumn("_salt", F.explode("_salt")), [key, "_salt"]).drop("_salt")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (a, b: long); the component is its smallest node.
 
     Every round contracts each node into its neighbour of least random rank, so
     the graph shrinks by a constant factor however it is shaped. Rounds are
-    written to the shared folder. Edges are never collected.
+    written to the shared folder. Edges are never collected. The result goes
+    with ``scratch``, if there is one.
     """
-    spark = edges.sparkSession
-    live = edges.where("a <> b").select("a", "b").distinct()
-    live, path = materialize_at(live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label, label_path = materialize_at(live.select(F.col("a").alias("node"), F.col("a").alias("at")).distinct(), "labels")
-    for k in range(most_rounds):
-        if live.isEmpty():
-            break
-        rank = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("n"))
-        step = live.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("n"), F.least(F.col("m"), rank("a"))["n"].alias("to"))
-        step, step_path = materialize_at(step, "step")
-        moved = live.join(step.select(F.col("n").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("n").alias("b"), F.col("to").alias("y")), "b")
-        live, new_path = materialize_at(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-        label, new_label = materialize_at(label.join(step.select(F.col("n").alias("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at")), "labels")
-        for old in (path, step_path, label_path):
-            remove(spark, old)
-        path, label_path = new_path, new_label
-    else:
-        raise RuntimeError("components did not settle")
-    least = materialize(label.groupBy("at").agg(F.min("node").alias("component")), "least")
-    return label.join(least, "at").select("node", "component")
+    result = scratch or Scratch(edges.sparkSession)
+    with Scratch(edges.sparkSession) as own:
+        rounds = Scratch(edges.sparkSession)
+        live = edges.where("a <> b").select("a", "b").distinct()
+        live = rounds.keep(live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        label = rounds.keep(live.select(F.col("a").alias("node"), F.col("a").alias("at")).distinct(), "labels")
+        k = 0
+        while not live.isEmpty():
+            before, rounds, k = rounds, Scratch(edges.sparkSession), k + 1
+            rank = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("n"))
+            step = live.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("n"), F.least(F.col("m"), rank("a"))["n"].alias("to"))
+            step = before.keep(step, "step")
+            moved = live.join(step.select(F.col("n").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("n").alias("b"), F.col("to").alias("y")), "b")
+            live = rounds.keep(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+            label = rounds.keep(label.join(step.select(F.col("n").alias("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at")), "labels")
+            before.drop()
+        least = own.keep(label.groupBy("at").agg(F.min("node").alias("component")), "least")
+        done = result.keep(label.join(least, "at").select("node", "component"), "components")
+        rounds.drop()
+    return done
