@@ -5,15 +5,18 @@ impact of a term in the shard and in each block of documents. Global numbers
 (documents, mean length, documents by term) weigh the terms, so that scores of
 different shards compare and the best of all shards are the best of all.
 
-A shard is searched as in block-max WAND, some terms at a time instead of one
-document at a time. Terms come in order of their upper bounds; once the bounds
-of the rest sum to less than the k-th best score so far, the rest can lift no
-document into the result by itself: there is the pivot. Of the documents that
-the terms before the pivot reach, those go on whose score and the block maxima
-of the rest still reach the threshold, and only they are scored in full.
-
-A query is its set of terms. Scores are rounded to six decimals; ties go to the
-smaller id.
+A shard is searched as in block-max WAND, with cursors over blocks of documents
+that are all at the same block: the pivots are the blocks in which the block
+maxima of a query's terms sum to the threshold, the k-th best score so far. All
+other blocks are skipped, nothing of them is decoded. In a pivot block the terms
+of the largest bounds come first; a document is scored in full only if their sum
+and the block maxima of the rest still reach the threshold. Documents of a shard
+are ordered so that like ones share blocks.
+
+Shards are searched in waves, each about three times as many as all before it,
+so that most begin with a threshold that is close to the last one, and return
+few documents. A query is its set of terms. Scores are rounded to six decimals;
+ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
-from .common import materialize_at, remove, scratch_path
+from .common import Scratch, scratch_path
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -36,10 +39,10 @@ SHARD_DOCS, SHARD_POSTINGS = 1 << 16, 2_000_000
 #: Terms of the queries that are searched at once, about; so much is broadcast.
 QUERY_TERMS = 1_000_000
 DECIMALS, MARGIN = 6, 1e-5
-#: What the terms after the last one tried may add at most, as a share of a known threshold.
-PAST_PIVOT = 0.2
-#: Share of the upper bounds whose terms find the first documents to take a threshold from.
-FIRST_TERMS = 0.35
+#: What the terms after the first ones may add at most in a pivot block, as a share of the threshold.
+REST = 0.2
+#: Shards of the first wave at most, and of one task.
+FIRST_WAVE, TASK_SHARDS = 16, 4
 
 _INDEX = "docs bigint, words bigint, ids binary, lengths binary, terms binary, offsets binary, posting_docs binary, posting_counts binary"
 
@@ -57,6 +60,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     types = [pa.int64()] * 2 + [pa.binary()] * 6
 
     def shard(ids: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        # like documents share blocks: those with one most frequent term (so of one language), by length
+        like = [(int(t[c.argmax()]) if len(t) else 0, int(c.sum()), key) for key, (t, c) in zip(ids, found, strict=True)]
+        order = sorted(range(len(ids)), key=like.__getitem__)
+        ids, found = [ids[k] for k in order], [found[k] for k in order]
         sizes = np.array([len(t) for t, _ in found], np.int64)
         lengths = np.array([c.sum(dtype=np.int64) for _, c in found], np.int64)
         term = np.concatenate([t for t, _ in found])
@@ -103,6 +110,7 @@ class Shard:
         block = (self.docs // BLOCK).astype(np.int32)
         heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.block_of, self.blocks = block[heads], -(-len(self.ids) // BLOCK)
+        self.block_starts = np.append(heads, len(term))
         self.block_most = np.maximum.reduceat(self.impacts, heads) if len(heads) else np.zeros(0)
         self.block_offsets = np.searchsorted(term[heads], np.arange(len(self.terms) + 1))
         self.most = np.maximum.reduceat(self.impacts, self.offsets[:-1]) if len(self.terms) else np.zeros(0)
@@ -110,6 +118,8 @@ class Shard:
         order = np.argsort(self.docs, kind="stable")
         self.doc_terms, self.doc_impacts = term[order], self.impacts[order]
         self.doc_offsets = np.searchsorted(self.docs[order], np.arange(len(self.ids) + 1))
+        #: Postings in the blocks of all searches' terms, and how many of them were decoded.
+        self.postings = self.decoded = 0
 
     @staticmethod
     def _gather(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,17 +128,11 @@ class Shard:
         ends = np.cumsum(sizes)
         return np.repeat(offsets[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
 
-    def _add(self, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the chosen terms add to every document."""
-        spans = list(zip(self.offsets[which].tolist(), self.offsets[which + 1].tolist(), strict=True))
-        docs = np.concatenate([self.docs[a:b] for a, b in spans])
-        impacts = np.concatenate([self.impacts[a:b] for a, b in spans])
-        impacts *= np.repeat(weights, [b - a for a, b in spans])
-        return np.bincount(docs, impacts, len(self.ids))
-
-    def _block_bounds(self, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        at, sizes = self._gather(self.block_offsets, which)
-        return np.bincount(self.block_of[at], self.block_most[at] * np.repeat(weights, sizes), self.blocks)
+    def _decode(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the chosen blocks of lists add to every document."""
+        at, sizes = self._gather(self.block_starts, entries)
+        self.decoded += len(at)
+        return np.bincount(self.docs[at], self.impacts[at] * np.repeat(weights, sizes), len(self.ids))
 
     def _full(self, docs: np.ndarray, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores of the given documents by all terms of the query."""
@@ -138,21 +142,6 @@ class Shard:
         self.weights[which] = 0
         return total
 
-    def _rest(self, docs: np.ndarray, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the chosen terms add to the given documents (ascending)."""
-        total, docs = np.zeros(len(docs)), docs.astype(np.uint16)
-        for a, b, w in zip(self.offsets[which].tolist(), self.offsets[which + 1].tolist(), weights.tolist(), strict=True):
-            own = self.docs[a:b]
-            k = np.minimum(own.searchsorted(docs), b - a - 1)
-            total += np.where(own[k] == docs, w * self.impacts[a + k], 0.0)
-        return total
-
-    def _whole(self, docs: np.ndarray, scores: np.ndarray, at: np.ndarray, weights: np.ndarray, done: int) -> np.ndarray:
-        """Scores of the given documents: by their own lists or by those of the terms left, whichever is less to read."""
-        if (self.doc_offsets[docs + 1] - self.doc_offsets[docs]).sum() < 500 * (len(at) - done):
-            return self._full(docs, at, weights)
-        return scores[docs] + self._rest(docs, at[done:], weights[done:])
-
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k`` documents, best first; such as have less than ``floor`` may be left out."""
         none = np.zeros(0, np.int64), np.zeros(0)
@@ -170,32 +159,35 @@ class Shard:
         least = floor - MARGIN
         if rest[0] < least:
             return none
-        scores, done = np.zeros(len(self.ids)), 0
+        # where the cursors may stop: blocks by the sum of their maxima
+        entries, sizes = self._gather(self.block_offsets, at)
+        blocks, by_entry = self.block_of[entries], np.repeat(weights, sizes)
+        most = self.block_most[entries] * by_entry
+        bounds = np.bincount(blocks, most, self.blocks)
+        self.postings += int((self.offsets[at + 1] - self.offsets[at]).sum())
         if floor <= 0 and len(self.ids) > k:
-            # a threshold: the best by the first terms, scored in full
-            done = min(len(at), max(1, int(np.searchsorted(-rest, (FIRST_TERMS - 1) * rest[0]))))
-            scores += self._add(at[:done], weights[:done])
-            few = min(len(self.ids), 2 * k)
-            top = np.sort(np.argpartition(scores, -few)[-few:])
-            least = np.partition(self._whole(top, scores, at, weights, done), -k)[-k] - MARGIN
-        # past the pivot, to where the documents reached before it need most of the threshold
-        step = int(np.searchsorted(-rest, -PAST_PIVOT * least, "right")) if least > 0 else len(at)
-        step = min(max(step, done, 1), len(at))
-        if step > done:
-            scores += self._add(at[done:step], weights[done:step])
-            done = step
-        docs = np.flatnonzero(scores + rest[done] >= least) if done < len(at) else np.flatnonzero((scores > 0) & (scores >= least))
-        if done < len(at):
-            if len(docs) > 4 * k:  # the k-th best so far may say more
-                least = max(least, np.partition(scores[docs], -k)[-k] - MARGIN)
-                docs = docs[scores[docs] + rest[done] >= least]
-                docs = docs[scores[docs] + self._block_bounds(at[done:], weights[done:])[docs // BLOCK] >= least]
-            total = np.round(self._whole(docs, scores, at, weights, done), DECIMALS)
-        else:
-            total = np.round(scores[docs], DECIMALS)
+            # a threshold from the most promising blocks
+            few = np.zeros(self.blocks, bool)
+            few[np.argsort(-bounds, kind="stable")[: 1 + -(-2 * k // BLOCK)]] = True
+            own = few[blocks]
+            best = self._decode(entries[own], by_entry[own])
+            least = max(least, np.partition(best, -k)[-k] - MARGIN)
+        pivots = bounds >= least
+        done = min(len(at), max(1, int(np.searchsorted(-rest, -REST * least)))) if least > 0 else len(at)
+        first = int(sizes[:done].sum())
+        own = pivots[blocks[:first]]
+        scores = self._decode(entries[:first][own], by_entry[:first][own])
+        left = np.bincount(blocks[first:], most[first:], self.blocks)
+        block_of_doc = np.arange(len(self.ids)) // BLOCK
+        docs = np.flatnonzero(pivots[block_of_doc] & (scores + left[block_of_doc] >= least) & ((scores > 0) | (left[block_of_doc] > 0)))
+        if len(docs) > k:  # the k-th best so far may say more
+            least = max(least, np.partition(scores[docs], -k)[-k] - MARGIN)
+            docs = docs[scores[docs] + left[docs // BLOCK] >= least]
+        total = np.round(self._full(docs, at, weights) if done < len(at) else scores[docs], DECIMALS)
+        keep = total > 0
         if len(docs) > k:
-            keep = total >= np.partition(total, -k)[-k]
-            docs, total = docs[keep], total[keep]
+            keep &= total >= np.partition(total, -k)[-k]
+        docs, total = docs[keep], total[keep]
         best = np.lexsort((self.ids[docs], -total))[:k]
         return self.ids[docs[best]], total[best]
 
@@ -208,52 +200,53 @@ def _query_rows(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = [terms_of(t.as_py())[0].view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["query_id", "n", "terms"])
 
-    return frame.mapInArrow(run, "query_id bigint, n bigint, terms array<bigint>")
+    return frame.mapInArrow(run, "query_id bigint, n bigint, terms array<bigint>").where("n > 0").dropDuplicates(["query_id", "terms"])
 
 
-def _document_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """In how many documents of all shards each of ``terms`` (ascending) is."""
+def _document_counts(index: DataFrame) -> DataFrame:
+    """(term, n): in how many documents of all shards each term is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, offsets in zip(batch.column(0), batch.column(1), strict=True):
-                own, sizes = np.frombuffer(own.as_py(), np.uint64), np.diff(np.frombuffer(offsets.as_py(), np.int64))
-                if len(own):
-                    at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-                    hit = np.flatnonzero(own[at] == terms)
-                    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(sizes[at[hit]])], ["term", "n"])
+                own, sizes = np.frombuffer(own.as_py(), np.int64), np.diff(np.frombuffer(offsets.as_py(), np.int64))
+                for c in range(0, len(own), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[c : c + 100_000]), pa.array(sizes[c : c + 100_000])], ["term", "n"])
+
+    return index.select("terms", "offsets").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    got = index.select("terms", "offsets").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(terms), np.int64)
-    counts[got["term"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return counts
+def _weighted(asked: DataFrame, index: DataFrame, docs: int) -> DataFrame:
+    """``asked`` with the weights of its terms; terms of no document are left out."""
+    term = asked.select("query_id", F.xxhash64("terms").alias("key"), F.explode("terms").alias("term"))
+    known = term.join(_document_counts(index), "term").withColumn("idf", F.log1p((docs - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    whole = known.groupBy("query_id", "key").agg(F.collect_list(F.struct("term", "idf")).alias("own"))
+    return whole.select("query_id", F.size("own").cast("long").alias("n"), F.col("own.term").alias("terms"), F.col("own.idf").alias("weights"))
 
 
-def _search_block(index: DataFrame, rows: list, terms: np.ndarray, idf: np.ndarray, mean_length: float, k: int) -> DataFrame:
-    ids = [r["query_id"] for r in rows]
-    own = [np.array(r["terms"], np.int64).view(np.uint64) for r in rows]
-    starts = np.cumsum([0, *[len(x) for x in own]])
-    flat = np.searchsorted(terms, np.concatenate(own)) if own else np.zeros(0, np.int64)
-    held = index.sparkSession.sparkContext.broadcast((ids, starts, flat.astype(np.int32), terms, idf))
+def _search_wave(index: DataFrame, shards: int, held, mean_length: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score): of each task's shards the best ``k`` documents for each query of ``held``, if they reach its threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, flat, terms, idf = held.value
+        ids, starts, terms, weights, floors = held.value
         best: list[list[tuple[float, int]]] = [[] for _ in ids]  # of all shards so far: (-score, id)
+        least = list(floors)
         for batch in batches:
             for n in range(batch.num_rows):
                 shard = Shard(batch.slice(n, 1).to_pylist()[0], mean_length)
-                for q, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-                    own = best[q]
-                    docs, scores = shard.search(terms[flat[a:b]], idf[flat[a:b]], k, -own[-1][0] if len(own) == k else 0.0)
+                for q, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                    docs, scores = shard.search(terms[a:b], weights[a:b], k, least[q])
                     if len(docs):
-                        best[q] = sorted([*own, *zip((-scores).tolist(), docs.tolist(), strict=True)])[:k]
-        rows = [(i, doc, -score) for i, own in zip(ids, best, strict=True) for score, doc in own]
+                        own = best[q] = sorted([*best[q], *zip((-scores).tolist(), docs.tolist(), strict=True)])[:k]
+                        if len(own) == k:
+                            least[q] = max(least[q], -own[-1][0])
+        rows = [(i, doc, -score) for i, own, floor in zip(ids, best, least, strict=True) for score, doc in own if -score >= floor]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
 
     # a task takes several shards, the later of which profit from the thresholds of the earlier
-    tasks = 2 * index.sparkSession.sparkContext.defaultParallelism
-    return index.drop("docs", "words").coalesce(tasks).mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    tasks = -(-shards // TASK_SHARDS)
+    return index.drop("docs", "words", "wave").coalesce(tasks).mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text") -> DataFrame:
@@ -262,30 +255,48 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     Queries with a null id or text, or without a word, have no result, and a
     document that shares no term with a query isn't in its result. Repeated
     documents are documents of their own; of queries that repeat an id each is
-    searched and the best of all stay. Other columns are ignored; an empty
-    table gives an empty result.
+    searched and the best of all stay. A text of any length is taken whole, its
+    terms in memory; a shard ends with the text that fills it. Other columns
+    are ignored, whatever their names; an empty table gives an empty result.
 
     Queries are searched in blocks of about ``QUERY_TERMS`` terms, each against
     all shards: a block is what the driver and the executors hold of them.
     """
     spark: SparkSession = docs.sparkSession
-    index, index_path = materialize_at(build_index(docs, id_col, text_col), "index")
-    sums = index.agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
-    asked, asked_path = materialize_at(_query_rows(queries, query_id_col, query_text_col), "queries")
-    size = asked.agg(F.sum("n").alias("n")).first()["n"] or 0
     out = scratch_path(spark, "found")
     schema = "query_id bigint, doc_id bigint, score double"
     spark.createDataFrame([], schema).write.parquet(out)
-    blocks = -(-size // QUERY_TERMS) if sums["docs"] else 0
-    for block in range(blocks):
-        rows = asked.where((F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) & (F.col("n") > 0)).orderBy("query_id").collect()
-        if not rows:
-            continue
-        terms = np.unique(np.concatenate([np.array(r["terms"], np.int64) for r in rows]).view(np.uint64))
-        counts = _document_counts(index, terms)
-        idf = np.log1p((sums["docs"] - counts + 0.5) / (counts + 0.5))
-        _search_block(index, rows, terms, idf, sums["words"] / sums["docs"], k).write.mode("append").parquet(out)
-    remove(spark, index_path)
-    remove(spark, asked_path)
+    found = lambda: spark.read.schema(schema).parquet(out)
+    with Scratch(spark) as scratch:
+        index = scratch.keep(build_index(docs, id_col, text_col), "index")
+        sums = index.agg(F.count(F.lit(1)).alias("shards"), F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
+        asked = scratch.keep(_query_rows(queries, query_id_col, query_text_col), "queries")
+        weighted = scratch.keep(_weighted(asked, index, sums["docs"] or 0), "weighted")
+        size = weighted.agg(F.sum("n").alias("n")).first()["n"] or 0
+        waves = 1
+        while sums["shards"] > FIRST_WAVE * 4 ** (waves - 1):
+            waves += 1
+        # the last wave has three quarters of the shards, the one before three quarters of the rest, and so on
+        part = F.xxhash64("ids") / float(1 << 63) / 2 + 0.5
+        index = index.withColumn("wave", sum((F.when(part < 0.25**n, 1).otherwise(0) for n in range(1, waves)), F.lit(0)))
+        sizes = {r["wave"]: r["count"] for r in index.groupBy("wave").count().collect()}
+        blocks = -(-size // QUERY_TERMS)
+        for block in range(blocks):
+            rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
+            if not rows:
+                continue
+            ids = [r["query_id"] for r in rows]
+            starts = np.cumsum([0, *[r["n"] for r in rows]]).tolist()
+            terms = np.concatenate([np.array(r["terms"], np.int64) for r in rows]).view(np.uint64)
+            weights = np.concatenate([np.array(r["weights"]) for r in rows])
+            floors: dict[int, float] = {}
+            for wave in sorted(sizes, reverse=True):
+                held = spark.sparkContext.broadcast((ids, starts, terms, weights, [floors.get(i, 0.0) for i in ids]))
+                _search_wave(index.where(F.col("wave") == wave), sizes[wave], held, sums["words"] / sums["docs"], k).write.mode("append").parquet(out)
+                held.destroy()
+                if wave:  # the k-th best so far of the block's queries
+                    own = found().where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+                    ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc())))
+                    floors = {r["query_id"]: r["score"] for r in ranked.where(F.col("rank") == k).collect()}
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
-    return spark.read.schema(schema).parquet(out).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return found().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
