@@ -16,9 +16,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import small
+from .common import unused
 
 BUCKETS = 1 << 16
 #: Code points that are counted at once, so that a very long text needs no more memory.
@@ -34,25 +37,31 @@ def letters() -> np.ndarray:
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Different trigrams (hashed) around the letters of a text, and their counts."""
-    if len(text) > PIECE:
-        total = np.zeros(BUCKETS, np.int64)
-        for k in range(0, len(text), PIECE):
-            part, counts = grams(text[max(0, k - 1) : k + PIECE])
-            total[part] += counts
-        found = np.flatnonzero(total)
-        return found, total[found]
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = np.where(letters()[codes], codes, 0)
-    codes = np.concatenate([[0], codes, [0]]).astype(np.uint32)
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    codes = codes[keep]
-    if len(codes) < 3:
+    low, pieces = text.lower(), []
+    carry = np.zeros(1, np.uint32)
+    for k in range(0, max(1, len(low)), PIECE):
+        codes = np.frombuffer(low[k : k + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+        end = np.zeros(int(k + PIECE >= len(low)), np.uint32)
+        codes = np.concatenate([carry, np.where(letters()[codes], codes, 0).astype(np.uint32), end])
+        keep = np.ones(len(codes), bool)
+        keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
+        codes = codes[keep]
+        carry = codes[-2:]
+        if len(codes) < 3:
+            continue
+        hashed = codes[:-2] * np.uint32(0x9E3779B1) ^ (codes[1:-1] * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))
+        hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0xC2B2AE35) + codes[2:] * np.uint32(0x165667B1)
+        hashed = (hashed ^ (hashed >> np.uint32(16))) & np.uint32(BUCKETS - 1)
+        pieces.append(np.unique(hashed[codes[1:-1] != 0].astype(np.int64), return_counts=True))
+    if not pieces:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashed = codes[:-2] * np.uint32(0x9E3779B1) ^ (codes[1:-1] * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))
-    hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0xC2B2AE35) + codes[2:] * np.uint32(0x165667B1)
-    hashed = (hashed ^ (hashed >> np.uint32(16))) & np.uint32(BUCKETS - 1)
-    return np.unique(hashed[codes[1:-1] != 0].astype(np.int64), return_counts=True)
+    if len(pieces) == 1:
+        return pieces[0]
+    total = np.zeros(BUCKETS, np.int64)
+    for found, counts in pieces:
+        total[found] += counts
+    found = np.flatnonzero(total)
+    return found, total[found]
 
 
 @dataclass
@@ -105,20 +114,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 2000) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 2000) -> Model:
     """A model of every language that labels a row with at least one letter.
 
-    It is fitted on ``rows_per_language`` rows of each language at most (about:
-    a row is taken by the hash of its text, so equal tables give equal models).
-    Rows with a null text or language don't count. The number of languages is
-    that of a label set: their names and trigram counts come to the driver.
+    It is fitted on ``rows_per_language`` rows of each language at most, those
+    of the least hashes of id and text, so equal tables give equal models and
+    texts that repeat don't go together. Rows that repeat with their id are one
+    row. Rows with a null text or language, or without a letter, don't count.
+    The number of languages is that of a label set: their names, the hashes up
+    to which rows count and the trigram counts come to the driver.
     """
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    letter = F.col("text").rlike(r"\p{L}")
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("key")).where("text is not null and lang is not null").where(letter)
+    by = W.partitionBy("lang").orderBy("key")
+    least = rows.select("lang", "key").distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows_per_language)
+    upto = {r["lang"]: r["key"] for r in least.groupBy("lang").agg(F.max("key").alias("key")).collect()}
+    if not upto:
         return Model([], np.zeros((0, BUCKETS), np.float32))
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, rows_per_language / n))]), F.col("lang"))
-    fraction = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    last = F.element_at(F.create_map(*[F.lit(x).cast("string" if isinstance(x, str) else "long") for lang, key in sorted(upto.items()) for x in (lang, key)]), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -131,7 +144,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
             found = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found), pa.array(counts[found])], ["lang", "gram", "n"])
 
-    sample = rows.where(fraction < share).mapInArrow(count, "lang string, gram bigint, n bigint")
+    sample = rows.where(F.col("key") <= last).select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
     got = sample.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))
@@ -139,32 +152,38 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     return Model(languages, counts) if not languages else Model.of(languages, counts)
 
 
-def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", penalty: float = 3.0) -> DataFrame:
-    """``id_cols`` with lang_pred, score and languages (array of lang and weight, largest first).
-
-    ``score`` is the share of the predicted language. A text that is null or
-    has no letter is ``und`` with a score of 0 and no languages; so is every
-    text if the model has none. Rows are independent: ids may be null or
-    repeat. Nothing is shuffled.
-    """
-    frame = docs.select(*[F.col(f"`{c}`") for c in id_cols], F.col(text_col).cast("string").alias("_body"))
-    known = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[:-1])
+def mixtures(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 3.0) -> DataFrame:
+    """(row, lang_pred, score, languages): the rows of ``docs`` as structs, so that no name can clash, and what ``identify`` says of them."""
+    kinds = T.StructType([T.StructField("row", docs.select(F.struct("*").alias("row")).schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kinds = kinds.add("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("weight", T.DoubleType())])))
     shape = pa.list_(pa.struct([("lang", pa.string()), ("weight", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small(batch):
                 best, score, every = [], [], []
-                for text in part.column(part.num_columns - 1):
+                for text in part.column(1):
                     found, counts = grams(text.as_py() or "")
                     mixture = model.mixture(found, counts, penalty) if len(found) and model.languages else {}
                     mixed = sorted(((w, model.languages[k]) for k, w in mixture.items()), key=lambda x: (-x[0], x[1]))
                     best.append(mixed[0][1] if mixed else UNKNOWN)
                     score.append(min(1.0, mixed[0][0]) if mixed else 0.0)
                     every.append([{"lang": lang, "weight": w} for w, lang in mixed])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(every, shape)],
-                    [*part.schema.names[:-1], "lang_pred", "score", "languages"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(every, shape)], ["row", "lang_pred", "score", "languages"])
+
+    return docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").cast("string").alias("body")).mapInArrow(run, kinds)
 
-    return frame.mapInArrow(run, f"{known}, lang_pred string, score double, languages array<struct<lang:string,weight:double>>")
+
+def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", penalty: float = 3.0) -> DataFrame:
+    """``id_cols`` with lang_pred, score and languages (array of lang and weight, largest first).
+
+    ``score`` is the share of the predicted language. A text that is null or
+    has no letter is ``und`` with a score of 0 and no languages; so is every
+    text if the model has none. Rows are independent: ids may be null or
+    repeat. A text of any length is taken whole. Columns of ``id_cols`` that
+    have the name of a result's column are left out. Nothing is shuffled.
+    """
+    result = ["lang_pred", "score", "languages"]
+    body = unused(docs.select(*id_cols), "body")
+    slim = docs.select(*[F.col(f"`{c}`") for c in id_cols], F.col(f"`{text_col}`").alias(body))
+    return mixtures(slim, model, body, penalty).select(*[F.col("row")[c].alias(c) for c in id_cols if c.lower() not in result], *result)
