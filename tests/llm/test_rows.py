@@ -56,6 +56,45 @@ def test_hilbert_shards(spark):
     assert len({(r["shard"], r["slot"]) for r in few}) == 3
 
 
+def test_hilbert_shards_plainly(spark):
+    """Cells, places on the curve, ranks, shards and slots, one after the other in Python."""
+    import bisect
+
+    rng = random.Random(4)
+    values = ["common_crawl", "common_voice", "common_z", "", "é", "a", None]
+    rows = [(i, rng.choice(values), rng.choice([None, *range(9)]), "row", 1, 2.0, "r") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long, row string, salt int, start double, rank string")
+    got = hilbert.hilbert_shards(df, ["source", "n"], 7, bits=4, tie=["doc_id"]).collect()
+    n, cuts = hilbert.cut_points(df, ["source", "n"], [df["doc_id"]], 4)
+    assert n == 300 and [bytes(c).decode() for c in cuts[0]] == ["", "a", "common_crawl", "common_voice", "common_z"]
+    cell = lambda v, own: 0 if v is None else 1 + bisect.bisect_left(own, v)
+    place = {r[0]: (cell(r[1] and r[1].encode() if r[1] else None if r[1] is None else b"", cuts[0]), cell(r[2], cuts[1])) for r in rows}
+    by_cell = defaultdict(set)
+    for r in got:
+        by_cell[r["hilbert"]].add(place[r["doc_id"]])
+    assert all(len(c) == 1 for c in by_cell.values()) and len(by_cell) == len(set(place.values()))
+    # along the curve; rows of a cell by salt, as they are ranked in parts
+    ranked = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["hilbert"] for r in ranked] == sorted(r["hilbert"] for r in got)
+    for rank, r in enumerate(ranked):
+        assert r["shard"] == rank * 7 // 300 and r["slot"] == rank - -(-r["shard"] * 300 // 7)
+    for r in got:  # all other columns stay
+        assert tuple(r[c] for c in df.columns) == rows[r["doc_id"]]
+
+
+def test_pruning(spark):
+    """Rows by shard whose ranges of both columns admit a value: far fewer than by any one column's order."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, f"site{rng.randrange(1000):04d}", rng.randrange(1000)) for i in range(4000)], "doc_id long, host string, n long")
+    got = hilbert.hilbert_shards(df, ["host", "n"], 64, tie=["doc_id"]).toPandas()
+    read = {"host": [], "n": []}
+    spans = got.groupby("shard").agg(a=("host", "min"), b=("host", "max"), c=("n", "min"), d=("n", "max"))
+    for k in range(0, 1000, 50):
+        read["host"].append(((spans.a <= f"site{k:04d}") & (spans.b >= f"site{k:04d}")).mean())
+        read["n"].append(((spans.c <= k) & (spans.d >= k)).mean())
+    assert all(np.mean(v) < 0.25 for v in read.values())  # a random order reads all
+
+
 def test_write_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, i % 10) for i in range(100)], "id long, n long")
     hilbert.write_shards(hilbert.hilbert_shards(df, ["n"], 4), str(tmp_path / "x"), 8)
@@ -96,9 +135,58 @@ def test_language(spark):
 def test_grams_in_pieces(monkeypatch):
     text = "Ünder the wörld, and 12 so on. " * 50
     whole = language.grams(text)
-    monkeypatch.setattr(language, "PIECE", 1 << 30)
-    again = language.grams(text)
-    assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+    for piece in (1, 2, 3, 7, 100, 1 << 30):
+        monkeypatch.setattr(language, "PIECE", piece)
+        for own in (text, "ΑΣ ΣΑΣ.", " a", "a ", "ab", "", " ", "12"):
+            monkeypatch.setattr(language, "PIECE", 1 << 20)
+            whole = language.grams(own)
+            monkeypatch.setattr(language, "PIECE", piece)
+            again = language.grams(own)
+            assert len(whole[0]) == len(again[0]) and all((a == b).all() for a, b in zip(whole, again, strict=True))
+
+
+def test_training_rows_that_repeat(spark):
+    """Bounds hold where a language is ten texts, or one, many times."""
+    rows = [(i, f"uno dos tres {'abcdefghij'[i % 10] * 3}", "es") for i in range(3000)] + [(5000 + i, "eins zwei drei", "de") for i in range(3000)] + [(9000, "12", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, rows_per_language=200)
+    assert model.languages == ["de", "es"]
+    got = language.identify(spark.createDataFrame([(1, "dos tres", 1), (2, "zwei drei", 2)], "doc_id long, text string, body int"), model, ["doc_id", "body"]).collect()
+    assert [(r["lang_pred"], r["body"]) for r in got] == [("es", 1), ("de", 2)]
+
+
+def test_mixture_plainly():
+    """Proportions against expectation-maximisation gram by gram, and the set against all sets."""
+    import itertools
+    import math
+
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 60, (4, language.BUCKETS // 512)) * rng.integers(0, 2, (4, language.BUCKETS // 512))
+    whole = np.zeros((4, language.BUCKETS))
+    whole[:, : counts.shape[1]] = counts
+    model = language.Model.of(["a", "b", "c", "d"], whole)
+    for shares in ([1, 0, 0, 0], [0.6, 0.4, 0, 0], [0.3, 0.3, 0.4, 0], [0, 0.25, 0, 0.75]):
+        p = (np.array(shares) @ model.probability)[: counts.shape[1]].astype(float)
+        drawn = np.bincount(rng.choice(counts.shape[1], 4000, p=p / p.sum()), minlength=counts.shape[1])
+        found = np.flatnonzero(drawn)
+        best = None
+        for size in range(1, 5):
+            for chosen in itertools.combinations(range(4), size):
+                w = {k: 1 / size for k in chosen}
+                for _ in range(200):
+                    new = dict.fromkeys(chosen, 0.0)
+                    for g in found.tolist():
+                        total = sum(w[k] * float(model.probability[k, g]) for k in chosen)
+                        for k in chosen:
+                            new[k] += drawn[g] * w[k] * float(model.probability[k, g]) / total / drawn.sum()
+                    w = new
+                fit = sum(int(drawn[g]) * math.log(sum(w[k] * float(model.probability[k, g]) for k in chosen)) for g in found.tolist())
+                score = fit - 3.0 * math.log1p(drawn.sum()) * (size - 1)
+                if best is None or score > best[0]:
+                    best = score, w
+        got = model.mixture(found, drawn[found], 3.0)
+        assert set(got) == set(best[1]) == {k for k, s in enumerate(shares) if s}
+        assert all(abs(got[k] - best[1][k]) < 0.02 for k in got)
 
 
 def test_op2(spark):
