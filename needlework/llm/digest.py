@@ -22,8 +22,6 @@ from .common import materialize
 BUCKETS = 512
 #: Bytes that are counted at once.
 PIECE = 1 << 20
-#: Mean step between quartiles drawn at random, with a step of 3 counted as 6.
-_CHANCE = 1.625
 _BODY, _LENGTH = 0.9, 0.1
 #: Runs of documents that one task links at last.
 RUNS = 4096
@@ -58,9 +56,20 @@ _steps = np.array([(0, 1, 2, 6)[abs(a - b)] for a in range(4) for b in range(4)]
 _TABLE = sum(_steps[np.arange(256)[:, None] >> s & 3, np.arange(256)[None, :] >> s & 3] for s in (6, 4, 2, 0)).astype(np.int16)
 
 
+#: Buckets of each quartile in each byte.
+_QUARTILES = np.array([[[x >> s & 3 for s in (6, 4, 2, 0)].count(q) for q in range(4)] for x in range(256)])
+
+
 def difference(a: bytes, b: bytes) -> float:
-    """0 for equal digests, 1 for such as differ as much as chance has it, or more."""
-    body = _TABLE[np.frombuffer(a, np.uint8, offset=1), np.frombuffer(b, np.uint8, offset=1)].sum() / (BUCKETS * _CHANCE)
+    """0 for equal digests, 1 for such as differ as much as chance has it, or more.
+
+    Chance is that of digests whose buckets lie in the four quartiles as often
+    as those of ``a`` and ``b``: a short text has few buckets, and the many that
+    are empty in both say nothing.
+    """
+    x, y = np.frombuffer(a, np.uint8, offset=1), np.frombuffer(b, np.uint8, offset=1)
+    chance = _QUARTILES[x].sum(0) @ _steps @ _QUARTILES[y].sum(0) / BUCKETS
+    body = _TABLE[x, y].sum() / chance if chance else 0.0
     length = abs(a[0] - b[0]) / 32
     return _BODY * min(1.0, float(body)) + _LENGTH * min(1.0, length)
 
