@@ -63,6 +63,26 @@ class SegmentTree:
             nodes[k] = least
 
 
+#: What this encoder does; a file that asks for anything else would get wrong ids.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+def check_settings(spec: dict) -> None:
+    """An error for a tokenizer file whose settings this encoder doesn't follow."""
+    model, splits = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    wrong = {
+        "normalizer": (spec.get("normalizer") or {}).get("normalizers") != _NORMALIZERS,
+        "pre_tokenizer": len(splits) != 2 or splits[0].get("type") != "Split" or splits[0].get("behavior") != "Removed" or not splits[0].get("invert") or any(splits[1].get(k) != v for k, v in _BYTES.items()),
+        "decoder": spec.get("decoder") is not None,
+        "post_processor": spec.get("post_processor") is not None,
+        "model": model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk")),
+        "added_tokens": any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")) or any("<|" not in x["content"] for x in spec.get("added_tokens", [])),
+    }
+    if any(wrong.values()):
+        raise ValueError(f"this encoder doesn't follow the file's settings of {', '.join(k for k, v in wrong.items() if v)}")
+
+
 class Vocabulary:
     """What the encoder needs of a ``tokenizers`` JSON file with BPE and word ends."""
 
@@ -70,6 +90,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        check_settings(spec)
         ids: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.tokens: dict[int, str] = {i: t for t, i in ids.items()}
@@ -293,7 +314,8 @@ def encode_frame(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     With ``digests`` the columns are ``n_tokens`` and the SHA-256 of the ids
     (decimal, one space between) and of the decoded text; else ``ids`` (an
     array) and ``decoded``. A null text counts as empty (no ids, empty decoded
-    text); ids may be null or repeat: rows are independent of each other.
+    text); ids may be null or repeat: rows are independent of each other. A
+    text of any length is encoded whole; an empty table gives an empty result.
     Nothing is shuffled. Other columns of ``docs`` are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()

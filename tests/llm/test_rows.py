@@ -315,6 +315,18 @@ def test_bpe_equals_library(spark, path, tokenizer):
     assert bpe.encode_frame(df.limit(0), path).count() == 0
 
 
+def test_other_settings(path, tmp_path):
+    """A file that asks for what the encoder doesn't do is refused."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for key, value in (("decoder", {"type": "ByteLevel"}), ("normalizer", None), ("post_processor", {"type": "ByteLevel"}), ("model", spec["model"] | {"ignore_merges": True}), ("added_tokens", [{"content": "[X]", "id": 49408}])):
+        (tmp_path / "other.json").write_text(json.dumps(spec | {key: value}))
+        with pytest.raises(ValueError, match=key):
+            bpe.Vocabulary(str(tmp_path / "other.json"))
+
+
 def test_segment_tree():
     rng = random.Random(1)
     keys = [rng.randrange(100) for _ in range(37)]
@@ -415,6 +427,13 @@ def test_likeness():
         assert 0 <= digest.difference(p, q) <= 1 and digest.difference(p, q) == digest.difference(q, p)
 
 
+def test_likeness_of_short_texts():
+    of = lambda a, b: digest.likeness(digest.digest(a), digest.digest(b))
+    for a, b in (("cat", "dog"), ("hello world", "zebra quartz"), ("", "one sentence of some words"), ("", "abc")):
+        assert of(a, b) == of(b, a) < 0.2
+    assert of("hello world", "hello worlds") > 0.6 and of("ab", "ab") == of("", "") == 1
+
+
 # -- words -------------------------------------------------------------------------
 def test_words():
     rng = random.Random(7)
