@@ -36,7 +36,7 @@ NEIGHBOURS = 3
 #: Parts in which a bucket's members are counted and ordered.
 SALTS = 32
 #: Shingles of the members of a family in one index, about.
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 
 def weighted_set(text: str, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def _cells(shared: DataFrame, sizes: DataFrame, classes: DataFrame, scratch: Scr
 
 def _sets(cells: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(family, block, asks, rep, class, main, elements, weights): the sets of ``cells`` for each of their cells."""
-    joined = cells.join(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("body")).where("body is not null"), "rep")
+    joined = cells.hint("merge").join(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("body")).where("body is not null"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rep", "class", "main", "cells", "elements", "weights"]
@@ -272,7 +272,9 @@ def _looked_up(sets: DataFrame, threshold: float) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole texts reach ``threshold``, with their similarity."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).where("id is not null and body is not null")
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    # pairs grow with the table, so they are never broadcast: one plan at every size
+    first = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a")
+    joined = first.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple] = {}
@@ -346,7 +348,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = classes.groupBy(own).agg(F.max(F.col(own) != F.col("class_id")).alias("gone"), F.count(F.lit(1)).alias("n")).where("gone or n > 1")
     listed = materialize(listed.select(own, "gone"), "listed")
     same = docs[id_col].cast("long") == listed[own]
-    alone = docs.join(listed, same, "left_anti")
+    alone = docs.join(listed.hint("merge"), same, "left_anti")
     repeated = listed.where("not gone")
     if repeated.isEmpty():
         return alone
