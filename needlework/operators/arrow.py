@@ -8,9 +8,11 @@ built-in functions have to sum lengths up.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import MatchBufferOverflow
 from ..plans.literals import start_regex
 from ..plans.patterns import PatternSet
 from ..types import MATCHES
@@ -33,19 +36,23 @@ def compiled(patterns: PatternSet) -> tuple:
 
 @lru_cache(maxsize=32)
 def candidates(patterns: PatternSet) -> tuple:
-    """Where literals begin, the lengths that they have, and all ids by bytes."""
+    """Where literals begin, how many bytes tell them apart, and by these bytes the other lengths that they have; all ids by bytes."""
     begins = re.compile(f"(?={start_regex(patterns.keys, patterns.case_insensitive)})".encode("ascii"))
     every = {k.encode("latin-1"): ids for k, ids in patterns.keys.items()}
-    return begins, sorted({len(k) for k in every}), every
+    head = min(map(len, every))
+    lengths: dict[bytes, set[int]] = {}
+    for k in every:
+        lengths.setdefault(k[:head], set()).add(len(k))
+    return begins, head, {k: tuple(sorted(v)) for k, v in lengths.items()}, every
 
 
 def overlapping(data: bytes, patterns: PatternSet) -> Iterator[tuple[int, int, int]]:
     """(start, pattern_id, end) of every occurrence of every literal."""
-    begins, lengths, every = candidates(patterns)
+    begins, head, lengths, every = candidates(patterns)
     low = data.lower() if patterns.case_insensitive else data
     for m in begins.finditer(data):
         s = m.start()
-        for n in lengths:
+        for n in lengths[low[s : s + head]]:
             if s + n > len(low):
                 break
             for i in every.get(low[s : s + n], ()):
@@ -109,6 +116,31 @@ def scan_bytes(data: bytes, patterns: PatternSet) -> list[tuple[int, int, int]]:
     return sorted(out) if regexes else out
 
 
+def iterate(data: bytes, patterns: PatternSet) -> Iterator[tuple[int, int, int]]:
+    """As ``scan_bytes``, one at a time: who stops early saves the rest of the haystack."""
+    literal, ids, regexes = compiled(patterns)
+    fold = bytes.lower if patterns.case_insensitive else bytes
+    numbered = lambda i, regex: ((s, i, e) for s, e in spans(regex, data))
+    engines = [numbered(i, regex) for i, regex in regexes]
+    if literal:
+        engines.append((m.start(), ids[fold(m.group())], m.end()) for m in literal.finditer(data))
+    return heapq.merge(*engines)
+
+
+def found_anywhere(data: bytes, patterns: PatternSet) -> bool:
+    literal, _, regexes = compiled(patterns)
+    return bool(literal and literal.search(data)) or any(r.search(data) for _, r in regexes)
+
+
+def starting_anywhere(data: bytes, patterns: PatternSet, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """(start, pattern_id, end) of each regex's match at every start from ``low`` to before ``high``, though it overlaps another."""
+    for i, regex in compiled(patterns)[2]:
+        at = low
+        while at < high and (m := regex.search(data, at)) and m.start() < high:
+            yield m.start(), i, m.end()
+            at = m.start() + 1
+
+
 def matches_arrow(c: Column, patterns: PatternSet) -> Column:
     """As ``functions.columns.matches``, for a binary column."""
 
@@ -119,6 +151,28 @@ def matches_arrow(c: Column, patterns: PatternSet) -> Column:
     return found(c)
 
 
+def any_arrow(c: Column, patterns: PatternSet) -> Column:
+    """Whether any pattern is in a binary column; the first match ends the search."""
+
+    @F.pandas_udf("boolean")
+    def found(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else found_anywhere(bytes(v), patterns))
+
+    return found(c)
+
+
+def first_arrow(c: Column, patterns: PatternSet) -> Column:
+    """The first match in a binary column, or null; it ends the search."""
+
+    @F.pandas_udf("pattern_id int, start int, end int")
+    def found(values: pd.Series) -> pd.DataFrame:
+        firsts = [None if v is None else next(iterate(bytes(v), patterns), None) for v in values]
+        return pd.DataFrame({c: pd.array([None if m is None else m[k] for m in firsts], dtype="Int32") for c, k in (("pattern_id", 1), ("start", 0), ("end", 2))})
+
+    one = found(c)
+    return F.when(one["start"].isNotNull(), one)
+
+
 def nested_rows(df: DataFrame, hay: str, patterns: PatternSet, into: str) -> DataFrame:
     """``df``, whose column ``hay`` is binary, with the array of its matches instead of it."""
     keep = [c for c in df.columns if c != hay]
@@ -144,8 +198,16 @@ def nested_rows(df: DataFrame, hay: str, patterns: PatternSet, into: str) -> Dat
 ROWS = 256
 
 
-def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: bool = False, compat: str | None = None) -> DataFrame:
-    """``keep``, pattern_id, start, end for every match in the last column, a binary one; with ``every``, overlapping literals. Nothing is shuffled."""
+def overflow(n: int) -> None:
+    raise MatchBufferOverflow(f"{n} matches or more")
+
+
+def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: bool = False, compat: str | None = None, max_matches: int | None = None, first_n: int | None = None) -> DataFrame:
+    """``keep``, pattern_id, start, end for every match in the last column, a binary one; with ``every``, overlapping literals.
+
+    A haystack with ``max_matches`` or more fails the query as soon as they are
+    found; ``first_n`` ends its scan. Nothing is shuffled.
+    """
     numbers = ["pattern_id", "start", "end"]
     schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], *[T.StructField(c, T.IntegerType()) for c in numbers]])
 
@@ -158,6 +220,8 @@ def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: boo
                 yield from (COMPAT[compat] if compat else overlapping)(value, patterns)
                 for i, regex in regexes:
                     yield from ((s, i, e) for s, e in spans(regex, value))
+            elif first_n is not None or len(value) >= (max_matches or 0) > 0:  # else no engine can have so many
+                yield from islice(iterate(value, patterns), first_n)
             else:
                 yield from scan_bytes(value, patterns)
 
@@ -167,16 +231,20 @@ def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: boo
                 counts, found, starts, ends = [], [], [], []
                 for value in part.column(part.num_columns - 1).to_pylist():
                     before = len(found)
-                    if value is not None and (regexes or every or compat):
+                    if value is not None and (regexes or every or compat or first_n is not None):
                         for s, i, e in all_of(value):
                             found.append(i)
                             starts.append(s)
                             ends.append(e)
+                            if len(found) - before == max_matches:
+                                overflow(max_matches)
                     elif value is not None:
                         for m in literal.finditer(value):
                             found.append(ids[m.group() if fold is None else fold(m.group())])
                             starts.append(m.start())
                             ends.append(m.end())
+                            if len(found) - before == max_matches:
+                                overflow(max_matches)
                     counts.append(len(found) - before)
                 if found:
                     take = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int32())
@@ -184,3 +252,60 @@ def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: boo
                     yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int32()) for x in (found, starts, ends)]], [*keep, *numbers])
 
     return rows.mapInArrow(run, schema)
+
+
+def total_rows(rows: DataFrame, keep: list[str], patterns: PatternSet) -> DataFrame:
+    """``keep``, pattern_id, n_matches, n_bytes, least_start, largest_end: a row for each pattern that the last column, a binary one, has."""
+    numbers = ["pattern_id", "n_matches", "n_bytes", "least_start", "largest_end"]
+    kinds = [T.IntegerType(), *[T.LongType()] * 4]
+    schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], *[T.StructField(c, k) for c, k in zip(numbers, kinds, strict=True)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                take, totals = [], []
+                for row, value in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    own: dict[int, list[int]] = {}
+                    for s, i, e in scan_bytes(value, patterns) if value is not None else ():
+                        if i in own:
+                            t = own[i]
+                            t[0] += 1
+                            t[1] += e - s
+                            if e > t[3]:
+                                t[3] = e
+                        else:
+                            own[i] = [1, e - s, s, e]
+                    take += [row] * len(own)
+                    totals += [(i, *t) for i, t in own.items()]
+                if totals:
+                    columns = [part.column(k).take(pa.array(take, pa.int32())) for k in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int32() if n == 0 else pa.int64()) for n, x in enumerate(zip(*totals, strict=True))]], [*keep, *numbers])
+
+    return rows.mapInArrow(run, schema)
+
+
+def chunk_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, before: int) -> DataFrame:
+    """``keep``, pattern_id, start, end (in the whole haystack) of what the regexes match at every start in a chunk.
+
+    ``rows`` have ``keep``, chunk_start, the chunk's size and its bytes, ahead
+    of which are ``before`` bytes of the chunk that comes first.
+    """
+    numbers = ["pattern_id", "start", "end"]
+    schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], T.StructField("pattern_id", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in numbers[1:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                take, found = [], []
+                for row, (at, size, value) in enumerate(zip(*(c.to_pylist() for c in part.columns[-3:]), strict=True)):
+                    lead = min(before, at)
+                    for s, i, e in starting_anywhere(value, patterns, lead, lead + max(1, size)):
+                        take.append(row)
+                        found.append((i, s + at - lead, e + at - lead))
+                if found:
+                    columns = [part.column(k).take(pa.array(take, pa.int32())) for k in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int32() if n == 0 else pa.int64()) for n, x in enumerate(zip(*found, strict=True))]], [*keep, *numbers])
+
+    return rows.mapInArrow(run, schema)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import InputTooLarge
 from ..plans.planner import ScanConfig
 from ..types import MATCH
 
@@ -27,14 +26,16 @@ def plan_batches(sizes: list[tuple[object, int]], config: ScanConfig = ScanConfi
     return out
 
 
-def planned_batches(df: DataFrame, id_col: str, col: str, config: ScanConfig = ScanConfig(), groups: int = 1) -> DataFrame:
-    """(id, group, batch, place): the greedy plan, made in each of ``groups`` by itself.
+def planned_batches(df: DataFrame, id_col: str, col: str, config: ScanConfig = ScanConfig(), group: Column | None = None) -> DataFrame:
+    """(id, group, batch, place): the greedy plan, made in each ``group`` (a long, of the rows of ``df``) by itself.
 
-    Only ids and sizes are shuffled. With one group the plan is the sequential
-    one; a cluster takes as many groups as it has tasks.
+    Only ids and sizes are shuffled. Without groups the plan is the sequential
+    one, which one task makes; a large table takes groups of so many rows as a
+    task may hold, such as ranges of the id.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(col), F.lit(0)).cast("long").alias("n")).withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    own = (F.lit(0) if group is None else group).cast("long")
+    slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(col), F.lit(0)).cast("long").alias("n"), own.alias("group"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -42,22 +43,41 @@ def planned_batches(df: DataFrame, id_col: str, col: str, config: ScanConfig = S
         rows = [(i, int(key[0]), b, p) for b, ids in enumerate(plan) for p, i in enumerate(ids)]
         return pd.DataFrame(rows, columns=["id", "group", "batch", "place"])
 
-    return slim.groupBy("group").applyInPandas(run, f"id {kind}, group int, batch int, place int")
+    return slim.groupBy("group").applyInPandas(run, f"id {kind}, group bigint, batch int, place int")
 
 
-def coalesce_map(df: DataFrame, id_col: str, col: str, batch: list[str] | None = None) -> DataFrame:
+#: Rows whose ids give the ranges in which a buffer is summed up, and how many ranges.
+SAMPLE, RANGES = 4096, 256
+
+
+def _range_of(slim: DataFrame) -> Column:
+    """The number of the range in which an id lies: of ``RANGES`` about equal ones, by a bounded sample of ids."""
+    ids = sorted(r["id"] for r in slim.select("id").where("id is not null").orderBy(F.xxhash64("id")).limit(SAMPLE).collect())
+    cuts = sorted({ids[len(ids) * k // RANGES] for k in range(1, RANGES)}) if ids else []
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda c: c <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
+
+
+def coalesce_map(df: DataFrame, id_col: str, col: str, batch: list[str] | None = None, limit: int = 1 << 32) -> DataFrame:
     """(batch columns, id, offset, length): where each item lies in the buffer of its batch, by ascending id.
 
-    Without ``batch`` all items are one buffer, which holds 4 GiB at most, so
-    that its order is a sort of ids and sizes alone.
+    Without ``batch`` all items are one buffer. A buffer of ``limit`` bytes or
+    more fails the query. Its
+    offsets are running sums in two levels: of ranges of ids, and of the items
+    of a range, so that no task has all of them.
     """
-    batch = batch or []
     size = F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
-    window = W.partitionBy(*batch).orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    slim = df.select(*batch, F.col(id_col).alias("id"), size.alias("length"))
-    offsets = slim.withColumn("offset", F.coalesce(F.sum("length").over(window), F.lit(0).cast("long")))
-    too_large = F.raise_error(F.lit("InputTooLarge: a buffer holds 4 GiB")).cast("long")
-    return offsets.select(*batch, "id", F.when(F.col("offset") + F.col("length") < 1 << 32, F.col("offset")).otherwise(too_large).alias("offset"), "length")
+    slim = df.select(*(batch or []), F.col(id_col).alias("id"), size.alias("length"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    if batch:
+        offsets = slim.withColumn("offset", before(W.partitionBy(*batch).orderBy("id"), "length"))
+    else:
+        ranged = slim.withColumn("_range", F.when(F.col("id").isNull(), -1).otherwise(_range_of(slim)))
+        sums = ranged.groupBy("_range").agg(F.sum("length").alias("_sum"))  # a row for each range
+        starts = sums.select("_range", before(W.orderBy("_range"), "_sum").alias("_start"))
+        joined = ranged.join(F.broadcast(starts), "_range")
+        offsets = joined.withColumn("offset", F.col("_start") + before(W.partitionBy("_range").orderBy("id"), "length"))
+    too_large = F.raise_error(F.lit(f"InputTooLarge: a buffer of {limit} bytes or more")).cast("long")
+    return offsets.select(*(batch or []), "id", F.when(F.col("offset") + F.col("length") < limit, F.col("offset")).otherwise(too_large).alias("offset"), "length")
 
 
 def decoalesce(hits: DataFrame, offsets: DataFrame, batch: list[str] | None = None, bucket: int = 1 << 20) -> DataFrame:
@@ -80,8 +100,3 @@ def tagged_to_nested(hits: DataFrame, sources: DataFrame, keys: list[str]) -> Da
     joined = sources.select(*keys).join(found, keys, "left")
     own = F.transform(F.coalesce("_m", F.array().cast("array<struct<start:int,pattern_id:int,end:int>>")), lambda m: F.struct(m["pattern_id"].alias("pattern_id"), m["start"].alias("start"), m["end"].alias("end")))
     return joined.select(*keys, own.cast(f"array<{MATCH}>").alias("matches"))
-
-
-def check_size(n: int) -> None:
-    if n >= 1 << 32:
-        raise InputTooLarge(f"{n} bytes")

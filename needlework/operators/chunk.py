@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..plans.patterns import PatternSet
 from ..plans.planner import ScanConfig
+from .arrow import chunk_rows
 from .scan import is_binary, scan_overlapping
 
 
@@ -16,32 +19,59 @@ def shard_plan(length: int, shards: int, overlap: int) -> list[tuple[int, int, i
     return [(a, b, min(length, b + overlap)) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def chunks(df: DataFrame, col: str, size: int, overlap: int) -> DataFrame:
-    """One row per chunk: the other columns, chunk_start, nominal_end and ``col`` as binary, ``overlap`` bytes longer."""
+def chunks(df: DataFrame, col: str, size: int, overlap: int, before: int = 0) -> DataFrame:
+    """One row per chunk: the other columns, chunk_start, nominal_end and ``col`` as binary, ``overlap`` bytes longer.
+
+    ``before`` bytes ahead of the chunk come with it. The pieces are cut before
+    they become rows, so a haystack isn't copied once per chunk.
+    """
     raw = F.col(col) if is_binary(df, col) else F.encode(F.col(col), "UTF-8")
     other = [F.col(f"`{c}`") for c in df.columns if c != col]
-    rows = df.select(*other, raw.alias("_raw")).where("_raw is not null")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length("_raw") - 1), F.lit(size))
-    cut = rows.select(*other, "_raw", F.explode(starts).alias("chunk_start"))
-    piece = F.substring(F.col("_raw"), F.col("chunk_start") + 1, F.lit(size + overlap))
-    return cut.select(*other, "chunk_start", F.least(F.col("chunk_start") + size, F.octet_length("_raw")).alias("nominal_end"), piece.alias(col))
 
+    def cut(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(own) - 1), F.lit(size))
+
+        def piece(at: Column) -> Column:
+            first = F.greatest(F.lit(0), at - before)
+            end = F.least(at + size, F.octet_length(own))
+            return F.struct(at.alias("chunk_start"), end.alias("nominal_end"), F.substring(own, first + 1, at - first + size + overlap).alias(col))
+
+        return F.transform(starts, piece)
 
-def scan_chunked(df: DataFrame, col: str, patterns: PatternSet, keep: list[str], config: ScanConfig = ScanConfig(), spread: int | None = None) -> DataFrame:
-    """As ``scan_overlapping`` (literals only), chunk by chunk; a hit belongs to the chunk in which it starts.
+    return df.where(F.col(f"`{col}`").isNotNull()).select(*other, F.inline(let(raw, cut)))
 
-    The overlap is that of the longest literal at least. ``spread`` deals the
-    chunks out to so many tasks before the scan.
+
+def scan_chunked(df: DataFrame, col: str, patterns: PatternSet, keep: list[str], config: ScanConfig = ScanConfig(), spread: int | None = None, max_match_len: int | None = None) -> DataFrame:
+    """As ``scan_overlapping``, chunk by chunk; a hit belongs to the chunk in which it starts.
+
+    The overlap is that of the longest match at least: regexes need a bounded
+    length, or a ``max_match_len``. Their matches don't overlap, which chunks
+    can't know of each other: each chunk gives what matches at every start, and
+    a fold by source keeps the leftmost ones. ``keep`` tells sources apart.
+    ``spread`` deals the chunks out to so many tasks before the scan.
     """
-    if patterns.regexes:
-        raise ValueError("chunked scans are exact for literals only")
-    overlap = max(config.overlap, patterns.max_pattern_len - 1)
-    parts = chunks(df.select(*keep, col), col, config.chunk_bytes, overlap)
+    longest = patterns.max_match_len if max_match_len is None else max_match_len
+    if longest is None:
+        raise ValueError("a regex of the set has no limit; give max_match_len")
+    if any(r.least == 0 for r in patterns.regexes):
+        raise ValueError("a regex of the set may be empty")
+    before = 1 if patterns.regexes else 0  # for the looks behind, as one byte more for those ahead
+    overlap = max(config.overlap, longest - 1 + 2 * before, patterns.max_pattern_len - 1)
+    parts = chunks(df.select(*keep, col), col, config.chunk_bytes, overlap, before)
     if spread:
         parts = parts.repartition(spread)
-    found = scan_overlapping(parts, col, patterns, [*keep, "chunk_start", "nominal_end"], config)
-    at = F.col("start") + F.col("chunk_start")
-    return found.where(at < F.col("nominal_end")).select(*keep, "pattern_id", at.cast("int").alias("start"), (F.col("end") + F.col("chunk_start")).cast("int").alias("end"))
+    at = [*keep, "pattern_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")]
+    found = []
+    if patterns.keys:
+        plain = PatternSet(tuple(p for p in patterns.patterns if p.pattern_id not in {r.pattern_id for r in patterns.regexes}), patterns.case_insensitive, patterns.regex_limit)
+        hits = scan_overlapping(parts, col, plain, [*keep, "chunk_start", "nominal_end"], config)
+        hits = hits.withColumn("by", F.col("chunk_start") - F.least(F.lit(before), F.col("chunk_start")))
+        moved = hits.withColumns({"start": F.col("start") + F.col("by"), "end": F.col("end") + F.col("by")})
+        found.append(moved.where("start >= chunk_start and start < nominal_end").select(*at))
+    if patterns.regexes:
+        rows = parts.select(*keep, "chunk_start", (F.col("nominal_end") - F.col("chunk_start")).alias("_size"), F.col(col).alias("_hay"))
+        found.append(leftmost(chunk_rows(rows, keep, patterns, before), keep).select(*at))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def shortest_by_start(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,17 +79,35 @@ def shortest_by_start(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys, "pattern_id", "start").agg(F.min("end").alias("end"))
 
 
-def leftmost_longest(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping literal hits folded to the leftmost-longest ones of each source."""
-    order = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "pattern_id")))
-    kept_type = "array<struct<pattern_id:int,start:int,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kept_type).alias("kept"))
+def _folded(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the hits of a source, by (start, longest, pattern), those that begin no earlier than the last one kept ends.
+
+    A hit that no earlier one reaches is kept whatever came before, so the
+    hits of a source are folded in runs that overlap, not all at once.
+    """
+    order = [F.col("start"), F.col("end").desc(), F.col("pattern_id")]
+    by = W.partitionBy(*keys).orderBy(*order)
+    reached = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    runs = hits.withColumn("_new", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    kept_type = "array<struct<pattern_id:int,start:bigint,end:bigint>>"
+    zero = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast(kept_type).alias("kept"))
 
     def step(acc, m):
         one = F.array(F.struct(m["pattern_id"].alias("pattern_id"), m["start"].alias("start"), (-m["neg"]).alias("end"))).cast(kept_type)
-        return F.when(m["start"] >= acc["at"], F.struct((-m["neg"]).alias("at"), F.concat(acc["kept"], one).alias("kept"))).otherwise(acc)
+        return F.when(m["start"] >= acc["at"], F.struct((-m["neg"]).cast("long").alias("at"), F.concat(acc["kept"], one).alias("kept"))).otherwise(acc)
 
-    folded = hits.groupBy(*keys).agg(order.alias("_m"))
-    return folded.select(*keys, F.inline(F.aggregate("_m", zero, step, lambda acc: acc["kept"])))
+    sorted_run = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), (-F.col("end")).cast("long").alias("neg"), "pattern_id")))
+    folded = runs.groupBy(*keys, "_run").agg(sorted_run.alias("_m"))
+    names = [k for k in keys if k != "pattern_id"]
+    kept = folded.select(*names, F.inline(F.aggregate("_m", zero, step, lambda acc: acc["kept"])))
+    return kept.select(*names, "pattern_id", F.col("start").cast(hits.schema["start"].dataType).alias("start"), F.col("end").cast(hits.schema["end"].dataType).alias("end"))
 
 
+def leftmost(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits of regexes at every start, folded to those that don't overlap: of each source and pattern the leftmost first."""
+    return _folded(hits, [*keys, "pattern_id"])
+
+
+def leftmost_longest(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Overlapping literal hits folded to the leftmost-longest ones of each source."""
+    return _folded(hits, keys)

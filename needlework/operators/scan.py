@@ -10,6 +10,7 @@ needed, the table is read once. A null haystack has no match.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -18,9 +19,14 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..plans.patterns import HotSwapPatternSet, PatternSet
-from ..plans.planner import MAP_PATTERNS, NATIVE, ScanConfig, strategy
+from ..plans.planner import MAP_PATTERNS, NATIVE, ScanConfig, sieve, strategy
 from ..types import MATCHES, PATTERN_SCHEMA
-from .arrow import matches_arrow, nested_rows, scan_rows
+from .arrow import any_arrow, first_arrow, matches_arrow, nested_rows, scan_rows, total_rows
+
+#: Bytes of a pattern table up to which a join broadcasts it.
+BROADCAST_BYTES = 8 << 20
+#: Literals up to which a test looks for each by itself.
+FEW = 8
 
 
 class Scanner(Protocol):
@@ -41,9 +47,10 @@ def pattern_table(df_or_spark, patterns: PatternSet) -> DataFrame:
 
 
 def _keys(df: DataFrame, patterns: PatternSet, every: bool) -> DataFrame:
-    """(key, pattern_id) of the literals, to be broadcast: a table of the driver's, no larger than the set."""
+    """(key, pattern_id) of the literals, to be broadcast if they are no more than ``BROADCAST_BYTES``."""
     rows = [(k, i) for k, ids in patterns.keys.items() for i in (ids if every else ids[:1])]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "_key string, _pattern int"))
+    table = df.sparkSession.createDataFrame(rows, "_key string, _pattern int")
+    return F.broadcast(table) if sum(len(k) + 16 for k, _ in rows) <= BROADCAST_BYTES else table
 
 
 def _names(df: DataFrame, keep: list[str] | None) -> list[Column]:
@@ -57,10 +64,38 @@ def _kept(df: DataFrame, col: str, keep: list[str] | None) -> list[str]:
     return keep
 
 
+def _any_of(c: Column, patterns: PatternSet) -> Column:
+    """Whether any of a few literals is in a binary column, each looked for by itself."""
+    tests = [F.contains(c, F.lit(bytearray(k.encode("latin-1")))) for k in patterns.keys]
+    return reduce(Column.__or__, tests)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it comes in fewer splits than half of them, as one small file does.
+
+    For tables as they are read: of a plan with a shuffle, counting the
+    partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def _hay(rows: DataFrame, patterns: PatternSet, config: ScanConfig) -> DataFrame:
+    """``rows`` for Python: those that the sieve leaves, the haystack as binary."""
+    if sieve(patterns, config):
+        rows = rows.where(_any_of(F.col("_hay").cast("binary"), patterns))
+    return rows.withColumn("_hay", F.col("_hay").cast("binary"))
+
+
 def nested(df: DataFrame, col: str, patterns: PatternSet, config: ScanConfig = ScanConfig(), into: str = "matches") -> DataFrame:
-    """``df`` with an array of (pattern_id, start, end) by (start, pattern_id, end); empty for a null haystack."""
+    """``df`` with an array of (pattern_id, start, end) by (start, pattern_id, end); empty for a null haystack.
+
+    ``native`` holds for ``MAP_PATTERNS`` literals at most.
+    """
     binary = is_binary(df, col)
-    if strategy(patterns, config) == NATIVE and len(patterns.keys) <= MAP_PATTERNS:
+    if config.strategy == NATIVE and strategy(patterns, config, "nested") == NATIVE:
+        if len(patterns.keys) > MAP_PATTERNS:
+            raise ValueError(f"arrays of matches are native for {MAP_PATTERNS} literals at most")
         found = C.matches(F.col(col), patterns, binary)
     else:
         found = matches_arrow(F.col(col).cast("binary"), patterns)
@@ -73,28 +108,39 @@ def scan(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None =
     Literals: at the leftmost start the longest, of duplicates the lowest id.
     Regexes: each by itself, leftmost-first, without overlaps of its own.
     Rows of matches are made in Arrow batches unless the native strategy is
-    asked for. ``max_matches`` fails the query if a row has that many or more;
-    ``first_n`` stops after so many of a row.
+    asked for. ``max_matches`` (by default that of ``config``) fails the query
+    if a row has that many or more; ``first_n`` stops after so many of a row.
     """
     keep = _kept(df, col, keep)
     rows = df.select(*_names(df, keep), F.col(col).alias("_hay"))
-    limits = max_matches is not None or first_n is not None
-    if strategy(patterns, config) != NATIVE or config.strategy == "auto":
-        if config.compat and limits:
-            raise ValueError("limits are for the leftmost-longest rule")
-        if not limits:
-            return scan_rows(rows.withColumn("_hay", F.col("_hay").cast("binary")), keep, patterns, compat=config.compat)
-    elif len(patterns.keys) > MAP_PATTERNS and not limits:
+    if config.compat and (max_matches is not None or first_n is not None):
+        raise ValueError("limits are for the leftmost-longest rule")
+    limit = config.max_matches if max_matches is None else max_matches
+    if strategy(patterns, config, "scan") != NATIVE:
+        return scan_rows(_hay(rows, patterns, config), keep, patterns, compat=config.compat, max_matches=limit, first_n=first_n)
+    if len(patterns.keys) > MAP_PATTERNS:
+        if max_matches is not None or first_n is not None:
+            raise ValueError(f"limits are native for {MAP_PATTERNS} literals at most")
         return _scan_joined(rows, keep, patterns, is_binary(df, col))
     found = nested(rows, "_hay", patterns, config, "_found")
-    own = F.col("_found")
-    if max_matches is not None:
-        own = F.when(F.size(own) < max_matches, own).otherwise(F.raise_error(F.concat(F.lit("MatchBufferOverflow: "), F.size(own).cast("string"))).cast(MATCHES))
-    if first_n is not None:
-        own = F.slice(own, 1, first_n)
+    own = F.col("_found") if first_n is None else F.slice("_found", 1, first_n)
+    own = F.when(F.size(own) < limit, own).otherwise(F.raise_error(F.concat(F.lit("MatchBufferOverflow: "), F.size(own).cast("string"))).cast(MATCHES))
     return found.select(*_names(df, keep), F.inline(own))
 
 
+def scan_totals(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None = None, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """For each row and pattern that it has: ``keep``, pattern_id, n_matches, n_bytes, least_start, largest_end.
+
+    What an aggregate over matches needs of them, made where they are found, so
+    that a row leaves Python for each pattern, not for each match.
+    """
+    keep = [c for c in df.columns if c != col] if keep is None else keep
+    if clash := {"pattern_id", "n_matches", "n_bytes", "least_start", "largest_end"} & set(keep):
+        raise ValueError(f"the result has columns of these names already: {sorted(clash)}")
+    rows = df.select(*_names(df, keep), F.col(col).alias("_hay"))
+    return total_rows(_hay(rows, patterns, config), keep, patterns)
+
+
 def _scan_joined(rows: DataFrame, keep: list[str], patterns: PatternSet, binary: bool) -> DataFrame:
     """Ids by a broadcast join on the matched text."""
     view = C.byte_view("_hay", binary)
@@ -127,8 +173,8 @@ def scan_overlapping(df: DataFrame, col: str, patterns: PatternSet, keep: list[s
     regexes = PatternSet(tuple(p for p in patterns.patterns if p.pattern_id in {r.pattern_id for r in patterns.regexes}))
     if not patterns.keys:
         return scan(df, col, patterns, keep, config)
-    if config.strategy != NATIVE:
-        return scan_rows(rows.withColumn("_hay", F.col("_hay").cast("binary")), keep, patterns, every=True)
+    if strategy(patterns, config, "overlapping") != NATIVE:
+        return scan_rows(_hay(rows, patterns, config), keep, patterns, every=True, max_matches=config.max_matches)
     lengths = F.array(*[F.lit(n) for n in sorted({len(k) for k in patterns.keys})])
     begins = C.let(C.byte_view("_hay", binary), lambda v: C.overlapping_hits(v, patterns)).cast("array<struct<_start:bigint,_window:string>>")
     starts = rows.select(*_names(rows, keep), F.inline(begins))
@@ -156,7 +202,7 @@ def max_per_source(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 def scan_count(df: DataFrame, col: str, patterns: PatternSet, into: str = "n_matches", config: ScanConfig = ScanConfig()) -> DataFrame:
     """``df`` with the number of matches, which aren't made; null for a null haystack."""
-    if strategy(patterns, config) == NATIVE:
+    if strategy(patterns, config, "count") == NATIVE:
         return df.withColumn(into, C.match_count(F.col(col), patterns, is_binary(df, col)))
     found = matches_arrow(F.col(col).cast("binary"), patterns)
     return df.withColumn(into, F.when(F.col(col).isNotNull(), F.size(found).cast("long")))
@@ -173,9 +219,11 @@ def no_match(df: DataFrame, col: str, patterns: PatternSet, config: ScanConfig =
 
 
 def _contains(df: DataFrame, col: str, patterns: PatternSet, config: ScanConfig) -> Column:
-    if strategy(patterns, config) == NATIVE:
+    if strategy(patterns, config, "any") == NATIVE:
+        if not patterns.regexes and not patterns.case_insensitive and 0 < len(patterns.keys) <= FEW:
+            return _any_of(F.col(col).cast("binary"), patterns)
         return C.contains_any(F.col(col), patterns, is_binary(df, col))
-    return F.size(matches_arrow(F.col(col).cast("binary"), patterns)) > 0
+    return any_arrow(F.col(col).cast("binary"), patterns)
 
 
 def pattern_flags(df: DataFrame, col: str, patterns: PatternSet, into: str = "flags") -> DataFrame:
@@ -185,14 +233,14 @@ def pattern_flags(df: DataFrame, col: str, patterns: PatternSet, into: str = "fl
 
 def first_match(df: DataFrame, col: str, patterns: PatternSet, into: str = "first_match") -> DataFrame:
     """``df`` with the first match, or null."""
-    if patterns.native and len(patterns.keys) <= MAP_PATTERNS:
+    if strategy(patterns, operator="first") == NATIVE:
         return df.withColumn(into, C.first_match(F.col(col), patterns, is_binary(df, col)))
-    return nested(df, col, patterns, into=into).withColumn(into, F.try_element_at(F.col(into), F.lit(1)))
+    return df.withColumn(into, first_arrow(F.col(col).cast("binary"), patterns))
 
 
 def scan_nested(df: DataFrame, col: str, patterns: PatternSet, config: ScanConfig = ScanConfig()) -> DataFrame:
     """``df`` without the haystack, with the array of its matches."""
-    if config.strategy == "auto":
+    if strategy(patterns, config, "nested") != NATIVE:
         others = [c for c in df.columns if c != col]
         return nested_rows(df.select(*_names(df, others), F.col(col).cast("binary").alias("_hay")), "_hay", patterns, "matches")
     return nested(df, col, patterns, config).drop(col)

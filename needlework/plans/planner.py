@@ -11,6 +11,8 @@ NATIVE, ARROW = "native", "arrow"
 MAP_PATTERNS = 64
 #: Literals beyond which Python's engine is faster than Java's.
 NATIVE_PATTERNS = 20_000
+#: Literals up to which each is looked for by itself, to leave out rows without any.
+SIEVE_PATTERNS = 16
 
 
 @dataclass(frozen=True)
@@ -19,7 +21,9 @@ class ScanConfig:
 
     ``compat`` gives literals another rule than leftmost-longest: shortest_all
     (at each start the shortest, with all its ids) or needle_by_needle (hits of
-    each literal first, then the leftmost and longest of them).
+    each literal first, then the leftmost and longest of them). ``max_matches``
+    fails a query if a haystack has that many matches or more. ``sieve`` lets
+    built-in tests leave out rows without a match before haystacks go to Python.
     """
 
     strategy: str = "auto"
@@ -30,6 +34,7 @@ class ScanConfig:
     batch_inputs: int = 4096
     batch_bytes: int = 256 << 20
     sort_by_size: bool = True
+    sieve: bool = True
 
     def with_chunk_bytes(self, n: int) -> ScanConfig:
         n = max(1, n)
@@ -42,27 +47,56 @@ class ScanConfig:
         return replace(self, max_matches=max(1, n))
 
 
-def strategy(patterns: PatternSet, config: ScanConfig = ScanConfig()) -> str:
-    """Native unless a regex can be empty or would recurse in Java, or the set is very large."""
+#: Results that are rows or arrays of matches; the others are counts, tests and first matches.
+ROWS = ("scan", "nested", "overlapping")
+OPERATORS = (*ROWS, "count", "any", "first")
+
+
+def choose(patterns: PatternSet, config: ScanConfig = ScanConfig(), operator: str = "scan") -> tuple[str, str]:
+    """The strategy of an operator, and why."""
     if config.strategy not in ("auto", NATIVE, ARROW):
         raise ValueError(f"unknown strategy {config.strategy}")
     if config.compat not in (None, "shortest_all", "needle_by_needle"):
         raise ValueError(f"unknown rule {config.compat}")
-    if config.compat and config.strategy == NATIVE:
-        raise ValueError("the native strategy is leftmost-longest")
+    if operator not in OPERATORS:
+        raise ValueError(f"unknown operator {operator}")
+    if config.compat:
+        if config.strategy == NATIVE:
+            raise ValueError("the native strategy is leftmost-longest")
+        return ARROW, f"the rule {config.compat} is Python's"
     if config.strategy == NATIVE and not patterns.native:
         raise ValueError("a regex of the set can't run in the native strategy")
-    if config.strategy != "auto" or config.compat:
-        return ARROW if config.compat else config.strategy
-    return NATIVE if patterns.native and len(patterns.keys) <= NATIVE_PATTERNS else ARROW
+    if config.strategy != "auto":
+        return config.strategy, "asked for"
+    if not patterns.native:
+        return ARROW, "a regex may be empty or repeats a group"
+    if operator in ROWS:
+        return ARROW, "offsets come with the matches"
+    if operator == "first" and len(patterns.keys) > MAP_PATTERNS:
+        return ARROW, f"more than {MAP_PATTERNS} literals"
+    if len(patterns.keys) > NATIVE_PATTERNS:
+        return ARROW, f"more than {NATIVE_PATTERNS} literals"
+    return NATIVE, "built-in functions count and test without making matches"
+
+
+def strategy(patterns: PatternSet, config: ScanConfig = ScanConfig(), operator: str = "scan") -> str:
+    return choose(patterns, config, operator)[0]
+
+
+def sieve(patterns: PatternSet, config: ScanConfig = ScanConfig()) -> bool:
+    """Whether rows without any match are left out by built-in tests before haystacks go to Python."""
+    return config.sieve and not patterns.case_insensitive and not patterns.regexes and 0 < len(patterns.keys) <= SIEVE_PATTERNS
 
 
-def describe(patterns: PatternSet, config: ScanConfig = ScanConfig()) -> dict:
-    """What a scan will do, for logs and tests."""
+def describe(patterns: PatternSet, config: ScanConfig = ScanConfig(), operator: str = "scan") -> dict:
+    """What an operator will do, for logs and tests."""
+    own, why = choose(patterns, config, operator)
     return {
-        "strategy": strategy(patterns, config),
+        "strategy": own,
+        "reason": why,
+        "sieve": own == ARROW and operator in ROWS and sieve(patterns, config),
         "literals": len(patterns.literals),
         "regexes": len(patterns.regexes),
-        "ids": "map" if len(patterns.keys) <= MAP_PATTERNS else "join",
+        "ids": "python" if own == ARROW else "map" if len(patterns.keys) <= MAP_PATTERNS else "join",
         "max_match_len": patterns.max_match_len,
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,7 +19,7 @@ from .operators import scan as S
 from .plans.patterns import HotSwapPatternSet, PatternSet
 from .plans.planner import ScanConfig
 from .sources.index import load_index, save_index
-from .streaming.stream import scan_stream
+from .streaming.stream import scan_stream, windowed_matches
 
 LITERALS = ("tion", "the", "thea", "ment", "ê", "sch", "ción", "ere")
 FOLDED = ("the", "and", "nicht", "que")
@@ -33,21 +36,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, in local sessions without one in a temporary folder."""
+    """A new path in the folder of ``spark.checkpoint.dir``, in local sessions without one in a temporary folder; it goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="needlework-")
-    return f"{base.rstrip('/')}/needlework/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/needlework/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return S.spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", "html")
+    return S.spread(table(spark, d, "pages").select("page_id", "html"))
 
 
 # -- scans -------------------------------------------------------------------
@@ -145,6 +156,63 @@ def scan_large_set_arrow(spark: SparkSession, d: str) -> DataFrame:
     return S.scan(documents(spark, d), "text", large_set(spark, d), config=ScanConfig(strategy="arrow"))
 
 
+def scan_joined(spark: SparkSession, d: str) -> DataFrame:
+    """A large set in the native strategy: ids by a join on the matched text."""
+    return S.scan(documents(spark, d), "text", large_set(spark, d), config=ScanConfig(strategy="native"))
+
+
+def scan_totals(spark: SparkSession, d: str) -> DataFrame:
+    return S.scan_totals(documents(spark, d), "text", PatternSet.of(*LITERALS), ["doc_id"])
+
+
+def scan_limited(spark: SparkSession, d: str) -> DataFrame:
+    """A scan that would fail if a document had a million matches."""
+    return S.scan(documents(spark, d), "text", PatternSet.of(*WORDS), config=ScanConfig().with_max_matches(1_000_000))
+
+
+def scan_shortest_all(spark: SparkSession, d: str) -> DataFrame:
+    return S.scan(documents(spark, d), "text", PatternSet.of("the", "thea", "ment", "the"), config=ScanConfig(compat="shortest_all"))
+
+
+def scan_needle_by_needle(spark: SparkSession, d: str) -> DataFrame:
+    return S.scan(documents(spark, d), "text", PatternSet.of("anan", "tion"), config=ScanConfig(compat="needle_by_needle"))
+
+
+def scan_bytes_and_names(spark: SparkSession, d: str) -> DataFrame:
+    """Literals given as bytes and a regex with a name, which the result carries."""
+    patterns = PatternSet.builder().literal_bytes("ê".encode()).named_regex("digits", DIGITS).literal_bytes(b"tion").build()
+    hits = S.scan(documents(spark, d), "text", patterns)
+    return hits.join(F.broadcast(S.pattern_table(spark, patterns).select("pattern_id", "name")), "pattern_id").select("doc_id", "pattern_id", "start", "end", F.coalesce("name", F.lit("-")).alias("name"))
+
+
+def any_match_arrow(spark: SparkSession, d: str) -> DataFrame:
+    """A test that stops at the first match of a regex that only Python runs."""
+    return S.any_match(documents(spark, d), "text", PatternSet.builder().regex(r"(?:an|on){2,100}").build()).select("doc_id")
+
+
+def scan_sql_function(spark: SparkSession, d: str) -> DataFrame:
+    S.register_udtf(spark, "scan_words", PatternSet.of(*WORDS))
+    documents(spark, d).createOrReplaceTempView("needlework_documents")
+    return spark.sql("select doc_id, pattern_id, start, end from needlework_documents, lateral scan_words(encode(text, 'UTF-8'))")
+
+
+def scan_chunked_regex(spark: SparkSession, d: str) -> DataFrame:
+    patterns = PatternSet.builder().regex(IP).regex(DIGITS).build()
+    return chunk.scan_chunked(documents(spark, d), "text", patterns, ["doc_id"], ScanConfig().with_chunk_bytes(4096), max_match_len=1000)
+
+
+def shortest_by_start(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping hits in chunks that share bytes, each once."""
+    return chunk.shortest_by_start(S.scan_overlapping(documents(spark, d), "text", PatternSet.of("anan", "heit", "ere")), ["doc_id"])
+
+
+def matched_by_one_only(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a match of one set and none of another."""
+    docs = documents(spark, d)
+    one, two = (S.any_match(docs, "text", PatternSet.of(*x)).select("doc_id") for x in (("tion",), ("sch", "ment")))
+    return one.subtract(two)
+
+
 # -- batches -------------------------------------------------------------------
 def coalesce_map(spark: SparkSession, d: str) -> DataFrame:
     return batch.coalesce_map(documents(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
@@ -160,7 +228,9 @@ def decoalesce(spark: SparkSession, d: str) -> DataFrame:
 
 
 def planned_batches(spark: SparkSession, d: str) -> DataFrame:
-    return batch.planned_batches(documents(spark, d), "doc_id", "text", ScanConfig(batch_inputs=64, batch_bytes=200_000), groups=16).withColumnRenamed("id", "doc_id")
+    """The greedy plan of every 256 ids, whatever the size of the table."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return batch.planned_batches(docs, "doc_id", "text", ScanConfig(batch_inputs=64, batch_bytes=200_000), F.floor(F.col("doc_id") / 256)).withColumnRenamed("id", "doc_id")
 
 
 # -- stored and swapped sets, streams --------------------------------------------
@@ -170,6 +240,27 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return S.scan(documents(spark, d), "text", load_index(spark, path))
 
 
+def index_names(spark: SparkSession, d: str) -> DataFrame:
+    """What a stored set says of its patterns."""
+    path = scratch(spark, "index")
+    save_index(spark, PatternSet.builder().literal("tion").named_literal("word", "the").named_regex("digits", DIGITS).regex(IP).build(), path)
+    found = S.pattern_table(spark, load_index(spark, path))
+    return found.select("pattern_id", "kind", F.coalesce("name", F.lit("-")).alias("name"), F.coalesce(F.octet_length("literal"), F.lit(0)).alias("n_bytes"))
+
+
+def windowed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Matching events by hour, from a stream with a watermark: the hours that it has passed."""
+    base = scratch(spark, "events")
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "props")
+    events.coalesce(1).write.parquet(f"{base}/in")
+    source = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+    found = windowed_matches(source, "props", PatternSet.builder().regex("[13579]").build(), "ts", "1 hour", late="2 hours")
+    found = found.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "n_events")
+    query = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{base}/out")
+
+
 def hot_swap(spark: SparkSession, d: str) -> DataFrame:
     patterns = HotSwapPatternSet(PatternSet.of("nothing"))
     patterns.swap(PatternSet.of("anan"))
@@ -208,17 +299,19 @@ def match_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_rollup(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
-    hits = S.scan(docs, "text", PatternSet.of(*LITERALS), ["lang", "source"])
-    out = hits.rollup("lang", "pattern_id").agg(F.count(F.lit(1)).alias("n_matches"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.grouping_id().alias("level"))
+    docs = S.spread(table(spark, d, "documents").select("lang", "text"))
+    totals = S.scan_totals(docs, "text", PatternSet.of(*LITERALS), ["lang"])
+    out = totals.rollup("lang", "pattern_id").agg(F.sum("n_matches").alias("n_matches"), F.sum("n_bytes").alias("n_bytes"), F.grouping_id().alias("level"))
     return out.select("lang", F.coalesce("pattern_id", F.lit(-1)).alias("pattern_id"), "n_matches", "n_bytes", F.col("level").cast("long").alias("level"))
 
 
 def match_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Largest gap between neighbouring matches of a document, and matches by kilobyte."""
-    hits = S.scan(documents(spark, d), "text", PatternSet.of("tion", "ment", "sch"))
-    gap = F.col("start") - F.lag("end").over(W.partitionBy("doc_id").orderBy("start"))
-    return hits.withColumn("gap", gap).groupBy("doc_id").agg(F.coalesce(F.max("gap"), F.lit(-1)).cast("long").alias("largest_gap"), F.count(F.lit(1)).alias("n_matches"), F.countDistinct(F.floor(F.col("start") / 1024)).alias("n_kilobytes"))
+    """Largest gap between neighbouring matches of a document, and matches by kilobyte; a document's matches stay together."""
+    found = S.scan_nested(documents(spark, d), "text", PatternSet.of("tion", "ment", "sch")).where(F.size("matches") > 0)
+    m = F.col("matches")
+    gaps = F.zip_with(F.slice(m, 2, F.size(m)), F.slice(m, 1, F.size(m) - 1), lambda b, a: b["start"] - a["end"])
+    kilobytes = F.array_distinct(F.transform(m, lambda x: F.floor(x["start"] / 1024)))
+    return found.select("doc_id", F.coalesce(F.array_max(gaps), F.lit(-1)).cast("long").alias("largest_gap"), F.size(m).cast("long").alias("n_matches"), F.size(kilobytes).cast("long").alias("n_kilobytes"))
 
 
 def match_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -228,8 +321,9 @@ def match_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docs_by_pattern(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.scan(table(spark, d, "documents").select("doc_id", "lang", "text"), "text", PatternSet.of(*LITERALS), ["doc_id", "lang"])
-    return hits.groupBy("lang", "pattern_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("start").cast("long").alias("least_start"), F.max("end").cast("long").alias("largest_end"))
+    """Matches by language and pattern, counted where they are found."""
+    totals = S.scan_totals(S.spread(table(spark, d, "documents").select("lang", "text")), "text", PatternSet.of(*LITERALS), ["lang"])
+    return totals.groupBy("lang", "pattern_id").agg(F.sum("n_matches").alias("n_matches"), F.min("least_start").alias("least_start"), F.max("largest_end").alias("largest_end"))
 
 
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +338,7 @@ def events_window_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    return docs.select("doc_id", F.length(C.byte_view("text")).cast("long").alias("n_bytes"), F.size(C.match_texts("text", PatternSet.of(*LITERALS))).cast("long").alias("n_texts"), C.contains_any("text", PatternSet.of(*WORDS)).alias("has_word"))
+    return docs.select("doc_id", C.byte_count("text", 0x65).alias("n_e"), C.fnv1a32(F.substring("text", 1, 8)).alias("fnv1a32"), F.length(C.byte_view("text")).cast("long").alias("n_bytes"), F.size(C.match_texts("text", PatternSet.of(*LITERALS))).cast("long").alias("n_texts"), C.contains_any("text", PatternSet.of(*WORDS)).alias("has_word"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -252,6 +346,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         docs_by_pattern, scan_literals, scan_single_literal, scan_literals_ci, scan_count, scan_visitor_limit, any_match, no_match, first_match, pattern_flags, scan_overlapping, scan_regex, scan_regex_pages,
         scan_mixed, scan_regex_arrow, scan_nested, batch_nested, scan_chunked, scan_chunked_leftmost, scan_large_set, scan_large_set_arrow, coalesce_map, decoalesce, planned_batches, index_roundtrip, hot_swap,
+        scan_joined, scan_totals, scan_limited, scan_shortest_all, scan_needle_by_needle, scan_bytes_and_names, any_match_arrow, scan_sql_function, scan_chunked_regex, shortest_by_start, matched_by_one_only, index_names, windowed_stream,
         stream_scan, pattern_names_join, match_topk, match_rollup, match_gaps, match_labels, redacted_text, events_window_matches, scalar_functions,
     )
 }
@@ -331,6 +426,29 @@ ORACLE_SQL: dict[str, str] = {
     "scan_nested": _nested_sql(_literal_sql(LITERALS)),
     "batch_nested": _nested_sql(_literal_sql(WORDS)),
     **dict.fromkeys(("scan_large_set", "scan_large_set_arrow"), _large_sql),
+    "scan_joined": _large_sql,
+    "scan_totals": f"""select doc_id, pattern_id, count(*) as n_matches, cast(sum("end" - start) as bigint) as n_bytes, cast(min(start) as bigint) as least_start, cast(max("end") as bigint) as largest_end from ({_literal_sql(LITERALS)}) group by doc_id, pattern_id""",
+    "scan_limited": _literal_sql(WORDS),
+    "scan_shortest_all": f"""select doc_id, cast(i as integer) as pattern_id, start, "end" from ({_literal_sql(("the", "ment"))}) join (values (0, 0), (0, 3), (1, 2)) as t(p, i) on p = pattern_id""",
+    "scan_needle_by_needle": _literal_sql(("anan",)) + " union all " + _hits("documents", "doc_id", "text", "tion", "cast(1 as integer)"),
+    "scan_bytes_and_names": " union all ".join(f"select *, {_quote(n)} as name from ({_hits('documents', 'doc_id', 'text', r, f'cast({i} as integer)')})" for i, r, n in ((0, "ê", "-"), (1, DIGITS, "digits"), (2, "tion", "-"))),
+    "any_match_arrow": "select doc_id from documents where regexp_matches(text, '(?:an|on){2,100}')",
+    "scan_sql_function": _literal_sql(WORDS),
+    "scan_chunked_regex": " union all ".join(_regex(i, r) for i, r in enumerate((IP, DIGITS))),
+    "shortest_by_start": _overlap_sql(("anan", "heit", "ere")),
+    "matched_by_one_only": "select doc_id from documents where contains(text, 'tion') and not regexp_matches(text, 'sch|ment')",
+    "index_names": "select * from (values (0::integer, 'literal', '-', 4::integer), (1::integer, 'literal', 'word', 3::integer), (2::integer, 'regex', 'digits', 0::integer), (3::integer, 'regex', '-', 0::integer)) as t(pattern_id, kind, name, n_bytes)",
+    "windowed_stream": "select date_trunc('hour', ts) as hour, count(*) as n_events from events where regexp_matches(props, '[13579]') group by all having date_trunc('hour', any_value(ts)) + interval 1 hour <= (select max(ts) from events where regexp_matches(props, '[13579]')) - interval 2 hour",
+    "planned_batches": """
+        with recursive sized as (
+            select doc_id, doc_id // 256 as "group", coalesce(octet_length(encode(text)), 0) as n, row_number() over (partition by doc_id // 256 order by coalesce(octet_length(encode(text)), 0) desc, doc_id) as k from documents
+        ), plan as (
+            select doc_id, "group", n, k, 0 as batch, 0 as place, n as total from sized where k = 1
+            union all
+            select s.doc_id, s."group", s.n, s.k, if(p.place + 1 >= 64 or p.total + s.n > 200000, p.batch + 1, p.batch), if(p.place + 1 >= 64 or p.total + s.n > 200000, 0, p.place + 1), if(p.place + 1 >= 64 or p.total + s.n > 200000, s.n, p.total + s.n)
+            from plan p join sized s on s."group" = p."group" and s.k = p.k + 1
+        ) select doc_id, "group", cast(batch as integer) as batch, cast(place as integer) as place from plan
+    """,
     "scan_chunked": _overlap_sql(OVERLAPPING),
     "scan_chunked_leftmost": _literal_sql(("<p>", "<p><b>", "</p>"), "pages", "page_id", "html"),
     "coalesce_map": 'select doc_id, coalesce(sum(strlen(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as "offset", strlen(text) as length from documents',
@@ -345,5 +463,5 @@ ORACLE_SQL: dict[str, str] = {
     "match_labels": f"select quality, count(*) as n_docs, sum({_count(WORDS)})::bigint as n_matches from labels join documents using (doc_id) group by quality",
     "redacted_text": f"select doc_id, md5(regexp_replace(regexp_replace(text, {_quote(EMAIL)}, '[x]', 'g'), {_quote(IP)}, '[x]', 'g')) as text_md5 from documents",
     "events_window_matches": "select date_trunc('hour', ts) as hour, event_type, count(*) as n_events from events where regexp_matches(props, '[13579]') group by all",
-    "scalar_functions": f"select doc_id, strlen(text) as n_bytes, {_count(LITERALS)} as n_texts, {_any_word} as has_word from documents",
+    "scalar_functions": f"select doc_id, len(text) - len(replace(text, 'e', '')) as n_e, list_reduce(list_prepend(2166136261::bigint, list_transform(range(octet_length(encode(text[1:8]))), lambda i: cast('0x' || substr(hex(encode(text[1:8])), 2 * i + 1, 2) as bigint))), lambda h, b: (xor(h, b) * 16777619) & 4294967295) as fnv1a32, strlen(text) as n_bytes, {_count(LITERALS)} as n_texts, {_any_word} as has_word from documents",
 }

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..errors import InputTooLarge
 from ..operators.arrow import compiled, scan_bytes
 from ..plans.patterns import HotSwapPatternSet, PatternSet
 
@@ -29,17 +30,29 @@ class StreamScanner:
     Regexes need a bounded length, or a ``max_match_len``.
     """
 
-    def __init__(self, patterns: PatternSet, mode: str = EXACT, max_match_len: int | None = None):
+    def __init__(self, patterns: PatternSet, mode: str = EXACT, max_match_len: int | None = None, limit: int = 1 << 62):
+        if mode not in (EXACT, EAGER):
+            raise ValueError(f"unknown mode {mode}")
         self.patterns, self.mode = patterns, mode
         longest = patterns.max_match_len if max_match_len is None else max_match_len
         if longest is None:
             raise ValueError("a regex of the set has no limit; give max_match_len")
-        self.longest = max(1, longest)
+        self.longest, self.limit = max(1, longest), limit
         self.buffer, self.base = b"", 0
         self.resume = {i: 0 for i in (-1, *[r.pattern_id for r in patterns.regexes])}
 
+    def state(self) -> tuple:
+        """What goes on from chunk to chunk; the patterns stay outside."""
+        return self.buffer, self.base, self.resume
+
+    def restore(self, state: tuple) -> StreamScanner:
+        self.buffer, self.base, self.resume = state
+        return self
+
     def feed(self, chunk: bytes) -> list[tuple[int, int, int]]:
-        """(start, pattern_id, end) of the matches that are now certain."""
+        """(start, pattern_id, end) of the matches that are now certain; a stream of ``limit`` bytes or more is an error."""
+        if self.base + len(self.buffer) + len(chunk) >= self.limit:
+            raise InputTooLarge(f"a stream of {self.base + len(self.buffer) + len(chunk)} bytes")
         return self._eager(chunk) if self.mode == EAGER else self._exact(chunk, False)
 
     def finish(self) -> list[tuple[int, int, int]]:
@@ -80,34 +93,43 @@ class StreamScanner:
         return sorted(out)
 
 
-def _update(patterns: Callable[[], PatternSet], mode: str, max_match_len: int | None) -> Callable:
+def _update(patterns: PatternSet, mode: str, max_match_len: int | None, idle_ms: int | None, limit: int) -> Callable:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        scanner, following, early = StreamScanner(patterns, mode, max_match_len, limit), 0, {}
         if state.exists:
-            scanner, following, early = pickle.loads(bytes(state.get[0]))
-        else:
-            scanner, following, early = StreamScanner(patterns(), mode, max_match_len), 0, {}
-        for frame in frames:
-            for seq, data, eos in zip(frame["seq"], frame["data"], frame["eos"], strict=True):
-                early[int(seq)] = (b"" if data is None else bytes(data), bool(eos))
-        found = []
-        while following in early:
-            data, eos = early.pop(following)
+            own, following, early = pickle.loads(bytes(state.get[0]))
+            scanner.restore(own)
+        found, over = [], state.hasTimedOut
+        if not over:
+            for frame in frames:
+                for seq, data, eos in zip(frame["seq"], frame["data"], frame["eos"], strict=True):
+                    if int(seq) >= following:  # a chunk that comes again is known
+                        early[int(seq)] = (b"" if data is None else bytes(data), bool(eos))
+        while following in early and not over:
+            data, over = early.pop(following)
             found += scanner.feed(data)
             following += 1
-            if eos:
-                found += scanner.finish()
-        state.update((pickle.dumps((scanner, following, early)),))
+        if over:
+            found += scanner.finish()
+            state.remove()
+        else:
+            state.update((pickle.dumps((scanner.state(), following, early)),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"stream_id": [key[0]] * len(found), "pattern_id": [i for _, i, _ in found], "start": [s for s, _, _ in found], "end": [e for _, _, e in found]})
 
     return run
 
 
-def scan_stream(chunks: DataFrame, patterns: PatternSet | HotSwapPatternSet, mode: str = EXACT, max_match_len: int | None = None) -> DataFrame:
+def scan_stream(chunks: DataFrame, patterns: PatternSet | HotSwapPatternSet, mode: str = EXACT, max_match_len: int | None = None, idle_ms: int | None = None, limit: int = 1 << 62) -> DataFrame:
     """Matches of a stream of chunks (stream_id, seq, data binary, eos): stream_id, pattern_id, start, end in the stream.
 
     ``seq`` counts from 0 in each stream; chunks that come early wait. ``eos``
-    marks the last one, whose matches are then final. Offsets are long. A
-    stream keeps the set that it began with.
+    marks the last one, whose matches are then final. Offsets are long; a
+    stream of ``limit`` bytes fails the query. A stream keeps the set that the
+    query began with. Its state is the bytes that a match may still need, not
+    the set, and goes with its last chunk, or when for ``idle_ms`` none came:
+    then what is there counts as the whole stream.
     """
     own = patterns.current() if isinstance(patterns, HotSwapPatternSet) else patterns
     if own.max_match_len is None and max_match_len is None:
@@ -115,7 +137,8 @@ def scan_stream(chunks: DataFrame, patterns: PatternSet | HotSwapPatternSet, mod
     kind = chunks.schema["stream_id"].dataType.simpleString()
     schema = f"stream_id {kind}, pattern_id int, start bigint, end bigint"
     grouped = chunks.select("stream_id", "seq", "data", "eos").groupBy("stream_id")
-    return grouped.applyInPandasWithState(_update(lambda: own, mode, max_match_len), schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return grouped.applyInPandasWithState(_update(own, mode, max_match_len, idle_ms, limit), schema, "state binary", "append", timeout)
 
 
 def scan_each_batch(source: DataFrame, col: str, patterns: HotSwapPatternSet, sink: Callable[[DataFrame, int], None], **options):

@@ -75,7 +75,7 @@ def test_golden(spark, case):
     if plain is not None:
         assert sorted(scan_bytes(raw, own)) == sorted((s, i, e) for i, s, e in plain)
         assert rows(S.scan(df, "hay", own)) == plain
-        if strategy(own) == "native":
+        if own.native:
             assert rows(S.scan(df, "hay", own, config=ScanConfig(strategy="native"))) == plain
         assert S.scan_count(df, "hay", own).first()["n_matches"] == len(plain)
         first = S.first_match(df, "hay", own).first()["first_match"]
@@ -137,7 +137,7 @@ def test_large_sets(spark):
         big = PatternSet.of("collab%2Enet", *[f"p{i:08x}" for i in range(n)])
         hay = spark.createDataFrame([(1, "a collab%2Enet p00000007 collab%2Enet")], "id int, hay string")
         assert [r[0] for r in rows(S.scan(hay, "hay", big))] == [0, 8, 0]
-    assert strategy(PatternSet.of(*[f"p{i:08x}" for i in range(30_000)])) == "arrow"
+    assert strategy(PatternSet.of(*[f"p{i:08x}" for i in range(30_000)]), operator="count") == "arrow"
 
 
 def test_limits(spark):
@@ -153,6 +153,41 @@ def test_limits(spark):
         S.max_per_source(hits, ["id"], 4).collect()
 
 
+def test_early_stops(spark, monkeypatch):
+    """Limits end a scan: the rest of the haystack isn't looked at."""
+    from needlework.operators import arrow
+
+    own = make(["a", "re:[0-9]x"])
+    data = b"a1x" * 100_000
+    some = arrow.iterate(data, own)
+    assert [next(some) for _ in range(3)] == [(0, 0, 1), (1, 1, 3), (3, 0, 4)]
+    df = spark.createDataFrame([(1, "a1x" * 1000), (2, None), (3, "none")], "id int, hay string")
+    assert rows(S.scan(df, "hay", own, first_n=3)) == [(0, 0, 1), (1, 1, 3), (0, 3, 4)]
+    for config in (ScanConfig().with_max_matches(10), ScanConfig(strategy="native").with_max_matches(10)):
+        with pytest.raises(Exception, match="MatchBufferOverflow"):
+            S.scan(df, "hay", own, config=config).collect()
+        assert S.scan(df.where("id > 1"), "hay", own, config=config).count() == 0
+    with pytest.raises(Exception, match="MatchBufferOverflow"):
+        S.scan_overlapping(df, "hay", make(["a"]), config=ScanConfig().with_max_matches(1000)).collect()
+    loops = make(["re:(?:a|b)+c"])  # Python's
+    assert [r["id"] for r in S.any_match(spark.createDataFrame([(1, "abac"), (2, "ab"), (3, None)], "id int, hay string"), "hay", loops).collect()] == [1]
+    assert tuple(S.first_match(spark.createDataFrame([(1, "xabac")], "id int, hay string"), "hay", loops).first()["first_match"]) == (0, 1, 5)
+
+
+def test_sieve_and_totals(spark):
+    df = spark.createDataFrame([(i, f"text {i} {'needle ' * (i % 3)}", None) for i in range(30)] + [(99, None, "x")], "id int, hay string, other string")
+    own = make(["needle", "text 1"])
+    every = rows(S.scan(df, "hay", own, ["id"], ScanConfig(sieve=False)))
+    assert rows(S.scan(df, "hay", own, ["id"])) == every
+    assert rows(S.scan(S.spread(df), "hay", own, ["id"])) == every and S.spread(df.coalesce(1)).rdd.getNumPartitions() > 1
+    totals = S.scan_totals(df, "hay", own, ["id"]).collect()
+    hits = S.scan(df, "hay", own, ["id"]).collect()
+    for r in totals:
+        mine = [(h["start"], h["end"]) for h in hits if (h["id"], h["pattern_id"]) == (r["id"], r["pattern_id"])]
+        assert (r["n_matches"], r["n_bytes"], r["least_start"], r["largest_end"]) == (len(mine), sum(e - s for s, e in mine), min(mine)[0], max(e for _, e in mine))
+    assert len(totals) == len({(h["id"], h["pattern_id"]) for h in hits})
+
+
 def test_errors():
     with pytest.raises(errors.EmptyPatternSet):
         PatternSet.builder().build()
@@ -174,8 +209,12 @@ def test_errors():
 
 
 def test_planner_and_config():
-    assert describe(make(["a", "re:b+"]))["strategy"] == "native"
-    assert describe(make(["re:(?:a|b)+c"]))["strategy"] == "arrow"
+    assert describe(make(["a", "re:b+"]), operator="count")["strategy"] == "native"
+    assert describe(make(["a", "re:b+"]))["strategy"] == "arrow" and describe(make(["a", "re:b+"]))["reason"] == "offsets come with the matches"
+    assert describe(make(["re:(?:a|b)+c"]), operator="count")["strategy"] == "arrow"
+    assert describe(make(["a"]))["sieve"] and not describe(make(["a", "re:b+"]))["sieve"]
+    many = make([f"{i:03d}" for i in range(65)])
+    assert describe(many, operator="first")["reason"] == "more than 64 literals" and describe(many, ScanConfig(strategy="native"))["ids"] == "join"
     own = ScanConfig().with_chunk_bytes(0)
     assert (own.chunk_bytes, own.overlap) == (1, 0)
     assert ScanConfig().with_chunk_bytes(10).with_overlap(99).overlap == 9
@@ -199,6 +238,13 @@ def test_batches(spark):
     offsets = batch.coalesce_map(items, "id", "hay")
     found = spark.createDataFrame([(0, 2, 5), (0, 3, 5), (0, 0, 3)], "pattern_id int, start int, end int")
     assert sorted((r["id"], r["start"], r["end"]) for r in batch.decoalesce(found, offsets, bucket=2).collect()) == [(0, 0, 3), (1, 0, 2)]
+    with pytest.raises(Exception, match="InputTooLarge"):
+        batch.coalesce_map(items, "id", "hay", limit=6).collect()
+    names = spark.createDataFrame([(f"k{i * 7 % 1000:03d}", "x" * (i % 9)) for i in range(1000)] + [(None, "null")], "id string, hay string")
+    at = 0
+    for r in sorted(batch.coalesce_map(names, "id", "hay").collect(), key=lambda r: (r["id"] is not None, r["id"])):
+        assert r["offset"] == at
+        at += r["length"]
     planned = batch.planned_batches(df, "id", "hay", ScanConfig(batch_inputs=2, batch_bytes=100))
     assert sorted((r["batch"], r["place"]) for r in planned.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
 
@@ -210,6 +256,24 @@ def test_chunks(spark):
     assert rows(chunk.leftmost_longest(hits, ["id"])) == [(0, 0, 5)]
 
 
+def test_regexes_in_chunks(spark):
+    """As one scan of the whole haystack, wherever the chunks begin."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab1\n") for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["1" * 25, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, hay string")
+    own = make(["ab", "re:[0-9]{2,4}", "re:^a[ab]?", "re:b$", "re:\\bb{1,2}\\b"])
+    literal = {"ab": 0}
+    want = sorted((i, *m) for i, t in enumerate(texts) if t is not None for m in [(n, s, e) for s, n, e in scan_bytes(t.encode(), own) if n] + overlapping(t.encode(), [k.encode() for k in literal]))
+    for size in (1, 2, 5, 100):
+        got = chunk.scan_chunked(df, "hay", own, ["id"], ScanConfig().with_chunk_bytes(size)).collect()
+        assert sorted((r["id"], r["pattern_id"], r["start"], r["end"]) for r in got) == want
+    limited = chunk.scan_chunked(df, "hay", make(["re:1+"]), ["id"], ScanConfig().with_chunk_bytes(7), max_match_len=40).collect()
+    assert sorted((r["id"], r["start"], r["end"]) for r in limited) == sorted((i, s, e) for i, t in enumerate(texts) for s, _, e in (scan_bytes(t.encode(), make(["re:1+"])) if t else []))
+    for bad in (["re:1+"], ["re:1{0,2}"]):
+        with pytest.raises(ValueError, match="limit|empty"):
+            chunk.scan_chunked(df, "hay", make(bad), ["id"])
+
+
 def test_index(spark, tmp_path):
     own = PatternSetBuilder().literal("a").literal_bytes(b"\xff\x00").named_regex("n", "b+").case_insensitive().build()
     save_index(spark, own, str(tmp_path / "x"))
