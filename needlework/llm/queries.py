@@ -92,6 +92,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_topk_search": r"""
+        with words as (select doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')) as w from documents),
+        found as (select doc_id, w, count(*) as c from words group by all),
+        sizes as (select doc_id, coalesce(n, 0) as n from documents left join (select doc_id, count(*) as n from words group by doc_id) using (doc_id)),
+        whole as (select count(*) as docs, sum(n) / count(*) as mean from sizes),
+        known as (select w, count(*) as df from found group by w),
+        scored as (
+            select q.doc_id as query_id, t.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * t.c * 2.2 / (t.c + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score
+            from found q join found t on t.w = q.w join known on known.w = q.w join sizes on sizes.doc_id = t.doc_id, whole where q.doc_id % 100 = 0 group by q.doc_id, t.doc_id
+        )
+        select query_id, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank, doc_id, score from scored qualify rank <= 10
+    """,
     "op3_warc": """
         with rows as (select page_id, encode(coalesce(html, '')) as payload from pages),
         firsts as (select *, sha1(payload) as h, min(page_id) over (partition by payload) as first_id from rows),

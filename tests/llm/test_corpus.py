@@ -412,6 +412,45 @@ def test_pipeline(spark, tmp_path, path):
         assert {i: np.frombuffer(b"".join(b for _, b in sorted(p)), "<u4").tolist() for i, p in pieces.items()} == {i: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1] for i, r in left.items()}
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Columns whose names the stages use stay as they are; an empty table gives an empty result."""
+    rng = random.Random(11)
+    passage = " ".join(prose(rng, 70))
+    rows = [(i, " ".join(prose(rng, 60)) + (" " + passage if i % 3 == 0 else ""), "en" if i % 2 else None, f"s{i}") for i in range(12)] + [(50, None, "en", "s"), (51, "", "en", "s"), (7, "again the same id", "en", "t"), (None, "no id has this one", "en", "u")]
+    rows += [(60, rows[4][1], "en", "copy")]
+    names = ["score", "lang_pred", "languages", "row", "listed", "cut_id", "cuts", "number", "key", "d", "body", "id", "_id", "_cuts", "_gone", "_number"]
+    docs = spark.createDataFrame([(*r, *[f"{n} {r[3]}" for n in names]) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = common.materialize(stage(spark, docs, ""), name)
+        got = docs.collect()
+        assert docs.columns == columns and all(r[n] == f"{n} {r['source']}" for r in got for n in names)
+    assert {r["doc_id"] for r in got} == {*range(12), None} and len(got) == 13
+    assert sum(passage in r["text"] for r in got) == 1
+    docs.drop(*names).withColumn("n_chars", docs.doc_id).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql(spark, sf):
+    """Queries that SQL can express against it."""
+    import os
+
+    import duckdb
+
+    data = f"/root/testdata/{sf}"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    duck = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        duck.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    for name, sql in Q.ORACLE_SQL.items():
+        got, want = Q.QUERIES[name](spark, data).toPandas(), duck.sql(sql).df()
+        one = lambda v: "-" if str(v) in ("None", "nan", "<NA>") else f"{v:.6f}" if isinstance(v, float) else f"{int(v)}.000000" if isinstance(v, (int, np.integer)) else str(v)
+        plain = lambda x: sorted(tuple(map(one, r)) for r in x[sorted(x.columns)].astype(object).itertuples(index=False, name=None))
+        assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want), name
+
+
 def test_pipeline_keeps_multilingual(spark):
     rng = random.Random(10)
     letters = ["abcde", "fghij", "klmno", "pqrst"]
