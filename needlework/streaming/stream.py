@@ -129,7 +129,9 @@ def scan_stream(chunks: DataFrame, patterns: PatternSet | HotSwapPatternSet, mod
     stream of ``limit`` bytes fails the query. A stream keeps the set that the
     query began with. Its state is the bytes that a match may still need, not
     the set, and goes with its last chunk, or when for ``idle_ms`` none came:
-    then what is there counts as the whole stream.
+    then what is there counts as the whole stream. As timeouts ask for further
+    batches, a query with ``idle_ms`` ends by a one-batch trigger or when it is
+    stopped, not by ``availableNow``.
     """
     own = patterns.current() if isinstance(patterns, HotSwapPatternSet) else patterns
     if own.max_match_len is None and max_match_len is None:

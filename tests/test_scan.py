@@ -14,7 +14,7 @@ from needlework.operators.arrow import scan_bytes
 from needlework.plans.patterns import HotSwapPatternSet, PatternSet, PatternSetBuilder
 from needlework.plans.planner import ScanConfig, describe, strategy
 from needlework.sources.index import load_index, save_index
-from needlework.streaming.stream import EAGER, StreamScanner
+from needlework.streaming.stream import EAGER, StreamScanner, scan_stream
 
 ROCKET = "\U0001f680"
 
@@ -328,6 +328,34 @@ def test_stream_equals_scan():
         assert got == sorted((i, s, e) for s, i, e in scan_bytes(data.encode(), make(patterns))), (patterns, parts)
 
 
+def test_stream_state(spark, tmp_path):
+    """A stream's state goes with its last chunk, or when nothing came for a while; chunks may come again."""
+    import time
+
+    schema = "stream_id long, seq int, data binary, eos boolean"
+
+    def put(*chunks):
+        spark.createDataFrame([(i, n, bytearray(d), e) for i, n, d, e in chunks], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = scan_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), make(["needle"]), idle_ms=1000)
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(once=True).start().awaitTermination(60)
+        got = sorted((r["stream_id"], r["start"]) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect())
+        return got, spark.read.format("statestore").load(str(tmp_path / "check")).count()
+
+    assert put((1, 0, b"a nee", False), (1, 1, b"dle", True), (2, 0, b"xx needl", False), (3, 1, b"needle", True)) == ([(1, 2)], 2)
+    assert put((2, 0, b"xx needl", False), (2, 1, b"e, needl", False), (3, 0, b"", False)) == ([(1, 2), (2, 3), (3, 0)], 1)
+    time.sleep(1.5)
+    assert put((4, 0, b"x", True))[1] == 0
+
+
+def test_stream_limit():
+    own = StreamScanner(make(["ab"]), limit=10)
+    own.feed(b"12345")
+    with pytest.raises(errors.InputTooLarge):
+        own.feed(b"67890")
+    again = StreamScanner(make(["ab"])).restore(own.state())
+    assert again.feed(b"ab") == [] and again.finish() == [(5, 0, 7)]
+
+
 def test_hot_swap_and_udtf(spark):
     one, two = make(["a"]), make(["b"])
     own = HotSwapPatternSet(one)
