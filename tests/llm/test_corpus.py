@@ -371,12 +371,34 @@ def test_near_duplicates_of_families(spark):
     assert {r["doc_id"]: r["class_id"] for r in found} == brute_classes(rows)
 
 
-def test_near_duplicates_of_tables(spark, data_dir):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
-    found = Q.op10_probminhash(spark, data_dir).collect()
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_duplicates_of_tables(spark, sf):
+    data = Path("/root/testdata") / sf
+    if not data.is_dir():
+        pytest.skip("no test tables here")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    found = Q.op10_probminhash(spark, str(data)).collect()
     assert {r["doc_id"]: r["class_id"] for r in found} == brute_classes(rows)
 
 
+def test_block():
+    """Links of an inverted index against all pairs, weighted sets among them."""
+    rng = random.Random(12)
+    base = prose(rng, 60)
+    sets = []
+    for i in range(60):
+        own = list(base) + base[: i % 3 * 10]
+        for _ in range(i % 5):
+            own[rng.randrange(len(own))] = f"e{rng.random()}"
+        sets.append(probminhash.weighted_set(" ".join(own)))
+    classes = [i % 4 for i in range(60)]
+    block = probminhash.Block(list(range(60)), classes, [c != 0 for c in classes], sets)
+    for i in range(60):
+        want = {j for j in range(60) if classes[j] != classes[i] and (classes[j] == 0 or j < i) and probminhash.similarity(sets[i], sets[j]) >= 0.8}
+        got = block.links(i, classes[i], sets[i], 0.8)
+        assert {j for j, _ in got} == want and all(s >= 0.8 for _, s in got)
+
+
 # -- pipeline ------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path, path):
     """The stages one by one, and ``run`` as a whole, against their parts' definitions."""
