@@ -434,6 +434,60 @@ def test_likeness_of_short_texts():
     assert of("hello world", "hello worlds") > 0.6 and of("ab", "ab") == of("", "") == 1
 
 
+# -- the registered queries over whole tables --------------------------------------
+def texts_of(spark, data_dir) -> dict[int, str]:
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+
+
+def test_op7(spark, data_dir, tokenizer):
+    texts = texts_of(spark, data_dir)
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in Q.op7_packing(spark, data_dir).collect():
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == set(texts)
+    total = 0
+    for i, own in pieces.items():
+        ids, at = [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 1], 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : at], "<u4").tobytes())
+        assert at == len(ids)
+        total += at
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert 1 - total / (2048 * len(sequences)) < 0.03
+
+
+def test_op8(spark, data_dir):
+    texts = texts_of(spark, data_dir)
+    ids = sorted(texts)
+    got = {r["doc_id"]: r for r in Q.op8_fingerprints(spark, data_dir).collect()}
+    assert sorted(got) == ids
+    for i, then in zip(ids, [*ids[1:], ids[0]], strict=True):
+        half = len(texts[i]) // 2
+        other = texts[i][: len(texts[i]) - half] + texts[then][:half]
+        own = digest.digest(texts[i])
+        assert got[i]["n_chars"] == len(texts[i]) and got[i]["edited_sha256"] == hashlib.sha256(other.encode()).hexdigest()
+        assert got[i]["fingerprint"] == own.hex() and got[i]["edited_fingerprint"] == digest.digest(other).hex()
+        assert got[i]["near_edited"] == digest.likeness(own, digest.digest(other)) and got[i]["near_next"] == digest.likeness(own, digest.digest(texts[then]))
+
+
+def test_op9(spark, data_dir, tokenizer):
+    texts = texts_of(spark, data_dir)
+    got = {r["doc_id"]: r for r in Q.op9_bpe(spark, data_dir).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
+
+
 # -- words -------------------------------------------------------------------------
 def test_words():
     rng = random.Random(7)
