@@ -35,7 +35,7 @@ from .common import Scratch, scratch_path
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Limits of a shard.
-SHARD_DOCS, SHARD_POSTINGS = 1 << 16, 2_000_000
+SHARD_DOCS, SHARD_POSTINGS = 1 << 16, 1_500_000
 #: Terms of the queries that are searched at once, about; so much is broadcast.
 QUERY_TERMS = 1_000_000
 DECIMALS, MARGIN = 6, 1e-5
