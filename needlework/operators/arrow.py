@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -261,13 +262,20 @@ def total_rows(rows: DataFrame, keep: list[str], patterns: PatternSet) -> DataFr
     schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], *[T.StructField(c, k) for c, k in zip(numbers, kinds, strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        literal, ids, regexes = compiled(patterns)
+        fold = bytes.lower if patterns.case_insensitive else bytes
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
                 take, totals = [], []
                 for row, value in enumerate(part.column(part.num_columns - 1).to_pylist()):
                     own: dict[int, list[int]] = {}
-                    for s, i, e in scan_bytes(value, patterns) if value is not None else ():
+                    if value is not None and not regexes:
+                        hits = [(fold(m.group()), m.end()) for m in literal.finditer(value)]
+                        last, first_end, counts = dict(hits), dict(reversed(hits)), Counter(w for w, _ in hits)
+                        for w, n in counts.items():
+                            own[ids[w]] = [n, n * len(w), first_end[w] - len(w), last[w]]
+                    for s, i, e in scan_bytes(value, patterns) if value is not None and regexes else ():
                         if i in own:
                             t = own[i]
                             t[0] += 1
