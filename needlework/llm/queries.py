@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, digest, hilbert, language, packing, probminhash, search, substring, warc
+from . import audit, bpe, chat, counting, digest, hilbert, language, packing, probminhash, resampling, search, substring, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,6 +78,18 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_language_id": op2_language_id,
@@ -89,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_probminhash": op10_probminhash,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +143,37 @@ ORACLE_SQL: dict[str, str] = {
             cast(sum(length('<|turn|>') + length(role) + length('<|body|>') + length(escaped) + length('<|end|>')) as bigint) as formatted_chars
         from marked group by conv_id
     """,
+    "op12_filter_audit": r"""
+        with docs as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, min(doc_id) over (partition by coalesce(text, '')) as first_id from documents),
+        words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from docs),
+        flags as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+        judged as (
+            select part, coalesce(good, false)::int as good, coalesce(toxic, false)::int as toxic,
+                (case when len(w) < 100 then 1 else 0 end) + (case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end)
+                + (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 4 else 0 end)
+                + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when doc_id > first_id then 16 else 0 end) as mask
+            from words left join flags using (doc_id)
+        ),
+        cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from judged group by all),
+        letters as (select unnest(range(5)) as f),
+        orders as (
+            select [a.f, b.f, c.f, d.f, e.f] as o from letters a, letters b, letters c, letters d, letters e
+            where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ),
+        steps as (select o, s, o[s] as f, list_sum(list_prepend(0, list_transform(o[:s - 1], lambda x: 1 << x))) as before from orders, (select unnest(range(1, 6)) as s)),
+        counted as (
+            select part, o, s, f,
+                sum(case when mask & (before + (1 << f)) = 0 then n else 0 end) as kept,
+                sum(case when mask & before = 0 and mask & (1 << f) > 0 then n else 0 end) as removed,
+                sum(case when mask & before > 0 and mask & (1 << f) > 0 then n else 0 end) as redundant,
+                sum(case when mask = 1 << f then n else 0 end) as unique_fails,
+                sum(case when mask & before = 0 and mask & (1 << f) > 0 then good else 0 end) as good_lost,
+                sum(case when mask & before = 0 and mask & (1 << f) > 0 then toxic else 0 end) as toxic_lost
+            from cells, (select o, s, f, before::bigint as before from steps) group by all
+        )
+        select part, list_aggregate(list_transform(o, lambda x: substr('ABCDE', x::int + 1, 1)), 'string_agg', '') as filter_order, s::int as step,
+            kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+            good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley
+        from counted
+    """,
 }
