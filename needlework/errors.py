@@ -45,5 +45,9 @@ class MatchBufferOverflow(ScanError):
     pass
 
 
+class MatchTooLong(ScanError):
+    """A match that goes on where the bytes at hand end, or one longer than was said."""
+
+
 class IndexCorrupt(ScanError):
     pass

@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import MatchBufferOverflow
+from ..errors import MatchBufferOverflow, MatchTooLong
 from ..plans.literals import start_regex
 from ..plans.patterns import PatternSet
 from ..types import MATCHES
+from .greedy import HITS
 
 
 @lru_cache(maxsize=32)
@@ -133,13 +134,27 @@ def found_anywhere(data: bytes, patterns: PatternSet) -> bool:
     return bool(literal and literal.search(data)) or any(r.search(data) for _, r in regexes)
 
 
-def starting_anywhere(data: bytes, patterns: PatternSet, low: int, high: int) -> Iterator[tuple[int, int, int]]:
-    """(start, pattern_id, end) of each regex's match at every start from ``low`` to before ``high``, though it overlaps another."""
-    for i, regex in compiled(patterns)[2]:
-        at = low
+def met(regex: re.Pattern, data: bytes, low: int, high: int, region: int, whole: bool) -> dict[int, int]:
+    """Start and end of what a walk may meet that comes in anywhere from ``low`` to ``low + region``: the first match from each
+    such place on, and the chains that go on at their ends, as far as they start before ``high``."""
+    found: dict[int, int] = {}
+
+    def follow(at: int) -> int:
+        """The first start from ``at`` on; its chain is in ``found`` then."""
+        first = -1
         while at < high and (m := regex.search(data, at)) and m.start() < high:
-            yield m.start(), i, m.end()
-            at = m.start() + 1
+            first = m.start() if first < 0 else first
+            if m.start() in found:
+                break
+            if m.end() == len(data) and not whole:
+                raise MatchTooLong(f"a match of {m.end() - m.start()} bytes or more goes on beyond its chunk; raise max_match_len")
+            found[m.start()] = at = m.end()
+        return first if first >= 0 else high
+
+    at = low
+    while at < min(high, low + region):
+        at = follow(at) + 1
+    return found
 
 
 def matches_arrow(c: Column, patterns: PatternSet) -> Column:
@@ -174,8 +189,8 @@ def first_arrow(c: Column, patterns: PatternSet) -> Column:
     return F.when(one["start"].isNotNull(), one)
 
 
-def nested_rows(df: DataFrame, hay: str, patterns: PatternSet, into: str) -> DataFrame:
-    """``df``, whose column ``hay`` is binary, with the array of its matches instead of it."""
+def nested_rows(df: DataFrame, hay: str, patterns: PatternSet, into: str, max_matches: int) -> DataFrame:
+    """``df``, whose column ``hay`` is binary, with the array of its matches instead of it; so many fail the query."""
     keep = [c for c in df.columns if c != hay]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(into, T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("pattern_id", "start", "end")])))])
 
@@ -186,7 +201,9 @@ def nested_rows(df: DataFrame, hay: str, patterns: PatternSet, into: str) -> Dat
                 found, ends = [], [0]
                 for value in part.column(part.num_columns - 1).to_pylist():
                     if value is not None:
-                        found += scan_bytes(value, patterns)
+                        found += scan_bytes(value, patterns) if len(value) < max_matches else bounded(iterate(value, patterns), max_matches)
+                    if len(found) - ends[-1] >= max_matches:
+                        overflow(max_matches)
                     ends.append(len(found))
                 columns = [pa.array([m[k] for m in found], pa.int32()) for k in (1, 0, 2)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["pattern_id", "start", "end"]))
@@ -203,6 +220,14 @@ def overflow(n: int) -> None:
     raise MatchBufferOverflow(f"{n} matches or more")
 
 
+def bounded(found: Iterator, n: int) -> Iterator:
+    """``found``, or an error as soon as there are ``n``."""
+    for k, m in enumerate(found, 1):
+        if k == n:
+            overflow(n)
+        yield m
+
+
 def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: bool = False, compat: str | None = None, max_matches: int | None = None, first_n: int | None = None) -> DataFrame:
     """``keep``, pattern_id, start, end for every match in the last column, a binary one; with ``every``, overlapping literals.
 
@@ -232,20 +257,16 @@ def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: boo
                 counts, found, starts, ends = [], [], [], []
                 for value in part.column(part.num_columns - 1).to_pylist():
                     before = len(found)
-                    if value is not None and (regexes or every or compat or first_n is not None):
-                        for s, i, e in all_of(value):
+                    if value is not None and (regexes or every or compat or first_n is not None or len(value) >= (max_matches or 0) > 0):
+                        for s, i, e in all_of(value) if max_matches is None else bounded(all_of(value), max_matches):
                             found.append(i)
                             starts.append(s)
                             ends.append(e)
-                            if len(found) - before == max_matches:
-                                overflow(max_matches)
-                    elif value is not None:
-                        for m in literal.finditer(value):
-                            found.append(ids[m.group() if fold is None else fold(m.group())])
-                            starts.append(m.start())
-                            ends.append(m.end())
-                            if len(found) - before == max_matches:
-                                overflow(max_matches)
+                    elif value is not None:  # a match has a byte at least, so there can't be too many
+                        hits = list(literal.finditer(value))
+                        found += [ids[m.group()] for m in hits] if fold is None else [ids[fold(m.group())] for m in hits]
+                        starts += [m.start() for m in hits]
+                        ends += [m.end() for m in hits]
                     counts.append(len(found) - before)
                 if found:
                     take = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int32())
@@ -293,27 +314,35 @@ def total_rows(rows: DataFrame, keep: list[str], patterns: PatternSet) -> DataFr
     return rows.mapInArrow(run, schema)
 
 
-def chunk_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, before: int) -> DataFrame:
-    """``keep``, pattern_id, start, end (in the whole haystack) of what the regexes match at every start in a chunk.
+def chunk_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, size: int, longest: int) -> DataFrame:
+    """``keep``, pattern_id, _block and _hits (in the whole haystack) of what a walk along each regex may meet in a chunk.
 
-    ``rows`` have ``keep``, chunk_start, the chunk's size and its bytes, ahead
-    of which are ``before`` bytes of the chunk that comes first.
+    ``rows`` have ``keep``, chunk_start, the chunk's own size, whether the
+    haystack ends in its bytes, and these, ahead of which is the last byte of
+    the chunk that comes first.
     """
-    numbers = ["pattern_id", "start", "end"]
-    schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], T.StructField("pattern_id", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in numbers[1:]]])
+    schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], T.StructField("pattern_id", T.IntegerType()), T.StructField("_block", T.LongType()), T.StructField("_hits", HITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regexes = compiled(patterns)[2]
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
-                take, found = [], []
-                for row, (at, size, value) in enumerate(zip(*(c.to_pylist() for c in part.columns[-3:]), strict=True)):
-                    lead = min(before, at)
-                    for s, i, e in starting_anywhere(value, patterns, lead, lead + max(1, size)):
-                        take.append(row)
-                        found.append((i, s + at - lead, e + at - lead))
-                if found:
+                take, ids, blocks, ends, starts, stops = [], [], [], [0], [], []
+                for row, (at, own, whole, value) in enumerate(zip(*(c.to_pylist() for c in part.columns[-4:]), strict=True)):
+                    lead = min(1, at)
+                    for i, regex in regexes:
+                        if found := met(regex, value, lead, lead + max(1, own), longest, whole):
+                            take.append(row)
+                            ids.append(i)
+                            blocks.append(at // size)
+                            starts += [s + at - lead for s in found]
+                            stops += [e + at - lead for e in found.values()]
+                            ends.append(len(starts))
+                if take:
                     columns = [part.column(k).take(pa.array(take, pa.int32())) for k in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int32() if n == 0 else pa.int64()) for n, x in enumerate(zip(*found, strict=True))]], [*keep, *numbers])
+                    numbers = [pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array([i for i, a, b in zip(ids, ends, ends[1:], strict=False) for _ in range(b - a)], pa.int64())]
+                    hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(numbers, ["start", "end", "pattern_id"]))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.int32()), pa.array(blocks, pa.int64()), hits], schema.names)
 
     return rows.mapInArrow(run, schema)

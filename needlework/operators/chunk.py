@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
 from ..plans.patterns import PatternSet
 from ..plans.planner import ScanConfig
+from . import greedy
 from .arrow import chunk_rows
-from .scan import is_binary, scan_overlapping
+from .scan import NO_LIMIT, is_binary, limited, overflow, scan_overlapping
 
 
 def shard_plan(length: int, shards: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -20,9 +22,9 @@ def shard_plan(length: int, shards: int, overlap: int) -> list[tuple[int, int, i
 
 
 def chunks(df: DataFrame, col: str, size: int, overlap: int, before: int = 0) -> DataFrame:
-    """One row per chunk: the other columns, chunk_start, nominal_end and ``col`` as binary, ``overlap`` bytes longer.
+    """One row per chunk: the other columns, chunk_start, nominal_end, _whole and ``col`` as binary, ``overlap`` bytes longer.
 
-    ``before`` bytes ahead of the chunk come with it. The pieces are cut before
+    _whole tells whether the haystack ends in these bytes. ``before`` bytes ahead of the chunk come with it. The pieces are cut before
     they become rows, so a haystack isn't copied once per chunk.
     """
     raw = F.col(col) if is_binary(df, col) else F.encode(F.col(col), "UTF-8")
@@ -34,7 +36,8 @@ def chunks(df: DataFrame, col: str, size: int, overlap: int, before: int = 0) ->
         def piece(at: Column) -> Column:
             first = F.greatest(F.lit(0), at - before)
             end = F.least(at + size, F.octet_length(own))
-            return F.struct(at.alias("chunk_start"), end.alias("nominal_end"), F.substring(own, first + 1, at - first + size + overlap).alias(col))
+            whole = at + size + overlap >= F.octet_length(own)
+            return F.struct(at.alias("chunk_start"), end.alias("nominal_end"), whole.alias("_whole"), F.substring(own, first + 1, at - first + size + overlap).alias(col))
 
         return F.transform(starts, piece)
 
@@ -45,33 +48,54 @@ def scan_chunked(df: DataFrame, col: str, patterns: PatternSet, keep: list[str],
     """As ``scan_overlapping``, chunk by chunk; a hit belongs to the chunk in which it starts.
 
     The overlap is that of the longest match at least: regexes need a bounded
-    length, or a ``max_match_len``. Their matches don't overlap, which chunks
-    can't know of each other: each chunk gives what matches at every start, and
-    a fold by source keeps the leftmost ones. ``keep`` tells sources apart.
-    ``spread`` deals the chunks out to so many tasks before the scan.
+    length, or a ``max_match_len``; one that still goes on where a chunk's
+    bytes end is an error (``MatchTooLong``), never cut. Matches of a regex
+    don't overlap, which chunks can't know of each other: each gives what a
+    walk may meet in it wherever it comes in, and ``greedy.pick`` keeps what
+    the walk from the haystack's beginning meets. ``spread`` deals the chunks
+    out to so many tasks before the scan. The limit of ``config`` on matches
+    holds for haystacks, not chunks.
     """
     longest = patterns.max_match_len if max_match_len is None else max_match_len
     if longest is None:
         raise ValueError("a regex of the set has no limit; give max_match_len")
     if any(r.least == 0 for r in patterns.regexes):
         raise ValueError("a regex of the set may be empty")
-    before = 1 if patterns.regexes else 0  # for the looks behind, as one byte more for those ahead
-    overlap = max(config.overlap, longest - 1 + 2 * before, patterns.max_pattern_len - 1)
-    parts = chunks(df.select(*keep, col), col, config.chunk_bytes, overlap, before)
-    if spread:
-        parts = parts.repartition(spread)
-    at = [*keep, "pattern_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")]
+    own = [c for c in df.columns if c in {*keep, col}]
+    rows = df.select(*[F.col(f"`{c}`") for c in own]).withColumn("_row", F.monotonically_increasing_id())
     found = []
+    regexes = {r.pattern_id for r in patterns.regexes}
     if patterns.keys:
-        plain = PatternSet(tuple(p for p in patterns.patterns if p.pattern_id not in {r.pattern_id for r in patterns.regexes}), patterns.case_insensitive, patterns.regex_limit)
-        hits = scan_overlapping(parts, col, plain, [*keep, "chunk_start", "nominal_end"], config)
-        hits = hits.withColumn("by", F.col("chunk_start") - F.least(F.lit(before), F.col("chunk_start")))
-        moved = hits.withColumns({"start": F.col("start") + F.col("by"), "end": F.col("end") + F.col("by")})
-        found.append(moved.where("start >= chunk_start and start < nominal_end").select(*at))
-    if patterns.regexes:
-        rows = parts.select(*keep, "chunk_start", (F.col("nominal_end") - F.col("chunk_start")).alias("_size"), F.col(col).alias("_hay"))
-        found.append(leftmost(chunk_rows(rows, keep, patterns, before), keep).select(*at))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        plain = PatternSet(tuple(p for p in patterns.patterns if p.pattern_id not in regexes), patterns.case_insensitive, patterns.regex_limit)
+        hits = lambda some: _literals(some, col, plain, keep, config, spread)
+        found.append(limited(rows, col, is_binary(df, col), hits, plain, config.max_matches))
+    if regexes:
+        found.append(_regexes(rows, col, patterns, keep, config, spread, longest))
+    names = [*[F.col(f"`{c}`") for c in keep], "pattern_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")]
+    both = [f.select(*names) for f in found]
+    return both[0] if len(both) == 1 else both[0].unionByName(both[1])
+
+
+def _literals(rows: DataFrame, col: str, patterns: PatternSet, keep: list[str], config: ScanConfig, spread: int | None) -> DataFrame:
+    parts = chunks(rows, col, config.chunk_bytes, max(config.overlap, patterns.max_pattern_len - 1))
+    parts = parts.repartition(spread) if spread else parts
+    hits = scan_overlapping(parts, col, patterns, [*keep, "_row", "chunk_start", "nominal_end"], replace(config, max_matches=NO_LIMIT))
+    moved = hits.withColumns({"start": F.col("start") + F.col("chunk_start"), "end": F.col("end") + F.col("chunk_start")})
+    return moved.where("start < nominal_end").drop("chunk_start", "nominal_end")
+
+
+def _regexes(rows: DataFrame, col: str, patterns: PatternSet, keep: list[str], config: ScanConfig, spread: int | None, longest: int) -> DataFrame:
+    before, size = 1, max(config.chunk_bytes, longest)  # a byte ahead for looks behind, one more behind for those ahead
+    parts = chunks(rows, col, size, max(config.overlap, longest) + 1, before)
+    parts = parts.repartition(spread) if spread else parts
+    names = [*[F.col(f"`{c}`") for c in keep], "_row"]
+    raw = parts.select(*names, "chunk_start", (F.col("nominal_end") - F.col("chunk_start")).alias("_size"), "_whole", F.col(f"`{col}`").alias("_hay"))
+    keys = [*keep, "_row", "pattern_id"]
+    kept = greedy.pick(chunk_rows(raw, [*keep, "_row"], patterns, size, longest), keys, longest, size)
+    counts = kept.groupBy("_row").agg(F.sum(F.size("_hits")).alias("_n"))
+    over = counts.where(F.col("_n") >= config.max_matches).select(overflow("_n").alias("_row"))
+    checked = kept.join(F.broadcast(over), "_row", "left_anti")  # no row of it comes so far
+    return checked.select(*[F.col(f"`{c}`") for c in [*keep, "pattern_id"]], F.inline(F.transform("_hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))))
 
 
 def shortest_by_start(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,35 +103,9 @@ def shortest_by_start(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys, "pattern_id", "start").agg(F.min("end").alias("end"))
 
 
-def _folded(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Of the hits of a source, by (start, longest, pattern), those that begin no earlier than the last one kept ends.
-
-    A hit that no earlier one reaches is kept whatever came before, so the
-    hits of a source are folded in runs that overlap, not all at once.
-    """
-    order = [F.col("start"), F.col("end").desc(), F.col("pattern_id")]
-    by = W.partitionBy(*keys).orderBy(*order)
-    reached = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    runs = hits.withColumn("_new", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    kept_type = "array<struct<pattern_id:int,start:bigint,end:bigint>>"
-    zero = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast(kept_type).alias("kept"))
-
-    def step(acc, m):
-        one = F.array(F.struct(m["pattern_id"].alias("pattern_id"), m["start"].alias("start"), (-m["neg"]).alias("end"))).cast(kept_type)
-        return F.when(m["start"] >= acc["at"], F.struct((-m["neg"]).cast("long").alias("at"), F.concat(acc["kept"], one).alias("kept"))).otherwise(acc)
-
-    sorted_run = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), (-F.col("end")).cast("long").alias("neg"), "pattern_id")))
-    folded = runs.groupBy(*keys, "_run").agg(sorted_run.alias("_m"))
-    names = [k for k in keys if k != "pattern_id"]
-    kept = folded.select(*names, F.inline(F.aggregate("_m", zero, step, lambda acc: acc["kept"])))
-    return kept.select(*names, "pattern_id", F.col("start").cast(hits.schema["start"].dataType).alias("start"), F.col("end").cast(hits.schema["end"].dataType).alias("end"))
-
-
-def leftmost(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Hits of regexes at every start, folded to those that don't overlap: of each source and pattern the leftmost first."""
-    return _folded(hits, [*keys, "pattern_id"])
-
-
-def leftmost_longest(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping literal hits folded to the leftmost-longest ones of each source."""
-    return _folded(hits, keys)
+def leftmost_longest(hits: DataFrame, keys: list[str], longest: int | None = None) -> DataFrame:
+    """Overlapping literal hits reduced to the leftmost-longest ones of each source; unless ``longest`` bounds their bytes, the longest is looked for first."""
+    if longest is None:
+        longest = hits.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1
+    found = greedy.leftmost_longest(hits, keys, longest)
+    return found.withColumns({c: F.col(c).cast(hits.schema[c].dataType) for c in ("pattern_id", "start", "end")})

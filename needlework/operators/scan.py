@@ -27,6 +27,8 @@ from .arrow import any_arrow, first_arrow, matches_arrow, nested_rows, scan_rows
 BROADCAST_BYTES = 8 << 20
 #: Literals up to which a test looks for each by itself.
 FEW = 8
+#: A limit on matches that no haystack reaches.
+NO_LIMIT = 1 << 62
 
 
 class Scanner(Protocol):
@@ -71,13 +73,36 @@ def _any_of(c: Column, patterns: PatternSet) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out to all cores if it comes in fewer splits than half of them, as one small file does.
+    """``df``, dealt out to all cores if fewer than half of them would have rows, as with one small file of one row group.
 
-    For tables as they are read: of a plan with a shuffle, counting the
-    partitions would run it.
+    For tables as they are read: rows by split are counted from the files'
+    footers, and only if there are few splits. Of a plan with a shuffle,
+    counting would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() * 2 <= cores else df
+    if df.isStreaming or df.rdd.getNumPartitions() > 4 * cores:
+        return df
+    full = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).count()
+    return df.repartition(cores) if full * 2 <= cores else df
+
+
+def overflow(n: Column | str) -> Column:
+    """An error that says so."""
+    return F.raise_error(F.concat(F.lit("MatchBufferOverflow: "), F.col(n).cast("string") if isinstance(n, str) else n.cast("string"))).cast("long")
+
+
+def limited(rows: DataFrame, col: str, binary: bool, hits: Callable[[DataFrame], DataFrame], patterns: PatternSet, limit: int) -> DataFrame:
+    """``hits(rows)`` without _row, which tells haystacks apart, or an error if one has ``limit`` hits or more.
+
+    A haystack has no more hits than bytes times ids; only those that could
+    have too many are scanned a second time and counted, by _row. What is
+    broadcast has no row, as one of it is an error.
+    """
+    size = F.octet_length(F.col(f"`{col}`")).cast("long")
+    large = rows.where(size * len(patterns.literals) >= limit)
+    counts = hits(large).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    over = counts.where(F.col("_n") >= limit).select(overflow("_n").alias("_row"))
+    return hits(rows).join(F.broadcast(over), "_row", "left_anti").drop("_row")
 
 
 def _hay(rows: DataFrame, patterns: PatternSet, config: ScanConfig) -> DataFrame:
@@ -119,12 +144,12 @@ def scan(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None =
     if strategy(patterns, config, "scan") != NATIVE:
         return scan_rows(_hay(rows, patterns, config), keep, patterns, compat=config.compat, max_matches=limit, first_n=first_n)
     if len(patterns.keys) > MAP_PATTERNS:
-        if max_matches is not None or first_n is not None:
-            raise ValueError(f"limits are native for {MAP_PATTERNS} literals at most")
-        return _scan_joined(rows, keep, patterns, is_binary(df, col))
+        if first_n is not None:
+            raise ValueError(f"first matches are native for {MAP_PATTERNS} literals at most")
+        return _scan_joined(rows, keep, patterns, is_binary(df, col), limit)
     found = nested(rows, "_hay", patterns, config, "_found")
     own = F.col("_found") if first_n is None else F.slice("_found", 1, first_n)
-    own = F.when(F.size(own) < limit, own).otherwise(F.raise_error(F.concat(F.lit("MatchBufferOverflow: "), F.size(own).cast("string"))).cast(MATCHES))
+    own = F.when(F.size(own) >= limit, F.when(overflow(F.size(own)).isNull(), own)).otherwise(own)
     return found.select(*_names(df, keep), F.inline(own))
 
 
@@ -141,7 +166,7 @@ def scan_totals(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] |
     return total_rows(_hay(rows, patterns, config), keep, patterns)
 
 
-def _scan_joined(rows: DataFrame, keep: list[str], patterns: PatternSet, binary: bool) -> DataFrame:
+def _scan_joined(rows: DataFrame, keep: list[str], patterns: PatternSet, binary: bool, limit: int = NO_LIMIT) -> DataFrame:
     """Ids by a broadcast join on the matched text."""
     view = C.byte_view("_hay", binary)
     kinds = "array<struct<_text:string,_end:bigint,_id:int>>"
@@ -154,7 +179,10 @@ def _scan_joined(rows: DataFrame, keep: list[str], patterns: PatternSet, binary:
         parts += [F.transform(C.regex_hits(v, r.rendered), numbered(r.pattern_id)) for r in patterns.regexes]
         return (F.concat(*parts) if len(parts) > 1 else parts[0]).cast(kinds)
 
-    hits = rows.select(*_names(rows, keep), F.inline(C.let(view, found)))
+    def checked(own: Column) -> Column:
+        return F.when(F.size(own) >= limit, F.when(overflow(F.size(own)).isNull(), own)).otherwise(own)
+
+    hits = rows.select(*_names(rows, keep), F.inline(C.let(C.let(view, found), checked)))
     key = F.when(F.col("_id").isNull(), F.col("_text"))
     joined = hits.join(_keys(rows, patterns, every=False), key == F.col("_key"), "left")
     return joined.select(*_names(rows, keep), F.coalesce("_id", "_pattern").alias("pattern_id"), (F.col("_end") - F.length("_text")).cast("int").alias("start"), F.col("_end").cast("int").alias("end"))
@@ -168,23 +196,24 @@ def scan_overlapping(df: DataFrame, col: str, patterns: PatternSet, keep: list[s
     that follow, for every length that a literal has.
     """
     keep = _kept(df, col, keep)
-    binary = is_binary(df, col)
     rows = df.select(*_names(df, keep), F.col(col).alias("_hay"))
-    regexes = PatternSet(tuple(p for p in patterns.patterns if p.pattern_id in {r.pattern_id for r in patterns.regexes}))
     if not patterns.keys:
         return scan(df, col, patterns, keep, config)
     if strategy(patterns, config, "overlapping") != NATIVE:
         return scan_rows(_hay(rows, patterns, config), keep, patterns, every=True, max_matches=config.max_matches)
+    binary = is_binary(df, col)
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    hits = limited(numbered, "_hay", binary, lambda some: _overlapping_joined(some, [*keep, "_row"], patterns, binary), patterns, config.max_matches)
+    return hits.unionByName(_regex_only(rows, keep, patterns, binary, config)) if patterns.regexes else hits
+
+
+def _overlapping_joined(rows: DataFrame, keep: list[str], patterns: PatternSet, binary: bool) -> DataFrame:
     lengths = F.array(*[F.lit(n) for n in sorted({len(k) for k in patterns.keys})])
     begins = C.let(C.byte_view("_hay", binary), lambda v: C.overlapping_hits(v, patterns)).cast("array<struct<_start:bigint,_window:string>>")
     starts = rows.select(*_names(rows, keep), F.inline(begins))
     tried = starts.select("*", F.explode(F.filter(lengths, lambda n: n <= F.length("_window"))).alias("_n"))
     keyed = tried.withColumn("_key", C.fold(F.substring(F.col("_window"), F.lit(1), F.col("_n")), patterns))
-    hits = keyed.join(_keys(df, patterns, every=True), "_key").select(*_names(rows, keep), F.col("_pattern").alias("pattern_id"), F.col("_start").cast("int").alias("start"), (F.col("_start") + F.col("_n")).cast("int").alias("end"))
-    if regexes.patterns:
-        own = _regex_only(rows, keep, patterns, binary, config)
-        hits = hits.unionByName(own)
-    return hits
+    return keyed.join(_keys(rows, patterns, every=True), "_key").select(*_names(rows, keep), F.col("_pattern").alias("pattern_id"), F.col("_start").cast("int").alias("start"), (F.col("_start") + F.col("_n")).cast("int").alias("end"))
 
 
 def _regex_only(rows: DataFrame, keep: list[str], patterns: PatternSet, binary: bool, config: ScanConfig) -> DataFrame:
@@ -242,8 +271,10 @@ def scan_nested(df: DataFrame, col: str, patterns: PatternSet, config: ScanConfi
     """``df`` without the haystack, with the array of its matches."""
     if strategy(patterns, config, "nested") != NATIVE:
         others = [c for c in df.columns if c != col]
-        return nested_rows(df.select(*_names(df, others), F.col(col).cast("binary").alias("_hay")), "_hay", patterns, "matches")
-    return nested(df, col, patterns, config).drop(col)
+        return nested_rows(df.select(*_names(df, others), F.col(col).cast("binary").alias("_hay")), "_hay", patterns, "matches", config.max_matches)
+    found = nested(df, col, patterns, config, "matches").drop(col)
+    n = F.size("matches")
+    return found.withColumn("matches", F.when(n >= config.max_matches, F.when(overflow(n).isNull(), F.col("matches"))).otherwise(F.col("matches")))
 
 
 def scanner(col: str, patterns: PatternSet | HotSwapPatternSet, how: Callable[..., DataFrame] = scan, **options) -> Scanner:

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import batch, chunk
+from .operators import batch, chunk, ensemble, regions
 from .operators import scan as S
+from .operators.table import scan_table
 from .plans.patterns import HotSwapPatternSet, PatternSet
 from .plans.planner import ScanConfig
 from .sources.index import load_index, save_index
+from .sources.scratch import scratch, written
 from .streaming.stream import scan_stream, windowed_matches
 
 LITERALS = ("tion", "the", "thea", "ment", "ê", "sch", "ción", "ere")
@@ -31,26 +28,22 @@ URL = r"https?://[a-z0-9./?=&#-]+"
 DIGITS = r"[0-9]{4,}"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, in local sessions without one in a temporary folder; it goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="needlework-")
-    path = f"{base.rstrip('/')}/needlework/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
+#: Literals that few pages have.
+RARE = ("/search?", "copyright", "Lorem", "&amp;", "<table", "utf-8", "http://", "<h3", "href=\"/p", "</nav><")
+#: 500 regexes: stems with what may follow, be between or come before, and a few without any literal.
+STEMS = ("ab", "an", "be", "con", "de", "en", "er", "est", "in", "ion", "ker", "lan", "ment", "nd", "on", "per", "que", "re", "sch", "ter", "un", "ver", "wi", "zu", "al")
+REGEXES = tuple(
+    form.replace("S", a).replace("T", STEMS[(i + 7) % len(STEMS)])
+    for i, a in enumerate(STEMS)
+    for form in (
+        "S[0-9]+", "S[a-z]T", "ST", "(?:S|T)x", "[0-9]S", "S S", "\\bS\\b", "S[a-z ]{2}T", "[xyz]S", "ST?[.,]", "S[^a-z ]", "qS", "S-T", "S@[a-z]+", "k{2}S",
+        "[aeiou]S[aeiou]T", "SS", "S{2}[a-z]", "xS?z", "[A-Z][0-9]{2}S",
+    )
+)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +132,7 @@ def scan_chunked(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_chunked_leftmost(spark: SparkSession, d: str) -> DataFrame:
     hits = chunk.scan_chunked(pages(spark, d), "html", PatternSet.of("<p>", "<p><b>", "</p>"), ["page_id"], ScanConfig().with_chunk_bytes(1000).with_overlap(8))
-    return chunk.leftmost_longest(hits, ["page_id"])
+    return chunk.leftmost_longest(hits, ["page_id"], longest=6)
 
 
 def large_set(spark: SparkSession, d: str) -> PatternSet:
@@ -166,8 +159,10 @@ def scan_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_limited(spark: SparkSession, d: str) -> DataFrame:
-    """A scan that would fail if a document had a million matches."""
-    return S.scan(documents(spark, d), "text", PatternSet.of(*WORDS), config=ScanConfig().with_max_matches(1_000_000))
+    """A scan under the least limit that its largest document allows: one match more would fail it."""
+    docs, words = documents(spark, d), PatternSet.of(*WORDS)
+    most = S.scan_count(docs, "text", words).agg(F.max("n_matches")).first()[0] or 0
+    return S.scan(docs, "text", words, config=ScanConfig().with_max_matches(most + 1))
 
 
 def scan_shortest_all(spark: SparkSession, d: str) -> DataFrame:
@@ -213,6 +208,50 @@ def matched_by_one_only(spark: SparkSession, d: str) -> DataFrame:
     return one.subtract(two)
 
 
+# -- tables of literals, many regexes, stretches ------------------------------------
+def scan_word_table(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's words of five ASCII letters or more as a table, leftmost-longest."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^a-z]+")).alias("literal")).where("length(literal) >= 5").distinct()
+    words = words.withColumn("pattern_id", F.xxhash64("literal"))
+    hits = scan_table(documents(spark, d), "text", words)
+    return hits.join(words, "pattern_id").select("doc_id", "literal", "start", "end")
+
+
+def scan_pair_table(spark: SparkSession, d: str) -> DataFrame:
+    """All neighbouring words of documents that make 11 to 15 bytes, wherever they occur: 100,000 literals and more, none of them collected."""
+    w = F.split("text", " ")
+    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    literals = table(spark, d, "documents").where(F.size(w) > 1).select(F.explode(pairs).alias("literal")).where(F.octet_length("literal").between(11, 15)).distinct()
+    hits = scan_table(documents(spark, d), "text", literals.withColumn("pattern_id", F.xxhash64("literal")), overlapping=True)
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.countDistinct("pattern_id").alias("n_literals"), F.sum(F.col("start").cast("long")).alias("sum_start"))
+
+
+def regex_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """Which of 500 regexes each document has: how many, and the sum of their ids."""
+    own = PatternSet.builder()
+    for r in REGEXES:
+        own.regex(r)
+    found = ensemble.flags_indexed(documents(spark, d), "text", own.build())
+    ids = F.filter(F.transform("flags", lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+    return found.select("doc_id", F.size(ids).cast("long").alias("n_regexes"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, i: a + i).alias("sum_ids"))
+
+
+def scan_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of pages that may hold one of a few rare literals, scanned exactly."""
+    return regions.scan_regions(pages(spark, d), "html", PatternSet.of(*RARE))
+
+
+def scan_whole_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as one haystack: overlapping hits at their places in the buffer, picked from left to right in blocks, and mapped back."""
+    docs = documents(spark, d)
+    offsets = written(batch.coalesce_map(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), "offset"), "offsets")
+    hits = S.scan_overlapping(docs, "text", PatternSet.of(*LITERALS)).join(offsets, "doc_id")
+    moved = hits.select(F.lit(0).alias("buffer"), "pattern_id", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), "doc_id", "offset")
+    kept = chunk.leftmost_longest(moved.select("buffer", "pattern_id", "start", "end"), ["buffer"], PatternSet.of(*LITERALS).max_pattern_len)
+    back = kept.join(moved.drop("buffer"), ["pattern_id", "start", "end"])
+    return back.select("doc_id", "pattern_id", (F.col("start") - F.col("offset")).cast("int").alias("start"), (F.col("end") - F.col("offset")).cast("int").alias("end"))
+
+
 # -- batches -------------------------------------------------------------------
 def coalesce_map(spark: SparkSession, d: str) -> DataFrame:
     return batch.coalesce_map(documents(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
@@ -347,6 +386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         docs_by_pattern, scan_literals, scan_single_literal, scan_literals_ci, scan_count, scan_visitor_limit, any_match, no_match, first_match, pattern_flags, scan_overlapping, scan_regex, scan_regex_pages,
         scan_mixed, scan_regex_arrow, scan_nested, batch_nested, scan_chunked, scan_chunked_leftmost, scan_large_set, scan_large_set_arrow, coalesce_map, decoalesce, planned_batches, index_roundtrip, hot_swap,
         scan_joined, scan_totals, scan_limited, scan_shortest_all, scan_needle_by_needle, scan_bytes_and_names, any_match_arrow, scan_sql_function, scan_chunked_regex, shortest_by_start, matched_by_one_only, index_names, windowed_stream,
+        scan_word_table, scan_pair_table, regex_ensemble, scan_regions, scan_whole_buffer,
         stream_scan, pattern_names_join, match_topk, match_rollup, match_gaps, match_labels, redacted_text, events_window_matches, scalar_functions,
     )
 }
@@ -408,6 +448,16 @@ _large_sql = f"""
     select doc_id, pattern_id, cast(e - strlen(w) as integer) as start, cast(e as integer) as "end" from ends join words using (w)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "scan_word_table": f"""select doc_id, w as literal, cast(e - strlen(w) as integer) as start, cast(e as integer) as "end" from ({_large_sql.split("select doc_id, pattern_id")[0]} select doc_id, w, e from ends)""",
+    "scan_pair_table": """
+        with words as (select string_split(text, ' ') as w from documents),
+        pairs as (select distinct encode(p) as p from (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as p from words) where strlen(p) between 11 and 15),
+        places as (select doc_id, b, unnest(range(octet_length(b))) as s from (select doc_id, encode(text) as b from documents)),
+        pieces as (select doc_id, s, b[s + 1:s + n] as p from places, (select unnest(range(11, 16)) as n) where s + n <= octet_length(b))
+        select doc_id, count(*) as n_matches, count(distinct p) as n_literals, sum(s)::bigint as sum_start from pieces join pairs using (p) group by doc_id""",
+    "regex_ensemble": "select doc_id, " + ", ".join(f"{what} as {name}" for name, what in (("n_regexes", "list_sum(f)::bigint"), ("sum_ids", "list_sum(list_transform(f, lambda x, i: x * (i - 1)))::bigint"))) + " from (select doc_id, [" + ", ".join(f"regexp_matches(text, {_quote(r)})::int" for r in REGEXES) + "] as f from documents)",
+    "scan_regions": _literal_sql(RARE, "pages", "page_id", "html"),
+    "scan_whole_buffer": _literal_sql(LITERALS),
     "docs_by_pattern": f"""select lang, pattern_id, count(*) as n_matches, cast(min(start) as bigint) as least_start, cast(max("end") as bigint) as largest_end from ({_literal_sql(LITERALS)}) join (select doc_id, lang from documents) using (doc_id) group by lang, pattern_id""",
     "scan_literals": _literal_sql(LITERALS),
     "scan_single_literal": _literal_sql(("anan",)),
