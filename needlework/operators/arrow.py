@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -216,6 +217,14 @@ def nested_rows(df: DataFrame, hay: str, patterns: PatternSet, into: str, max_ma
 ROWS = 256
 
 
+def as_one(column: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of a binary column's values one after the other, and where each begins and the last ends."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    size = int(offsets[-1] - offsets[0])
+    data = column.buffers()[2].slice(int(offsets[0]), size) if size else pa.py_buffer(b"")
+    return data, offsets - offsets[0]
+
+
 def overflow(n: int) -> None:
     raise MatchBufferOverflow(f"{n} matches or more")
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..plans.patterns import PatternSet
 from ..plans.planner import ScanConfig
-from .arrow import compiled, overflow
+from .arrow import as_one, compiled, overflow
 
 #: Bytes of a window.
 WINDOW = 4096
@@ -123,10 +123,8 @@ def _batches(batch: pa.RecordBatch, literals: list[bytes], fold: bool) -> Iterat
     """(slice, bytes, its bounds in them, stretches)"""
     for first in range(0, batch.num_rows, ROWS):
         part = batch.slice(first, ROWS)
-        column = part.column(part.num_columns - 1)
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if column.buffers()[2] is not None and offsets[-1] > offsets[0] else pa.py_buffer(b"")
-        x, bounds = np.frombuffer(data, np.uint8), offsets - offsets[0]
+        data, bounds = as_one(part.column(part.num_columns - 1))
+        x = np.frombuffer(data, np.uint8)
         x = _LOWER[x] if fold else x
         yield part, data, bounds, regions(x, bounds, literals) if len(x) else (np.zeros(0, np.int64),) * 3
 

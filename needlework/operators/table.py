@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from ..errors import EmptyPatternSet, PatternTooLarge
 from ..plans.patterns import LARGEST_PATTERN
 from ..sources.scratch import written
+from .arrow import as_one
 from .greedy import leftmost_longest
 
 #: Odd factors of the rolling hash and of its finish.
@@ -30,10 +31,10 @@ _BASE, _SPREAD, _OTHER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1
 _MASK = (1 << 64) - 1
 #: Bits of a bitmap for each literal, about, and the power of two that they are at least and at most (2**26 are 8 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 26
-#: Haystacks whose hits are one batch, and bytes of one that are hashed at once.
+#: Haystacks whose hits are one batch, and bytes of them that are hashed at once.
 ROWS, WINDOW = 256, 1 << 20
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def class_of(n: int) -> int:
@@ -78,7 +79,7 @@ def keyed(patterns: DataFrame, literal_col: str, id_col: str, case_insensitive:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            raw = [x.translate(_LOWER) for x in raw] if case_insensitive else raw
+            raw = [x.lower() for x in raw] if case_insensitive else raw
             keys, prefixes = np.zeros(len(raw), np.uint64), np.zeros(len(raw), np.uint64)
             for row, x in enumerate(raw):
                 if len(x) > LARGEST_PATTERN:
@@ -124,15 +125,13 @@ def bitmaps(literals: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return words[0].view(np.uint8), words[1].view(np.uint8)
 
 
-def candidates(data: bytes, classes: list[int], lengths: dict[int, list[int]], maps: tuple[np.ndarray, np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, starts, keys) where a literal of that length may be, a window of the haystack after the other."""
-    whole = np.frombuffer(data, np.uint8)
+def candidates(whole: np.ndarray, classes: list[int], lengths: dict[int, list[int]], maps: tuple[np.ndarray, np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, starts, keys) where a literal of that length may be in an array of bytes, one window of it after the other."""
     longest = max(n[-1] for n in lengths.values())
     for at in range(0, len(whole), WINDOW):
         hashes = rolled(whole[at : at + WINDOW + longest - 1], classes)
         for c, h in hashes.items():
-            own = h[:WINDOW]
-            starts = np.flatnonzero(tested(maps[0], prefix_bits(own, c, bits)))
+            starts = np.flatnonzero(tested(maps[0], prefix_bits(h[:WINDOW], c, bits)))
             for n in lengths[c]:
                 fit = starts[starts + (n - c) < len(h)]
                 if len(fit):
@@ -142,6 +141,17 @@ def candidates(data: bytes, classes: list[int], lengths: dict[int, list[int]], m
                         yield n, fit[there] + at, key[there].view(np.int64)
 
 
+def changes(x: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """At which of ``starts`` the ``n`` bytes from there on are others than at the one before."""
+    new = np.ones(len(starts), bool)
+    texts = np.lib.stride_tricks.sliding_window_view(x, n)
+    some = max(1, WINDOW // n)
+    for k in range(1, len(starts), some):
+        own = starts[k : k + some]
+        new[k : k + some] = (texts[own] != texts[starts[k - 1 : k - 1 + len(own)]]).any(axis=1)
+    return new
+
+
 def scan_table(df: DataFrame, col: str, patterns: DataFrame, keep: list[str] | None = None, literal_col: str = "literal", id_col: str = "pattern_id", overlapping: bool = False, case_insensitive: bool = False) -> DataFrame:
     """One row per match of a table of literals: ``keep`` (default: all but ``col``), pattern_id, start, end.
 
@@ -172,8 +182,9 @@ def scan_table(df: DataFrame, col: str, patterns: DataFrame, keep: list[str] | N
         lengths.setdefault(class_of(n), []).append(n)
     classes = sorted(lengths)
     shared = df.sparkSession.sparkContext.broadcast(maps)
-    fields = [T.StructField(c, df.schema[c].dataType) for c in keep]
-    place = T.StructType([*fields, T.StructField("_row", T.LongType()), T.StructField("_start", T.LongType())])
+    extra = [] if overlapping else ["_row"]  # tells haystacks apart, where their hits meet again
+    fields = [T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(c, T.LongType()) for c in extra]
+    place = T.StructType([*fields, T.StructField("_start", T.IntegerType())])
     schema = T.StructType([T.StructField("_length", T.IntegerType()), T.StructField("_key", T.LongType()), T.StructField("_bytes", T.BinaryType()), T.StructField("_places", T.ArrayType(place))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,32 +192,37 @@ def scan_table(df: DataFrame, col: str, patterns: DataFrame, keep: list[str] | N
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
-                found: dict[int, list[tuple]] = {}
-                values = part.column(len(keep) + 1).to_pylist()
-                values = [x.translate(_LOWER) if x is not None else x for x in values] if case_insensitive else values
-                for row, value in enumerate(values):
-                    for n, starts, keys in candidates(value, classes, lengths, own, bits) if value else ():
-                        found.setdefault(n, []).append((np.full(len(starts), row), starts, keys))
+                data, bounds = as_one(part.column(part.num_columns - 1))
+                x = np.frombuffer(data, np.uint8)
+                x = _LOWER[x] if case_insensitive else x
+                found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+                for n, starts, keys in candidates(x, classes, lengths, own, bits):
+                    found.setdefault(n, []).append((starts, keys))
                 for n, parts in found.items():
-                    rows, starts, keys = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                    starts, keys = (np.concatenate([p[k] for p in parts]) for k in range(2))
+                    rows = np.searchsorted(bounds, starts, "right") - 1
+                    inside = starts + n <= bounds[rows + 1]  # in one haystack
+                    starts, keys, rows = starts[inside], keys[inside], rows[inside]
+                    if not len(starts):
+                        continue
                     order = np.argsort(keys, kind="stable")
-                    rows, starts, keys = rows[order], starts[order], keys[order]
-                    texts = [values[r][s : s + n] for r, s in zip(rows.tolist(), starts.tolist(), strict=True)]
-                    new = np.ones(len(keys), bool)
-                    new[1:] = [a != b for a, b in zip(texts[1:], texts, strict=False)]  # by bytes, as keys may be shared by chance
-                    heads = np.flatnonzero(new)
+                    starts, keys, rows = starts[order], keys[order], rows[order]
+                    heads = np.flatnonzero(changes(x, starts, n))  # by bytes, as keys may be shared by chance
                     take = pa.array(rows)
-                    places = pa.StructArray.from_arrays([*[part.column(k).take(take) for k in range(len(keep) + 1)], pa.array(starts)], [*keep, "_row", "_start"])
+                    places = pa.StructArray.from_arrays([*[part.column(k).take(take) for k in range(len(keep) + len(extra))], pa.array((starts - bounds[rows]).astype(np.int32))], [*keep, *extra, "_start"])
                     lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(keys)).astype(np.int32)), places)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), n, np.int32)), pa.array(keys[heads]), pa.array([texts[k] for k in heads.tolist()], pa.binary()), lists], schema.names)
+                    texts = pa.array([x[s : s + n].tobytes() for s in starts[heads].tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), n, np.int32)), pa.array(keys[heads]), texts, lists], schema.names)
 
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_row"), F.col(f"`{col}`").cast("binary").alias("_hay"))
+    own = [F.monotonically_increasing_id().alias(c) for c in extra]
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], *own, F.col(f"`{col}`").cast("binary").alias("_hay"))
     hits = rows.mapInArrow(run, schema)
     met = hits.join(literals.drop("_prefix"), ["_length", "_key"]).where("_bytes = _literal")
     names = [F.col(f"_place.`{c}`").alias(c) for c in keep]
-    flat = met.select("pattern_id", "_length", F.explode("_places").alias("_place")).select(*names, F.col("_place._row").alias("_row"), "pattern_id", F.col("_place._start").cast("int").alias("start"), (F.col("_place._start") + F.col("_length")).cast("int").alias("end"))
+    names += [F.col(f"_place.{c}").alias(c) for c in extra]
+    flat = met.select("pattern_id", "_length", F.explode("_places").alias("_place")).select(*names, "pattern_id", F.col("_place._start").alias("start"), (F.col("_place._start") + F.col("_length")).alias("end"))
     if overlapping:
-        return flat.drop("_row")
+        return flat
     kind = patterns.schema[id_col].dataType
     if not isinstance(kind, T.IntegralType):
         raise ValueError("of equal literals the lowest id stays, so ids have to be integers")

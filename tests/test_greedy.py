@@ -204,6 +204,6 @@ def test_bitmaps_rule_out_most_places():
         h = table.rolled(np.frombuffer(x, np.uint8), [8])[8]
         maps[0, table.prefix_bits(h[:1], 8, 16)] = True
         maps[1, table.key_bits(table.keys_of(h[:1], h[-1:], 9), 16)] = True
-    found = list(table.candidates(data, [8], {8: [9]}, tuple(np.packbits(maps, axis=1)), 16))
+    found = list(table.candidates(np.frombuffer(data, np.uint8), [8], {8: [9]}, tuple(np.packbits(maps, axis=1)), 16))
     starts = np.concatenate([s for _, s, _ in found])
     assert set(range(0, 9000, 90)) <= set(starts.tolist()) and len(starts) < 110
