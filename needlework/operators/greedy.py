@@ -214,7 +214,8 @@ def pick(blocks: DataFrame, keys: list[str], longest: int, block: int = BLOCK) -
     if most == 0:
         return first
     names = [*[F.col(f"`{k}`") for k in keys], "_block", "_at", "_to", "_other"]
-    levels = [done.select(*names)]
+    all_maps, long = done.select(*names), done.where("_block > 0").select(*[F.col(f"`{k}`") for k in keys]).distinct()
+    levels = [all_maps.join(long, _same(all_maps, long, keys), "left_semi")]  # a haystack of one block is done
     while most >= FAN:
         levels.append(written(_up(levels[-1], keys), "maps"))
         most //= FAN

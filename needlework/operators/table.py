@@ -63,7 +63,7 @@ def prefix_bits(h: np.ndarray, size: int, bits: int) -> np.ndarray:
     return (finish(h + np.uint64(size * int(_OTHER) & _MASK)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def keys_of(first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+def keys_of(first: np.ndarray, last: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Keys of literals by the hashes of their class at the beginning and at the end."""
     return finish(finish(first) * _OTHER + last + np.uint64(length))
 
@@ -78,18 +78,22 @@ def keyed(patterns: DataFrame, literal_col: str, id_col: str, case_insensitive:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            raw = [x.lower() for x in raw] if case_insensitive else raw
-            keys, prefixes = np.zeros(len(raw), np.uint64), np.zeros(len(raw), np.uint64)
-            for row, x in enumerate(raw):
-                if len(x) > LARGEST_PATTERN:
-                    raise PatternTooLarge(f"a literal of {len(x)} bytes")
-                c = class_of(len(x))
-                h = rolled(np.frombuffer(x, np.uint8), [c])[c]
-                prefixes[row] = h[0]
-                keys[row] = keys_of(h[:1], h[-1:], len(x))[0]
-            columns = [pa.array(raw, pa.binary()), pa.array([len(x) for x in raw], pa.int32()), pa.array(keys.view(np.int64)), pa.array(prefixes.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.names)
+            data, bounds = as_one(batch.column(1))
+            x = np.frombuffer(data, np.uint8)
+            x = _LOWER[x] if case_insensitive else x
+            starts, sizes = bounds[:-1], np.diff(bounds)
+            if len(sizes) and sizes.max() > LARGEST_PATTERN:
+                raise PatternTooLarge(f"a literal of {sizes.max()} bytes")
+            own = np.left_shift(1, np.frexp(sizes.astype(np.float64))[1] - 1)
+            classes = np.unique(own).tolist()
+            hashes = rolled(x, classes)
+            keys, prefixes = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+            for c in classes:
+                at = np.flatnonzero(own == c)
+                prefixes[at] = hashes[c][starts[at]]
+                keys[at] = keys_of(prefixes[at], hashes[c][starts[at] + sizes[at] - c], sizes[at].astype(np.uint64))
+            raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array(sizes.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(prefixes.view(np.int64))], schema.names)
 
     raw = F.col(f"`{literal_col}`").cast("binary")
     checked = F.when(F.octet_length(raw) > 0, raw).otherwise(F.when(F.raise_error(F.lit("EmptyPattern: a literal of the table is empty")).isNull(), raw))
