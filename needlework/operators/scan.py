@@ -10,12 +10,14 @@ needed, the table is read once. A null haystack has no match.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import columns as C
 from ..plans.patterns import HotSwapPatternSet, PatternSet
@@ -61,6 +63,10 @@ def _names(df: DataFrame, keep: list[str] | None) -> list[Column]:
 
 def _kept(df: DataFrame, col: str, keep: list[str] | None) -> list[str]:
     keep = [c for c in df.columns if c != col] if keep is None else keep
+    return _kept_names(keep)
+
+
+def _kept_names(keep: list[str]) -> list[str]:
     if clash := {"pattern_id", "start", "end"} & set(keep):
         raise ValueError(f"the result has columns of these names already: {sorted(clash)}")
     return keep
@@ -298,4 +304,59 @@ def register_udtf(spark, name: str, patterns: PatternSet) -> None:
                 for start, pattern_id, end in scan_bytes(raw, patterns):
                     yield pattern_id, start, end
 
-    spark.udtf.register(name, F.udtf(ScanBytes, returnType="pattern_id int, start int, end int"))
+    spark.udtf.register(name, F.udtf(ScanBytes, returnType="pattern_id int, start int, end int", useArrow=True))
+
+
+@dataclass
+class _Analyzed(AnalyzeResult):
+    """What ``analyze`` hands to the tasks."""
+
+    patterns: PatternSet | None = None
+    hay: int = 0
+
+
+class ScanTable:
+    """``select * from scan(table(docs), 'text', array('the', 'and'))``: the other columns, pattern_id, start, end.
+
+    A fourth argument is an array of regexes; ids go on from the literals'. The
+    schema is made from the table's when the query is analysed, where a bad
+    pattern or column is an error. Rows travel in Arrow batches; Spark splits
+    the table as it is, unless the query says ``partition by``.
+    """
+
+    def __init__(self, analyzed: _Analyzed):
+        self.patterns, self.hay = analyzed.patterns, analyzed.hay
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, col: AnalyzeArgument, literals: AnalyzeArgument, regexes: AnalyzeArgument | None = None) -> _Analyzed:
+        if not rows.isTable:
+            raise ValueError("the first argument is a table: scan(table(docs), 'text', array('the'))")
+        fields = rows.dataType.fields
+        names = [f.name for f in fields]
+        if col.value not in names:
+            raise ValueError(f"the table has no column {col.value}")
+        if not isinstance(fields[names.index(col.value)].dataType, T.StringType | T.BinaryType):
+            raise ValueError(f"{col.value} is neither text nor binary")
+        others = [f for f in fields if f.name != col.value]
+        _kept_names([f.name for f in others])
+        own = PatternSet.builder()
+        for text in literals.value or []:
+            own.literal(text)
+        for text in (regexes.value if regexes is not None else None) or []:
+            own.regex(text)
+        schema = T.StructType([*others, *[T.StructField(c, T.IntegerType()) for c in ("pattern_id", "start", "end")]])
+        return _Analyzed(schema=schema, patterns=own.build(), hay=names.index(col.value))
+
+    def eval(self, row, col, literals, regexes=None):
+        from .arrow import scan_bytes
+
+        data = row[self.hay]
+        if data is not None:
+            others = [v for k, v in enumerate(row) if k != self.hay]
+            for start, pattern_id, end in scan_bytes(data.encode("utf-8") if isinstance(data, str) else bytes(data), self.patterns):
+                yield (*others, pattern_id, start, end)
+
+
+def register_scan_table(spark, name: str = "scan") -> None:
+    """``ScanTable`` as a table function for SQL."""
+    spark.udtf.register(name, F.udtf(ScanTable, useArrow=True))

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import batch, chunk, ensemble, regions
 from .operators import scan as S
+from .operators.asof import asof_join
+from .operators.scan import NO_LIMIT
 from .operators.table import scan_table
 from .plans.patterns import HotSwapPatternSet, PatternSet
 from .plans.planner import ScanConfig
 from .sources.index import load_index, save_index
 from .sources.scratch import scratch, written
-from .streaming.stream import scan_stream, windowed_matches
+from .streaming.keyed import STORE, scan_keyed_stream, use_rocksdb
+from .streaming.stream import scan_stream
+from .streaming.versions import publish, scan_versions
+from .streaming.windows import late_rows, matches_by_window
 
 LITERALS = ("tion", "the", "thea", "ment", "ê", "sch", "ción", "ere")
 FOLDED = ("the", "and", "nicht", "que")
@@ -191,6 +196,13 @@ def scan_sql_function(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("select doc_id, pattern_id, start, end from needlework_documents, lateral scan_words(encode(text, 'UTF-8'))")
 
 
+def scan_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """The table function that takes any table: its schema, patterns and column come from the query."""
+    S.register_scan_table(spark, "needlework_scan")
+    documents(spark, d).createOrReplaceTempView("needlework_documents")
+    return spark.sql("select * from needlework_scan(table(needlework_documents), 'text', array('the', 'thea', 'ment'), array('[0-9]{4,}'))")
+
+
 def scan_chunked_regex(spark: SparkSession, d: str) -> DataFrame:
     patterns = PatternSet.builder().regex(IP).regex(DIGITS).build()
     return chunk.scan_chunked(documents(spark, d), "text", patterns, ["doc_id"], ScanConfig().with_chunk_bytes(4096), max_match_len=1000)
@@ -244,7 +256,7 @@ def scan_regions(spark: SparkSession, d: str) -> DataFrame:
 def scan_whole_buffer(spark: SparkSession, d: str) -> DataFrame:
     """All documents as one haystack: overlapping hits at their places in the buffer, picked from left to right in blocks, and mapped back."""
     docs = documents(spark, d)
-    offsets = written(batch.coalesce_map(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), "offset"), "offsets")
+    offsets = written(batch.coalesce_map(docs, "doc_id", "text", limit=NO_LIMIT).select(F.col("id").alias("doc_id"), "offset"), "offsets")
     hits = S.scan_overlapping(docs, "text", PatternSet.of(*LITERALS)).join(offsets, "doc_id")
     moved = hits.select(F.lit(0).alias("buffer"), "pattern_id", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), "doc_id", "offset")
     kept = chunk.leftmost_longest(moved.select("buffer", "pattern_id", "start", "end"), ["buffer"], PatternSet.of(*LITERALS).max_pattern_len)
@@ -254,13 +266,13 @@ def scan_whole_buffer(spark: SparkSession, d: str) -> DataFrame:
 
 # -- batches -------------------------------------------------------------------
 def coalesce_map(spark: SparkSession, d: str) -> DataFrame:
-    return batch.coalesce_map(documents(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return batch.coalesce_map(documents(spark, d), "doc_id", "text", limit=NO_LIMIT).withColumnRenamed("id", "doc_id")
 
 
 def decoalesce(spark: SparkSession, d: str) -> DataFrame:
     """Hits of a scan, put at their places in the buffer and mapped back."""
     docs = documents(spark, d)
-    offsets = batch.coalesce_map(docs, "doc_id", "text")
+    offsets = batch.coalesce_map(docs, "doc_id", "text", limit=NO_LIMIT)
     hits = S.scan(docs, "text", PatternSet.of(*WORDS)).join(offsets.withColumnRenamed("id", "doc_id"), "doc_id")
     moved = hits.select("pattern_id", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"))
     return batch.decoalesce(moved, offsets).withColumnRenamed("id", "doc_id")
@@ -272,6 +284,11 @@ def planned_batches(spark: SparkSession, d: str) -> DataFrame:
     return batch.planned_batches(docs, "doc_id", "text", ScanConfig(batch_inputs=64, batch_bytes=200_000), F.floor(F.col("doc_id") / 256)).withColumnRenamed("id", "doc_id")
 
 
+def planned_table(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy plan of the whole table as one group."""
+    return batch.planned_whole(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ScanConfig(batch_inputs=64, batch_bytes=200_000)).withColumnRenamed("id", "doc_id")
+
+
 # -- stored and swapped sets, streams --------------------------------------------
 def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "index")
@@ -280,24 +297,93 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_names(spark: SparkSession, d: str) -> DataFrame:
-    """What a stored set says of its patterns."""
+    """What a stored set of the benchmark's words, named by what they are, says of its patterns, and how often each is found in documents."""
+    own = PatternSet.builder()
+    for k, p in enumerate(large_set(spark, d).patterns):
+        own.named_literal(f"word:{p.literal.decode()}", p.literal.decode()) if k % 2 else own.literal(p.literal.decode())
     path = scratch(spark, "index")
-    save_index(spark, PatternSet.builder().literal("tion").named_literal("word", "the").named_regex("digits", DIGITS).regex(IP).build(), path)
-    found = S.pattern_table(spark, load_index(spark, path))
-    return found.select("pattern_id", "kind", F.coalesce("name", F.lit("-")).alias("name"), F.coalesce(F.octet_length("literal"), F.lit(0)).alias("n_bytes"))
+    save_index(spark, own.named_regex("digits", DIGITS).build(), path)
+    found = load_index(spark, path)
+    totals = S.scan_totals(documents(spark, d), "text", found, []).groupBy("pattern_id").agg(F.sum("n_matches").alias("n_matches"))
+    known = S.pattern_table(spark, found).join(totals, "pattern_id", "left")
+    return known.select("pattern_id", "kind", F.coalesce("name", F.lit("-")).alias("name"), F.coalesce(F.octet_length("literal"), F.lit(0)).alias("n_bytes"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "props")
+
+
+ODD_KEY = PatternSet.builder().regex("[13579]").build()
+
+
+def _run(spark: SparkSession, parts: list[DataFrame], found: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, int]:
+    """A stream that gets ``parts`` one after the other: what it wrote, and how many rows came too late."""
+    base = scratch(spark, name)
+    parts[0].limit(0).write.parquet(f"{base}/in")
+    out = found(spark.readStream.schema(parts[0].schema).parquet(f"{base}/in"))
+    query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").start()
+    try:
+        for part in parts:
+            part.write.mode("append").parquet(f"{base}/in")
+            query.processAllAvailable()
+        return spark.read.schema(out.schema).parquet(f"{base}/out"), late_rows(query)
+    finally:
+        query.stop()
 
 
 def windowed_stream(spark: SparkSession, d: str) -> DataFrame:
     """Matching events by hour, from a stream with a watermark: the hours that it has passed."""
-    base = scratch(spark, "events")
-    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "props")
-    events.coalesce(1).write.parquet(f"{base}/in")
-    source = spark.readStream.schema(events.schema).parquet(f"{base}/in")
-    found = windowed_matches(source, "props", PatternSet.builder().regex("[13579]").build(), "ts", "1 hour", late="2 hours")
-    found = found.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "n_events")
-    query = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{base}/out")
+    found, _ = _run(spark, [_events(spark, d)], lambda s: matches_by_window(s, "props", ODD_KEY, "ts", "event_id", "2 hours", length="1 hour"), "events")
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("hour"), "n_events")
+
+
+def late_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same by sliding windows of two hours, where errors come after all others: those behind the watermark are left out and counted."""
+    events = _events(spark, d)
+    parts = [events.where("event_type <> 'error'"), events.where("event_type = 'error'")]
+    found, late = _run(spark, parts, lambda s: matches_by_window(s, "props", ODD_KEY, "ts", "event_id", "200 hours", length="2 hours", slide="1 hour"), "late")
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_events", F.lit(late).cast("long").alias("late_rows"))
+
+
+def session_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user's matching events, half an hour without one apart, as far as the watermark has passed them."""
+    found, _ = _run(spark, [_events(spark, d)], lambda s: matches_by_window(s, "props", ODD_KEY, "ts", "event_id", "2 hours", keys=["user_id"], gap="30 minutes"), "sessions")
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "n_events")
+
+
+def swapped_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A running query that finds a new version of its set between two batches: English documents by the first, others by the second."""
+    path, base = scratch(spark, "sets"), scratch(spark, "swapped")
+    publish(spark, PatternSet.of(*LITERALS), path)
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    parts = [docs.where("lang = 'en'"), docs.where("lang is null or lang <> 'en'")]
+    docs.limit(0).drop("lang").write.parquet(f"{base}/in")
+    sink = lambda hits, number: hits.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    source = spark.readStream.schema(docs.drop("lang").schema).parquet(f"{base}/in")
+    query = scan_versions(source, "text", path, sink, keep=["doc_id"]).option("checkpointLocation", f"{base}/checkpoint").start()
+    try:
+        for k, part in enumerate(parts):
+            if k:
+                publish(spark, PatternSet.of(*OVERLAPPING[:3]), path)
+            part.drop("lang").write.mode("append").parquet(f"{base}/in")
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+def keyed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as streams of turns that come in two batches, the second turns first, with typed state."""
+    given = table(spark, d, "conversations")
+    last = given.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    chunks = given.join(last, "conv_id").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), (F.col("turn") == F.col("last")).alias("eos"))
+    before = spark.conf.get(STORE)
+    use_rocksdb(spark)
+    try:
+        found, _ = _run(spark, [chunks.where("seq > 0"), chunks.where("seq = 0")], lambda s: scan_keyed_stream(s, PatternSet.of(*LITERALS)), "keyed")
+    finally:
+        spark.conf.set(STORE, before)
+    return found.withColumnRenamed("stream_id", "conv_id")
 
 
 def hot_swap(spark: SparkSession, d: str) -> DataFrame:
@@ -370,6 +456,14 @@ def redacted_text(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", F.md5(C.redact("text", patterns, "[x]").cast("binary")).alias("text_md5"))
 
 
+def asof_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Of each event the last one of its user, not later, that matches."""
+    events = _events(spark, d)
+    hits = S.any_match(events, "props", ODD_KEY).select("user_id", F.col("ts").alias("match_ts"), F.col("event_id").alias("match_id"))
+    found = asof_join(events.select("event_id", "user_id", "ts"), hits, "ts", "match_ts", ["user_id"], ["match_id"])
+    return found.select("event_id", F.coalesce("match_id", F.lit(-1)).alias("match_id"))
+
+
 def events_window_matches(spark: SparkSession, d: str) -> DataFrame:
     rows = S.any_match(table(spark, d, "events"), "props", PatternSet.builder().regex("[13579]").build())
     return rows.groupBy(F.window("ts", "1 hour").start.alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n_events"))
@@ -386,7 +480,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         docs_by_pattern, scan_literals, scan_single_literal, scan_literals_ci, scan_count, scan_visitor_limit, any_match, no_match, first_match, pattern_flags, scan_overlapping, scan_regex, scan_regex_pages,
         scan_mixed, scan_regex_arrow, scan_nested, batch_nested, scan_chunked, scan_chunked_leftmost, scan_large_set, scan_large_set_arrow, coalesce_map, decoalesce, planned_batches, index_roundtrip, hot_swap,
         scan_joined, scan_totals, scan_limited, scan_shortest_all, scan_needle_by_needle, scan_bytes_and_names, any_match_arrow, scan_sql_function, scan_chunked_regex, shortest_by_start, matched_by_one_only, index_names, windowed_stream,
-        scan_word_table, scan_pair_table, regex_ensemble, scan_regions, scan_whole_buffer,
+        scan_word_table, scan_pair_table, regex_ensemble, scan_regions, scan_whole_buffer, scan_table_function, planned_table, asof_matches, late_stream, session_stream, swapped_stream, keyed_stream,
         stream_scan, pattern_names_join, match_topk, match_rollup, match_gaps, match_labels, redacted_text, events_window_matches, scalar_functions,
     )
 }
@@ -447,6 +541,8 @@ _large_sql = f"""
     ends as (select doc_id, w, sum(strlen(g) + strlen(w)) over (partition by doc_id order by i) as e from hits)
     select doc_id, pattern_id, cast(e - strlen(w) as integer) as start, cast(e as integer) as "end" from ends join words using (w)"""
 
+_odd = "regexp_matches(props, '[13579]')"
+
 ORACLE_SQL: dict[str, str] = {
     "scan_word_table": f"""select doc_id, w as literal, cast(e - strlen(w) as integer) as start, cast(e as integer) as "end" from ({_large_sql.split("select doc_id, pattern_id")[0]} select doc_id, w, e from ends)""",
     "scan_pair_table": """
@@ -487,7 +583,31 @@ ORACLE_SQL: dict[str, str] = {
     "scan_chunked_regex": " union all ".join(_regex(i, r) for i, r in enumerate((IP, DIGITS))),
     "shortest_by_start": _overlap_sql(("anan", "heit", "ere")),
     "matched_by_one_only": "select doc_id from documents where contains(text, 'tion') and not regexp_matches(text, 'sch|ment')",
-    "index_names": "select * from (values (0::integer, 'literal', '-', 4::integer), (1::integer, 'literal', 'word', 3::integer), (2::integer, 'regex', 'digits', 0::integer), (3::integer, 'regex', '-', 0::integer)) as t(pattern_id, kind, name, n_bytes)",
+    "index_names": f"""
+        with words as (select w, cast(row_number() over (order by w) - 1 as integer) as pattern_id from ({_words})), hits as ({_large_sql.strip()}), n as (select pattern_id, count(*) as n from hits group by pattern_id),
+        digits as (select sum(len(regexp_extract_all(text, {_quote(DIGITS)})))::bigint as n from documents)
+        select pattern_id, 'literal' as kind, if(pattern_id % 2 = 1, 'word:' || w, '-') as name, strlen(w)::integer as n_bytes, coalesce(n, 0)::bigint as n_matches from words left join n using (pattern_id)
+        union all select (select count(*) from words)::integer, 'regex', 'digits', 0, n from digits""",
+    "planned_table": """
+        with recursive sized as (select doc_id, coalesce(octet_length(encode(text)), 0) as n, row_number() over (order by coalesce(octet_length(encode(text)), 0) desc, doc_id) as k from documents),
+        plan as (
+            select doc_id, n, k, 0 as batch, 0 as place, n as total from sized where k = 1
+            union all
+            select s.doc_id, s.n, s.k, if(p.place + 1 >= 64 or p.total + s.n > 200000, p.batch + 1, p.batch), if(p.place + 1 >= 64 or p.total + s.n > 200000, 0, p.place + 1), if(p.place + 1 >= 64 or p.total + s.n > 200000, s.n, p.total + s.n)
+            from plan p join sized s on s.k = p.k + 1
+        ) select doc_id, cast(batch as integer) as batch, cast(place as integer) as place from plan""",
+    "scan_table_function": f"""select * from ({_literal_sql(("the", "thea", "ment"))}) union all {_regex(3, DIGITS)}""",
+    "asof_matches": f"""select e.event_id, coalesce(m.event_id, -1) as match_id from events e asof left join (select * from events where {_odd}) m on e.user_id = m.user_id and e.ts >= m.ts""",
+    "late_stream": f"""
+        with found as (select *, event_type = 'error' as late from events where {_odd}), first as (select max(ts) - interval 200 hours as mark from found where not late),
+        kept as (select ts from found, first where not late or ts > mark), last as (select max(ts) - interval 200 hours as mark from found),
+        slid as (select date_trunc('hour', ts) - to_hours(k) as window_start from kept, (select unnest([0, 1]) as k))
+        select window_start, count(*) as n_events, (select count(*) from found, first where late and ts <= mark) as late_rows from slid, last group by window_start, mark having window_start + interval 2 hours <= mark""",
+    "session_stream": f"""
+        with found as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as gap from events where {_odd}), last as (select max(ts) - interval 2 hours as mark from found),
+        numbered as (select user_id, ts, sum(case when gap is null or gap > interval 30 minutes then 1 else 0 end) over (partition by user_id order by ts) as k from found)
+        select user_id, min(ts) as window_start, max(ts) + interval 30 minutes as window_end, count(*) as n_events from numbered, last group by user_id, k, mark having max(ts) + interval 30 minutes <= mark""",
+    "swapped_stream": " union all ".join(f"select h.*, cast({v} as bigint) as version from ({_literal_sql(words)}) h join documents d using (doc_id) where {which}" for v, words, which in ((1, LITERALS, "lang = 'en'"), (2, OVERLAPPING[:3], "lang is null or lang <> 'en'"))),
     "windowed_stream": "select date_trunc('hour', ts) as hour, count(*) as n_events from events where regexp_matches(props, '[13579]') group by all having date_trunc('hour', any_value(ts)) + interval 1 hour <= (select max(ts) from events where regexp_matches(props, '[13579]')) - interval 2 hour",
     "planned_batches": """
         with recursive sized as (
@@ -515,3 +635,4 @@ ORACLE_SQL: dict[str, str] = {
     "events_window_matches": "select date_trunc('hour', ts) as hour, event_type, count(*) as n_events from events where regexp_matches(props, '[13579]') group by all",
     "scalar_functions": f"select doc_id, len(text) - len(replace(text, 'e', '')) as n_e, list_reduce(list_prepend(2166136261::bigint, list_transform(range(octet_length(encode(text[1:8]))), lambda i: cast('0x' || substr(hex(encode(text[1:8])), 2 * i + 1, 2) as bigint))), lambda h, b: (xor(h, b) * 16777619) & 4294967295) as fnv1a32, strlen(text) as n_bytes, {_count(LITERALS)} as n_texts, {_any_word} as has_word from documents",
 }
+ORACLE_SQL["keyed_stream"] = ORACLE_SQL["stream_scan"]

@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..errors import InputTooLarge
@@ -148,13 +147,3 @@ def scan_each_batch(source: DataFrame, col: str, patterns: HotSwapPatternSet, si
     from ..operators.scan import scan
 
     return source.writeStream.foreachBatch(lambda df, number: sink(scan(df, col, patterns.current(), **options), number))
-
-
-def windowed_matches(events: DataFrame, col: str, patterns: PatternSet, time: str, window: str, late: str | None = None) -> DataFrame:
-    """Events that match some pattern by window of event time; with ``late`` behind a watermark."""
-    from ..operators.scan import any_match
-
-    rows = any_match(events, col, patterns)
-    if late:
-        rows = rows.withWatermark(time, late)
-    return rows.groupBy(F.window(time, window).alias("window")).agg(F.count(F.lit(1)).alias("n_events"))

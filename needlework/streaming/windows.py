@@ -24,12 +24,12 @@ def matches_by_window(events: DataFrame, col: str, patterns: PatternSet, time: s
 
     The events of a stream (or table) are told apart by ``ident``: one that
     comes again counts once. Those that come later than ``late`` behind the
-    latest event are left out, before they meet a window, row by row, so
+    latest matching event are left out, before they meet a window, row by row, so
     ``late_rows`` counts them. A session's state is merged by Spark. A window
     is given once the watermark has passed its end.
     """
     keys = keys or []
-    rows = any_match(events.select(ident, time, col, *keys).withWatermark(time, late), col, patterns)
+    rows = any_match(events.select(ident, time, col, *keys), col, patterns).withWatermark(time, late)
     once = rows.select(ident, time, *keys).dropDuplicatesWithinWatermark([ident]) if events.isStreaming else rows.dropDuplicates([ident])
     own = window_of(time, length, slide, gap).alias("window")
     counted = once.groupBy(*keys, own).agg(F.count(F.lit(1)).alias("n_events"))
