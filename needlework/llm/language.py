@@ -127,7 +127,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     letter = F.col("text").rlike(r"\p{L}")
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("key")).where("text is not null and lang is not null").where(letter)
     by = W.partitionBy("lang").orderBy("key")
-    least = rows.select("lang", "key").distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows_per_language)
+    keys = rows.select("lang", "key").distinct()
+    # about four times as many by a bound of the hash, so that no task sorts all rows of a common language
+    share = {r["lang"]: min(1.0, 4 * rows_per_language / r["n"]) for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not share:
+        return Model([], np.zeros((0, BUCKETS), np.float32))
+    bound = F.element_at(F.create_map(*[F.lit(x) for lang, f in sorted(share.items()) for x in (lang, f)]), F.col("lang"))
+    few = keys.where(F.col("key") / float(1 << 64) + 0.5 <= bound)
+    least = few.withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows_per_language)
     upto = {r["lang"]: r["key"] for r in least.groupBy("lang").agg(F.max("key").alias("key")).collect()}
     if not upto:
         return Model([], np.zeros((0, BUCKETS), np.float32))
