@@ -285,37 +285,46 @@ def scan_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, every: boo
     return rows.mapInArrow(run, schema)
 
 
-def total_rows(rows: DataFrame, keep: list[str], patterns: PatternSet) -> DataFrame:
-    """``keep``, pattern_id, n_matches, n_bytes, least_start, largest_end: a row for each pattern that the last column, a binary one, has."""
-    numbers = ["pattern_id", "n_matches", "n_bytes", "least_start", "largest_end"]
-    kinds = [T.IntegerType(), *[T.LongType()] * 4]
+def total_rows(rows: DataFrame, keep: list[str], patterns: PatternSet, places: bool = True) -> DataFrame:
+    """``keep``, pattern_id, n_matches, n_bytes and, with ``places``, least_start, largest_end: a row for each pattern that the last column, a binary one, has."""
+    numbers = ["pattern_id", "n_matches", "n_bytes", *(["least_start", "largest_end"] if places else [])]
+    kinds = [T.IntegerType(), *[T.LongType()] * (len(numbers) - 1)]
     schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], *[T.StructField(c, k) for c, k in zip(numbers, kinds, strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         literal, ids, regexes = compiled(patterns)
-        fold = bytes.lower if patterns.case_insensitive else bytes
+        fold = bytes.lower if patterns.case_insensitive else None
+
+        def counted(value: bytes) -> list[tuple]:
+            found = literal.findall(value)
+            return [(ids[w], n, n * len(w)) for w, n in Counter(found if fold is None else map(fold, found)).items()]
+
+        def placed(value: bytes) -> list[tuple]:
+            hits = list(literal.finditer(value))
+            texts = [m.group() for m in hits] if fold is None else [fold(m.group()) for m in hits]
+            last = dict(zip(texts, hits, strict=True))
+            first = dict(zip(reversed(texts), reversed(hits), strict=True))
+            return [(ids[w], n, n * len(w), first[w].start(), last[w].end()) for w, n in Counter(texts).items()]
+
+        def mixed(value: bytes) -> list[tuple]:
+            own: dict[int, list[int]] = {}
+            for s, i, e in scan_bytes(value, patterns):
+                t = own.setdefault(i, [0, 0, s, e])
+                t[0] += 1
+                t[1] += e - s
+                t[3] = max(t[3], e)
+            return [(i, *t[: len(numbers) - 1]) for i, t in own.items()]
+
+        totals_of = mixed if regexes else placed if places else counted
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
                 take, totals = [], []
                 for row, value in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                    own: dict[int, list[int]] = {}
-                    if value is not None and not regexes:
-                        hits = [(fold(m.group()), m.end()) for m in literal.finditer(value)]
-                        last, first_end, counts = dict(hits), dict(reversed(hits)), Counter(w for w, _ in hits)
-                        for w, n in counts.items():
-                            own[ids[w]] = [n, n * len(w), first_end[w] - len(w), last[w]]
-                    for s, i, e in scan_bytes(value, patterns) if value is not None and regexes else ():
-                        if i in own:
-                            t = own[i]
-                            t[0] += 1
-                            t[1] += e - s
-                            if e > t[3]:
-                                t[3] = e
-                        else:
-                            own[i] = [1, e - s, s, e]
-                    take += [row] * len(own)
-                    totals += [(i, *t) for i, t in own.items()]
+                    if value is not None:
+                        own = totals_of(value)
+                        take += [row] * len(own)
+                        totals += own
                 if totals:
                     columns = [part.column(k).take(pa.array(take, pa.int32())) for k in range(len(keep))]
                     yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int32() if n == 0 else pa.int64()) for n, x in enumerate(zip(*totals, strict=True))]], [*keep, *numbers])

@@ -159,17 +159,18 @@ def scan(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None =
     return found.select(*_names(df, keep), F.inline(own))
 
 
-def scan_totals(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None = None, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """For each row and pattern that it has: ``keep``, pattern_id, n_matches, n_bytes, least_start, largest_end.
+def scan_totals(df: DataFrame, col: str, patterns: PatternSet, keep: list[str] | None = None, config: ScanConfig = ScanConfig(), places: bool = True) -> DataFrame:
+    """For each row and pattern that it has: ``keep``, pattern_id, n_matches, n_bytes and, with ``places``, least_start, largest_end.
 
     What an aggregate over matches needs of them, made where they are found, so
-    that a row leaves Python for each pattern, not for each match.
+    that a row leaves Python for each pattern, not for each match. Without
+    ``places`` matches are counted by their texts alone, which is faster.
     """
     keep = [c for c in df.columns if c != col] if keep is None else keep
     if clash := {"pattern_id", "n_matches", "n_bytes", "least_start", "largest_end"} & set(keep):
         raise ValueError(f"the result has columns of these names already: {sorted(clash)}")
     rows = df.select(*_names(df, keep), F.col(col).alias("_hay"))
-    return total_rows(_hay(rows, patterns, config), keep, patterns)
+    return total_rows(_hay(rows, patterns, config), keep, patterns, places)
 
 
 def _scan_joined(rows: DataFrame, keep: list[str], patterns: PatternSet, binary: bool, limit: int = NO_LIMIT) -> DataFrame:

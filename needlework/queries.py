@@ -304,7 +304,7 @@ def index_names(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "index")
     save_index(spark, own.named_regex("digits", DIGITS).build(), path)
     found = load_index(spark, path)
-    totals = S.scan_totals(documents(spark, d), "text", found, []).groupBy("pattern_id").agg(F.sum("n_matches").alias("n_matches"))
+    totals = S.scan_totals(documents(spark, d), "text", found, [], places=False).groupBy("pattern_id").agg(F.sum("n_matches").alias("n_matches"))
     known = S.pattern_table(spark, found).join(totals, "pattern_id", "left")
     return known.select("pattern_id", "kind", F.coalesce("name", F.lit("-")).alias("name"), F.coalesce(F.octet_length("literal"), F.lit(0)).alias("n_bytes"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))
 
@@ -425,7 +425,7 @@ def match_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def match_rollup(spark: SparkSession, d: str) -> DataFrame:
     docs = S.spread(table(spark, d, "documents").select("lang", "text"))
-    totals = S.scan_totals(docs, "text", PatternSet.of(*LITERALS), ["lang"])
+    totals = S.scan_totals(docs, "text", PatternSet.of(*LITERALS), ["lang"], places=False)
     out = totals.rollup("lang", "pattern_id").agg(F.sum("n_matches").alias("n_matches"), F.sum("n_bytes").alias("n_bytes"), F.grouping_id().alias("level"))
     return out.select("lang", F.coalesce("pattern_id", F.lit(-1)).alias("pattern_id"), "n_matches", "n_bytes", F.col("level").cast("long").alias("level"))
 
