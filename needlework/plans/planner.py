@@ -22,8 +22,10 @@ class ScanConfig:
     ``compat`` gives literals another rule than leftmost-longest: shortest_all
     (at each start the shortest, with all its ids) or needle_by_needle (hits of
     each literal first, then the leftmost and longest of them). ``max_matches``
-    fails a query if a haystack has that many matches or more. ``sieve`` lets
-    built-in tests leave out rows without a match before haystacks go to Python.
+    fails a query if a haystack has that many matches or more. ``fallback``
+    sends what the native strategy can't run to Python instead of failing;
+    ``fallback_reason`` says when and why. ``sieve`` lets built-in tests leave
+    out rows without a match before haystacks go to Python.
     """
 
     strategy: str = "auto"
@@ -35,6 +37,7 @@ class ScanConfig:
     batch_bytes: int = 256 << 20
     sort_by_size: bool = True
     sieve: bool = True
+    fallback: bool = False
 
     def with_chunk_bytes(self, n: int) -> ScanConfig:
         n = max(1, n)
@@ -52,6 +55,17 @@ ROWS = ("scan", "nested", "overlapping")
 OPERATORS = (*ROWS, "count", "any", "first")
 
 
+def not_native(patterns: PatternSet, config: ScanConfig, operator: str) -> str | None:
+    """Why the native strategy can't run a set, if it can't."""
+    if config.compat:
+        return "the native strategy is leftmost-longest"
+    if not patterns.native:
+        return "a regex of the set can't run in the native strategy"
+    if operator == "nested" and len(patterns.keys) > MAP_PATTERNS:
+        return f"arrays of matches are native for {MAP_PATTERNS} literals at most"
+    return None
+
+
 def choose(patterns: PatternSet, config: ScanConfig = ScanConfig(), operator: str = "scan") -> tuple[str, str]:
     """The strategy of an operator, and why."""
     if config.strategy not in ("auto", NATIVE, ARROW):
@@ -60,12 +74,12 @@ def choose(patterns: PatternSet, config: ScanConfig = ScanConfig(), operator: st
         raise ValueError(f"unknown rule {config.compat}")
     if operator not in OPERATORS:
         raise ValueError(f"unknown operator {operator}")
+    if config.strategy == NATIVE and (why := not_native(patterns, config, operator)):
+        if not config.fallback:
+            raise ValueError(why)
+        return ARROW, f"fallback: {why}"
     if config.compat:
-        if config.strategy == NATIVE:
-            raise ValueError("the native strategy is leftmost-longest")
         return ARROW, f"the rule {config.compat} is Python's"
-    if config.strategy == NATIVE and not patterns.native:
-        raise ValueError("a regex of the set can't run in the native strategy")
     if config.strategy != "auto":
         return config.strategy, "asked for"
     if not patterns.native:
@@ -79,6 +93,13 @@ def choose(patterns: PatternSet, config: ScanConfig = ScanConfig(), operator: st
     return NATIVE, "built-in functions count and test without making matches"
 
 
+def fallback_reason(patterns: PatternSet, config: ScanConfig = ScanConfig(), operator: str = "scan") -> str | None:
+    """Why an operator that was asked to be native goes to Python; None if it doesn't."""
+    if config.strategy != NATIVE or not config.fallback:
+        return None
+    return not_native(patterns, config, operator)
+
+
 def strategy(patterns: PatternSet, config: ScanConfig = ScanConfig(), operator: str = "scan") -> str:
     return choose(patterns, config, operator)[0]
 

@@ -15,7 +15,7 @@ from .operators.asof import asof_join
 from .operators.scan import NO_LIMIT
 from .operators.table import scan_table
 from .plans.patterns import HotSwapPatternSet, PatternSet
-from .plans.planner import ScanConfig
+from .plans.planner import ScanConfig, fallback_reason
 from .sources.index import load_index, save_index
 from .sources.scratch import scratch, written
 from .streaming.keyed import STORE, scan_keyed_stream, use_rocksdb
@@ -31,6 +31,8 @@ EMAIL = r"[a-z0-9._]+@[a-z0-9.-]+\.[a-z]{2,}"
 IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 URL = r"https?://[a-z0-9./?=&#-]+"
 DIGITS = r"[0-9]{4,}"
+SHORTEST = ("the", "thea", "ment", "the", "me", "en")
+NEEDLES = ("ana", "lan", "ere", "der", "nan", "and")
 
 
 #: Literals that few pages have.
@@ -171,11 +173,20 @@ def scan_limited(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_shortest_all(spark: SparkSession, d: str) -> DataFrame:
-    return S.scan(documents(spark, d), "text", PatternSet.of("the", "thea", "ment", "the"), config=ScanConfig(compat="shortest_all"))
+    return S.scan(documents(spark, d), "text", PatternSet.of(*SHORTEST), config=ScanConfig(compat="shortest_all"))
 
 
 def scan_needle_by_needle(spark: SparkSession, d: str) -> DataFrame:
-    return S.scan(documents(spark, d), "text", PatternSet.of("anan", "tion"), config=ScanConfig(compat="needle_by_needle"))
+    """Needles that overlap each other: ``lan`` ahead of ``ana`` hides an ``ana`` further on, which another rule would find."""
+    return S.scan(documents(spark, d), "text", PatternSet.of(*NEEDLES), config=ScanConfig(compat="needle_by_needle"))
+
+
+def scan_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Asked to be native, but a repeated group isn't: the plan goes to Python and says why."""
+    patterns = PatternSet.builder().regex(r"(?:an|on){2,100}").regex(IP).build()
+    config = ScanConfig(strategy="native", fallback=True)
+    found = S.scan(documents(spark, d), "text", patterns, config=config)
+    return found.withColumn("reason", F.lit(fallback_reason(patterns, config)))
 
 
 def scan_bytes_and_names(spark: SparkSession, d: str) -> DataFrame:
@@ -479,7 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         docs_by_pattern, scan_literals, scan_single_literal, scan_literals_ci, scan_count, scan_visitor_limit, any_match, no_match, first_match, pattern_flags, scan_overlapping, scan_regex, scan_regex_pages,
         scan_mixed, scan_regex_arrow, scan_nested, batch_nested, scan_chunked, scan_chunked_leftmost, scan_large_set, scan_large_set_arrow, coalesce_map, decoalesce, planned_batches, index_roundtrip, hot_swap,
-        scan_joined, scan_totals, scan_limited, scan_shortest_all, scan_needle_by_needle, scan_bytes_and_names, any_match_arrow, scan_sql_function, scan_chunked_regex, shortest_by_start, matched_by_one_only, index_names, windowed_stream,
+        scan_joined, scan_totals, scan_limited, scan_shortest_all, scan_needle_by_needle, scan_fallback, scan_bytes_and_names, any_match_arrow, scan_sql_function, scan_chunked_regex, shortest_by_start, matched_by_one_only, index_names, windowed_stream,
         scan_word_table, scan_pair_table, regex_ensemble, scan_regions, scan_whole_buffer, scan_table_function, planned_table, asof_matches, late_stream, session_stream, swapped_stream, keyed_stream,
         stream_scan, pattern_names_join, match_topk, match_rollup, match_gaps, match_labels, redacted_text, events_window_matches, scalar_functions,
     )
@@ -575,8 +586,16 @@ ORACLE_SQL: dict[str, str] = {
     "scan_joined": _large_sql,
     "scan_totals": f"""select doc_id, pattern_id, count(*) as n_matches, cast(sum("end" - start) as bigint) as n_bytes, cast(min(start) as bigint) as least_start, cast(max("end") as bigint) as largest_end from ({_literal_sql(LITERALS)}) group by doc_id, pattern_id""",
     "scan_limited": _literal_sql(WORDS),
-    "scan_shortest_all": f"""select doc_id, cast(i as integer) as pattern_id, start, "end" from ({_literal_sql(("the", "ment"))}) join (values (0, 0), (0, 3), (1, 2)) as t(p, i) on p = pattern_id""",
-    "scan_needle_by_needle": _literal_sql(("anan",)) + " union all " + _hits("documents", "doc_id", "text", "tion", "cast(1 as integer)"),
+    "scan_shortest_all": f"""select doc_id, cast(i as integer) as pattern_id, start, "end" from ({_hits("documents", "doc_id", "text", "me|en|the|ment|thea", "w")}) join (values ('the', 0), ('thea', 1), ('ment', 2), ('the', 3), ('me', 4), ('en', 5)) as t(p, i) on p = pattern_id""",
+    "scan_needle_by_needle": f"""
+        with recursive found as ({" union all ".join(_regex(i, x) for i, x in enumerate(NEEDLES))}),
+        sorted as (select *, row_number() over (partition by doc_id order by start, "end" desc, pattern_id) as k from found),
+        walk as (
+            select doc_id, pattern_id, start, "end", k, true as kept, "end" as reached from sorted where k = 1
+            union all
+            select s.doc_id, s.pattern_id, s.start, s."end", s.k, s.start >= w.reached, if(s.start >= w.reached, s."end", w.reached) from walk w join sorted s on s.doc_id = w.doc_id and s.k = w.k + 1
+        ) select doc_id, pattern_id, start, "end" from walk where kept""",
+    "scan_fallback": f"""select *, 'a regex of the set can''t run in the native strategy' as reason from ({_regex(0, "(?:an|on){2,100}")} union all {_regex(1, IP)})""",
     "scan_bytes_and_names": " union all ".join(f"select *, {_quote(n)} as name from ({_hits('documents', 'doc_id', 'text', r, f'cast({i} as integer)')})" for i, r, n in ((0, "ê", "-"), (1, DIGITS, "digits"), (2, "tion", "-"))),
     "any_match_arrow": "select doc_id from documents where regexp_matches(text, '(?:an|on){2,100}')",
     "scan_sql_function": _literal_sql(WORDS),

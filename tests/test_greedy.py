@@ -14,7 +14,7 @@ from needlework.operators import chunk, greedy, table
 from needlework.operators import scan as S
 from needlework.operators.arrow import met, scan_bytes
 from needlework.plans.patterns import PatternSet, PatternSetBuilder
-from needlework.plans.planner import ScanConfig
+from needlework.plans.planner import ScanConfig, fallback_reason
 
 
 # -- limits ----------------------------------------------------------------------
@@ -47,6 +47,29 @@ def test_limits_hold_for_a_haystack(spark, name):
     assert make(most + 1).count()
 
 
+def test_fallback(spark):
+    """What the native strategy can't run goes to Python if that is allowed, else it is an error."""
+    df = spark.createDataFrame([(1, "ababab")], "id int, hay string")
+    groups = PatternSetBuilder().regex("(?:ab|b){2,100}").build()
+    native, falls = ScanConfig(strategy="native"), ScanConfig(strategy="native", fallback=True)
+    with pytest.raises(ValueError, match="native"):
+        S.scan(df, "hay", groups, config=native)
+    assert [tuple(r) for r in S.scan(df, "hay", groups, config=falls).collect()] == [(1, 0, 0, 6)]
+    assert "native" in fallback_reason(groups, falls) and fallback_reason(groups, native) is None
+    assert fallback_reason(PatternSet.of("a"), falls) is None
+    many = PatternSet.of(*[f"a{i}" for i in range(100)])
+    assert fallback_reason(many, falls, "nested") and S.scan_nested(df, "hay", many, falls).first()["matches"] == []
+
+
+def test_size_limits():
+    """The limit is on the generated expression: of the literals together, of each regex by itself."""
+    with pytest.raises(errors.PatternSetTooLarge):
+        PatternSetBuilder().regex_limit(10).literal("a long literal").build()
+    with pytest.raises(errors.PatternCompilationFailed):
+        PatternSetBuilder().regex_limit(10).regex("[a-z]+long[0-9]{1,3}").build()
+    assert PatternSetBuilder().regex_limit(20).literal("ab").build().literal_regex
+
+
 # -- greedy selection ----------------------------------------------------------------
 def plain_pick(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out, at = [], 0

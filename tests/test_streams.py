@@ -9,9 +9,9 @@ from datetime import datetime, timedelta
 import pytest
 
 from needlework.operators.arrow import scan_bytes
-from needlework.plans.patterns import PatternSet, PatternSetBuilder
+from needlework.plans.patterns import HotSwapPatternSet, PatternSet, PatternSetBuilder
 from needlework.streaming import keyed, versions, windows
-from needlework.streaming.stream import EAGER
+from needlework.streaming.stream import EAGER, scan_each_batch
 
 CHUNKS = "stream_id long, seq int, data binary, eos boolean"
 
@@ -117,6 +117,23 @@ def test_a_running_query_follows_versions(spark, tmp_path):
     assert [r["version"] for r in versions.versions(spark, path).orderBy("version").collect()] == [1, 2]
 
 
+def test_each_batch_has_the_set_of_its_moment(spark, tmp_path):
+    own, seen = HotSwapPatternSet(PatternSet.of("old")), []
+    source = str(tmp_path / "in")
+    put = lambda text: spark.createDataFrame([(text,)], "hay string").coalesce(1).write.mode("append").parquet(source)
+    put("old new")
+    sink = lambda hits, number: seen.extend((number, r["start"]) for r in hits.collect())
+    query = scan_each_batch(spark.readStream.schema("hay string").parquet(source), "hay", own, sink).option("checkpointLocation", str(tmp_path / "check")).start()
+    try:
+        query.processAllAvailable()
+        own.swap(PatternSet.of("new"))
+        put("old new")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert seen == [(0, 0), (1, 4)]
+
+
 # -- windows -------------------------------------------------------------------------
 START = datetime(2024, 1, 1)
 EVENTS = "id long, at timestamp, who string, props string"
