@@ -65,7 +65,7 @@ def prefix_bits(h: np.ndarray, size: int, bits: int) -> np.ndarray:
 
 def keys_of(first: np.ndarray, last: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Keys of literals by the hashes of their class at the beginning and at the end."""
-    return finish(finish(first) * _OTHER + last + np.uint64(length))
+    return finish(finish(first) * _OTHER + finish(last) * _BASE + np.atleast_1d(np.asarray(length, np.uint64)))
 
 
 def key_bits(key: np.ndarray, bits: int) -> np.ndarray:
