@@ -168,6 +168,18 @@ def matches_arrow(c: Column, patterns: PatternSet) -> Column:
     return found(c)
 
 
+def count_arrow(c: Column, patterns: PatternSet) -> Column:
+    """Matches in a binary column, which aren't kept; null for a null haystack."""
+
+    @F.pandas_udf("long")
+    def found(values: pd.Series) -> pd.Series:
+        literal, _, regexes = compiled(patterns)
+        count = lambda v: (len(literal.findall(v)) if literal else 0) + sum(1 for _, r in regexes for _ in spans(r, v))
+        return pd.Series([None if v is None else count(bytes(v)) for v in values], dtype="Int64")
+
+    return found(c)
+
+
 def any_arrow(c: Column, patterns: PatternSet) -> Column:
     """Whether any pattern is in a binary column; the first match ends the search."""
 

@@ -23,7 +23,7 @@ from ..functions import columns as C
 from ..plans.patterns import HotSwapPatternSet, PatternSet
 from ..plans.planner import MAP_PATTERNS, NATIVE, ScanConfig, sieve, strategy
 from ..types import MATCHES, PATTERN_SCHEMA
-from .arrow import any_arrow, first_arrow, matches_arrow, nested_rows, scan_rows, total_rows
+from .arrow import any_arrow, count_arrow, first_arrow, matches_arrow, nested_rows, scan_rows, total_rows
 
 #: Bytes of a pattern table up to which a join broadcasts it.
 BROADCAST_BYTES = 8 << 20
@@ -240,8 +240,7 @@ def scan_count(df: DataFrame, col: str, patterns: PatternSet, into: str = "n_mat
     """``df`` with the number of matches, which aren't made; null for a null haystack."""
     if strategy(patterns, config, "count") == NATIVE:
         return df.withColumn(into, C.match_count(F.col(col), patterns, is_binary(df, col)))
-    found = matches_arrow(F.col(col).cast("binary"), patterns)
-    return df.withColumn(into, F.when(F.col(col).isNotNull(), F.size(found).cast("long")))
+    return df.withColumn(into, count_arrow(F.col(col).cast("binary"), patterns))
 
 
 def any_match(df: DataFrame, col: str, patterns: PatternSet, config: ScanConfig = ScanConfig()) -> DataFrame:
