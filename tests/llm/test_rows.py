@@ -107,6 +107,14 @@ def test_op1(spark, data_dir):
     raw = {i: t.encode() for i, t in docs["text"].items()}
     for r in got.to_dict("records"):
         assert r["size"] == len(raw[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(raw[r["doc_id"]])
+        assert r["law"] == "rows" and r["grown_shard"] is None or r["grown_shard"] != r["grown_shard"]
+    assert sorted(got["doc_id"]) == sorted(raw)
+    shards = {s: sorted(g["slot"]) for s, g in got.groupby("shard")}
+    sizes = [len(v) for v in shards.values()]
+    assert sorted(shards) == list(range(16)) and max(sizes) - min(sizes) <= 1
+    assert all(v == list(range(len(v))) for v in shards.values())
+    along = got.sort_values(["shard", "slot"])["hilbert"].tolist()
+    assert along == sorted(along)
 
 
 # -- 2 ---------------------------------------------------------------------------
