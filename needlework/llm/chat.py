@@ -72,7 +72,8 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     role is empty, a null content has no parts, a null part text is empty; a
     null conversation id is one conversation. Repeated rows are turns of their
     own; other columns are ignored; an empty table gives no row. One shuffle, by
-    conversation; a conversation itself is one row.
+    conversation; a conversation itself is one row, so its texts together have
+    the length that a cell may have.
     """
     names = F.coalesce(F.col(role), F.lit(""))
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("at"), names.alias("role"), flatten_parts(F.col(parts)).alias("body"), attachments(F.col(parts)).alias("files"))

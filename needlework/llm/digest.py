@@ -94,7 +94,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Columns: ``id_col``, n_chars, edited_sha256, fingerprint and
     edited_fingerprint (hex), near_edited, near_next. The next document is that
     in ascending ``id_col`` (nulls first, ties by text), after the last the
-    first; a single document is its own next. A null text is empty. An empty
+    first; a single document is its own next. A null text is empty. A text of
+    any length is taken whole; those of less than three bytes have no triplet
+    and share one digest. Rows that repeat are documents of their own. An empty
     table gives an empty result; other columns are ignored.
 
     The texts are shuffled once, by ranges of the id. A task streams its sorted

@@ -308,8 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``n_links`` counts the verified pairs of the document's representative (of
     equal sets, the smallest id) and 1 more if it is a copy of it. A text that is null or has no word is a class
     of its own, as is a row with a null id (class_id is null). Rows that share
-    an id are one document. Other columns are ignored; an empty table gives an
-    empty result.
+    an id are one document. A text of any length is taken whole, its shingles
+    in memory. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
@@ -340,7 +340,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; of rows that repeat this id one of the least text.
 
-    Rows with a null id stay. Other columns go along, whatever their names.
+    Rows with a null id stay, as do null texts and those without a word. An
+    empty table stays empty. Other columns go along, whatever their names.
     """
     own = unused(docs, "listed")
     classes = near_duplicates(docs, id_col, text_col, k, threshold).select(F.col(id_col).alias(own), "class_id").where(F.col(own).isNotNull())

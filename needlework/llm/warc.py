@@ -177,7 +177,8 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     Of rows with equal payloads of ``least_bytes`` or more the one with the
     smallest id is a response, the others are revisits that refer to it; rows
     that repeat an id and payload refer to the first of them. A null payload is
-    empty, a null url is ``about:blank``; null ids come after all others.
+    empty, a null url is ``about:blank``; null ids come after all others. A
+    payload of any length is one record, in memory whole.
     Other columns are ignored; an empty table gives an empty one.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
