@@ -268,6 +268,43 @@ def test_passages_that_are_edited(spark, length, edits, even, least):
     assert len({r["doc_id"] for r in found}) >= least * 60
 
 
+@pytest.mark.parametrize("batch", [substring.BATCH_SEEDS, 60])
+@pytest.mark.parametrize("size", [8, 16])
+def test_edited_passages_of_scattered_seeds(spark, monkeypatch, batch, size):
+    """Edited passages of which one document has all, and many later ones a part that has its seeds too."""
+    monkeypatch.setattr(substring, "BATCH_SEEDS", batch)
+    rng = random.Random(17)
+    around = lambda mid: " ".join([*prose(rng, 70), *mid, *prose(rng, 70)])
+    rows, want = [], {}
+    for i in range(5):
+        passage = prose(rng, 70)
+        copy = [f"e{i}x{k}" if k % 9 == 8 else w for k, w in enumerate(passage)]
+        rows.append((i, around(passage)))
+        # each part is had by several documents, and what starts in one ends in another
+        rows += [(100 * i + 10 + n, around(passage[k : k + size])) for n, k in enumerate([*range(0, 70, size // 2)] * 2)]
+        rows.append((1000 + i, around(copy)))
+        want[1000 + i] = " ".join(copy)
+    found = substring.repeated_passages(frame(spark, rows)).collect()
+    got = covered(rows, found)
+    assert set(got) == set(want)
+    for i, text in want.items():
+        assert len(got[i]) == 1 and text in got[i][0] and len(got[i][0].split()) < 80
+    assert all(r["doc_id"] - 1000 in r["other_ids"] for r in found)
+
+
+@pytest.mark.parametrize("repeats", [40, 3000])
+def test_edited_passages_of_texts_that_repeat(spark, repeats):
+    """What repeats is compared as a whole, also where later texts have a part of it."""
+    rng = random.Random(18)
+    unit = prose(rng, 30)
+    long = unit * repeats
+    edited = [f"e{k}" if k % 9 == 8 else w for k, w in enumerate(long)]
+    around = lambda mid: " ".join([*prose(rng, 70), *mid, *prose(rng, 70)])
+    rows = [(1, around(long)), *[(10 + n, around(unit[k : k + 8])) for n, k in enumerate(range(0, 24, 4))], (100, around(edited))]
+    found = [r for r in substring.repeated_passages(frame(spark, rows)).collect() if r["doc_id"] == 100]
+    assert sum(r["n_words"] for r in found) >= 0.95 * len(edited) and all(r["other_ids"] == [1] for r in found)
+
+
 def test_no_passage_of_phrases(spark):
     """A text of phrases, each from another document, isn't a passage, however they tile; nor are phrases of one document in another order."""
     rng = random.Random(16)
