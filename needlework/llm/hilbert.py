@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve, in built-in functions only.
 
-Metadata columns are quantised at their quantiles, the cell's index on the
+Metadata columns are quantised at their exact quantiles, the cell's index on the
 Hilbert curve orders the rows, and equal runs of that order are the shards.
 Neighbours on the curve are neighbours in every dimension, so a shard (and a
 file of it) covers a small range of each and readers can skip it by min/max.
@@ -18,8 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows whose strings give the cut points of their axes.
-SAMPLE = 4096
+from .common import Scratch
+
+#: Ranges of a dimension's different values that are numbered side by side.
+RANGES = 32
 #: Rows that one (cell, salt) of a hot cell holds at most, about.
 ROWS_A_SALT, LEAST_SALTS = 100_000, 64
 _COARSE_BITS = 10
@@ -67,32 +69,48 @@ def _number(kind: T.DataType, c: Column) -> Column:
     return F.unix_timestamp(c.cast("timestamp")).cast("double") if isinstance(kind, (T.DateType, T.TimestampType)) else c.cast("double")
 
 
+def quantiles(df: DataFrame, value: Column, share: list[float]) -> list:
+    """The values of all rows at ``share`` of the rows that aren't null, in ascending order; all but the last if there are no more than that.
+
+    Different values are counted and sorted in ranges. What comes to the driver
+    is the size of each range and the values that are cut at.
+    """
+    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    with Scratch(df.sparkSession) as kept:
+        ranged = kept.keep(counts.repartitionByRange(RANGES, "v").withColumn("part", F.spark_partition_id()), "values")
+        sizes = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n"), F.count(F.lit(1))).collect())
+        total, different = sum(r[1] for r in sizes), sum(r[2] for r in sizes)
+        if different <= len(share) + 1:
+            return [r["v"] for r in ranged.orderBy("part", "v").collect()][:-1]
+        ranks = sorted({int(s * total) for s in share})
+        before, starts = 0, []
+        for part, n, _ in sizes:
+            if any(before <= r < before + n for r in ranks):
+                starts += [F.lit(part), F.lit(before).cast("long")]
+            before += n
+        upto = F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+        placed = ranged.where(F.col("part").isin(starts[::2])).withColumn("end", upto + F.create_map(*starts)[F.col("part")])
+        at = F.exists(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))
+        return [r["v"] for r in placed.where(at).orderBy("part", "v").select("v").collect()]
+
+
 def cut_points(df: DataFrame, dimensions: list[str], order: list[Column], bits: int) -> tuple[int, list[list]]:
     """Rows of ``df``, and for each dimension ascending values between which a cell of its axis lies.
 
-    Numbers and dates are cut at their quantiles. So are strings and binaries,
-    whole and not by a prefix, at those of ``SAMPLE`` rows of the least hashes:
-    a bounded sample, on which only the shape of the cells depends. Where it
-    has few enough different values each of them is a cell.
+    All are cut at the quantiles of all rows, strings and binaries too, whole
+    and not by a prefix. Where it has few enough different values each of them
+    is a cell. The rows' ``order`` is of no account.
     """
     cells = (1 << bits) - 1  # and one for nulls
     share = [k / cells for k in range(1, cells)]
-    kinds = [df.schema[d].dataType for d in dimensions]
-    numeric = [i for i, k in enumerate(kinds) if not isinstance(k, (T.StringType, T.BinaryType))]
-    found = [F.percentile_approx(_number(kinds[i], F.col(f"`{dimensions[i]}`")), share, 10_000).alias(f"k{i}") for i in numeric] if cells > 1 else []
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *found).first()
-    cuts: list[list] = [sorted(set(stats[f"k{i}"] or [])) if i in numeric and cells > 1 else [] for i in range(len(dimensions))]
-    texts = [i for i in range(len(dimensions)) if i not in numeric]
-    if texts and stats["n"] and cells > 1:
-        slim = df.select(F.xxhash64(*order).alias("hash"), *[F.col(f"`{dimensions[i]}`").cast("binary").alias(f"k{i}") for i in texts])
-        # about four times as many by a bound of the hash, so that tasks don't send the driver a sample each
-        few = F.col("hash") / float(1 << 63) < 8 * SAMPLE / stats["n"] - 1
-        rows = slim.where(few).orderBy("hash").limit(SAMPLE).collect()
-        for i in texts:
-            values = sorted(bytes(r[f"k{i}"]) for r in rows if r[f"k{i}"] is not None)
-            different = sorted(set(values))
-            cuts[i] = different[:-1] if len(different) <= cells else sorted({values[int(s * len(values))] for s in share})
-    return stats["n"], cuts
+    n = df.count()
+    cuts: list[list] = []
+    for d in dimensions:
+        kind, c = df.schema[d].dataType, F.col(f"`{d}`")
+        binary = isinstance(kind, (T.StringType, T.BinaryType))
+        found = quantiles(df, c.cast("binary") if binary else _number(kind, c), share) if n and cells > 1 else []
+        cuts.append([bytes(v) for v in found] if binary else found)
+    return n, cuts
 
 
 def axis(df: DataFrame, name: str, cuts: list) -> Column:

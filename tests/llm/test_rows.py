@@ -56,6 +56,18 @@ def test_hilbert_shards(spark):
     assert len({(r["shard"], r["slot"]) for r in few}) == 3
 
 
+def test_hilbert_cuts_are_those_of_all_rows(spark):
+    """Exact quantiles of strings and numbers, and a cell for each of a few values, however rare."""
+    df = spark.range(30_000).selectExpr("sha2(string(id), 256) as s", "id * id as n", "case when id < 12 then concat('rare', id) else 'often' end as few", "string(null) as none")
+    n, cuts = hilbert.cut_points(df, df.columns, [df["n"]], 5)
+    rows = df.collect()
+    for name, own in zip(["s", "n"], cuts, strict=False):
+        values = sorted(r[name] for r in rows)
+        want = [values[k * n // 31] for k in range(1, 31)]
+        assert own == ([v.encode() for v in want] if name == "s" else want)
+    assert n == 30_000 and cuts[2] == sorted({r["few"].encode() for r in rows})[:-1] and cuts[3] == []
+
+
 def test_hilbert_shards_plainly(spark):
     """Cells, places on the curve, ranks, shards and slots, one after the other in Python."""
     import bisect
