@@ -292,6 +292,19 @@ def test_edited_passages_of_scattered_seeds(spark, monkeypatch, batch, size):
     assert all(r["doc_id"] - 1000 in r["other_ids"] for r in found)
 
 
+def test_pipeline_cuts_edited_passages_of_scattered_seeds(spark):
+    """The stage removes an edited passage whose seeds later documents have too, each a part."""
+    rng = random.Random(19)
+    passage = prose(rng, 70)
+    copy = [f"e{k}" if k % 9 == 8 else w for k, w in enumerate(passage)]
+    around = lambda mid: " ".join([*prose(rng, 70), *mid, *prose(rng, 70)])
+    rows = [(1, around(passage)), *[(10 + n, around(passage[k : k + 8])) for n, k in enumerate([*range(0, 70, 4)] * 2)], (100, around(copy))]
+    docs = frame(spark, rows).selectExpr("*", "length(text) as n_chars")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    assert all(left[i] == text for i, text in rows[:-1])
+    assert left[100] != rows[-1][1] and not {w for k, w in enumerate(copy) if k % 9 == 8} & set(left[100].split())
+
+
 @pytest.mark.parametrize("repeats", [40, 3000])
 def test_edited_passages_of_texts_that_repeat(spark, repeats):
     """What repeats is compared as a whole, also where later texts have a part of it."""
