@@ -318,6 +318,31 @@ def test_edited_passages_of_texts_that_repeat(spark, repeats):
     assert sum(r["n_words"] for r in found) >= 0.95 * len(edited) and all(r["other_ids"] == [1] for r in found)
 
 
+def test_requests_to_all_are_slim(spark, monkeypatch):
+    """A line that a text has twice is no pair of one that has it once; where texts repeat, a place has two seeds of the other at most."""
+    made = []
+    asked_of_all = substring._asked_of_all
+
+    def kept(*args):
+        out = asked_of_all(*args)
+        made.append(out.collect())
+        return out
+
+    monkeypatch.setattr(substring, "_asked_of_all", kept)
+    rng = random.Random(20)
+    line = prose(rng, 13)
+    rows = [(i, " ".join([*prose(rng, 30), *line, *prose(rng, 30)])) for i in range(20)]
+    rows += [(100, " ".join([*line, *prose(rng, 11), *line]))]
+    unit = prose(rng, 30)
+    edited = lambda n, step: [f"e{n}x{k}" if k % step == step - 1 else w for k, w in enumerate(unit * 20)]
+    rows += [(200 + n, " ".join(edited(n, 31 + 6 * n))) for n in range(2)]
+    assert {r["doc_id"] for r in substring.repeated_passages(frame(spark, rows)).collect()} <= {201}
+    assert made and all(r["d"] != 100 for r in made[0])
+    for r in made[0]:
+        p = np.frombuffer(r["seeds"], np.int32).reshape(2, -1)[0]
+        assert np.unique(p, return_counts=True)[1].max() <= 2
+
+
 def test_no_passage_of_phrases(spark):
     """A text of phrases, each from another document, isn't a passage, however they tile; nor are phrases of one document in another order."""
     rng = random.Random(16)
