@@ -343,6 +343,31 @@ def test_requests_to_all_are_slim(spark, monkeypatch):
         assert np.unique(p, return_counts=True)[1].max() <= 2
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_lines_that_many_have_are_no_requests(spark, monkeypatch, repeated):
+    """Texts that share a line, or a word that repeats, but not 40 words of 50, aren't compared, however many there are; those that do are found."""
+    made = []
+    asked_of_all = substring._asked_of_all
+
+    def kept(*args):
+        out = asked_of_all(*args)
+        made.append({(r["d"], r["rd"]) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(substring, "_asked_of_all", kept)
+    monkeypatch.setattr(substring, "PAIR_DOCS", 7)
+    rng = random.Random(21)
+    line = ["la"] * 42 if repeated else prose(rng, 33)
+    own = lambda name, n: [f"{name}x{k}" for k in range(n)]
+    rows = [(i, " ".join([*own(f"a{i}", 50), *line, *own(f"b{i}", 50)])) for i in range(40)]
+    # after the line the passage of document 20 goes on, in eight words of ten
+    after = [f"e{k}" if k % 5 == 4 else w for k, w in enumerate(own("b20", 40))]
+    rows += [(100, " ".join([*own("c", 50), *line, *after, *own("d", 30)]))]
+    found = substring.repeated_passages(frame(spark, rows)).collect()
+    assert [(r["doc_id"], r["other_ids"]) for r in found] == [(100, [20])] and found[0]["n_words"] > 60
+    assert made and made[0] <= {(100, 20)}
+
+
 def test_no_passage_of_phrases(spark):
     """A text of phrases, each from another document, isn't a passage, however they tile; nor are phrases of one document in another order."""
     rng = random.Random(16)
