@@ -17,7 +17,7 @@ from .operators.table import scan_table
 from .plans.patterns import HotSwapPatternSet, PatternSet
 from .plans.planner import ScanConfig, fallback_reason
 from .sources.index import load_index, save_index
-from .sources.scratch import scratch, written
+from .sources.scratch import lasting, passing, scratch, written
 from .streaming.keyed import STORE, scan_keyed_stream, use_rocksdb
 from .streaming.stream import scan_stream
 from .streaming.versions import publish, scan_versions
@@ -240,13 +240,34 @@ def scan_word_table(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(words, "pattern_id").select("doc_id", "literal", "start", "end")
 
 
+#: Literals of a table that are looked for at once: so many are a part, up to ``PARTS`` parts, and so many a part at most.
+PART_LITERALS, PARTS, MOST_LITERALS = 100_000, 10, 8_000_000
+
+
 def scan_pair_table(spark: SparkSession, d: str) -> DataFrame:
-    """All neighbouring words of documents that make 11 to 15 bytes, wherever they occur: 100,000 literals and more, none of them collected."""
+    """All neighbouring words of documents that make 11 to 15 bytes, wherever they occur: 100,000 literals and more, none of them collected.
+
+    Literals are dealt into parts by their first bytes, each of which is looked for in all documents and summed
+    up before the next one: what is on disk at once is the share of a part. In a part's scan the places where
+    others begin are left at the first test.
+    """
     w = F.split("text", " ")
     pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    literals = table(spark, d, "documents").where(F.size(w) > 1).select(F.explode(pairs).alias("literal")).where(F.octet_length("literal").between(11, 15)).distinct()
-    hits = scan_table(documents(spark, d), "text", literals.withColumn("pattern_id", F.xxhash64("literal")), overlapping=True)
-    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.countDistinct("pattern_id").alias("n_literals"), F.sum(F.col("start").cast("long")).alias("sum_start"))
+    with passing(spark):
+        literals = written(table(spark, d, "documents").where(F.size(w) > 1).select(F.explode(pairs).alias("literal")).where(F.octet_length("literal").between(11, 15)).distinct(), "pairs")
+        literals = literals.withColumn("pattern_id", F.xxhash64("literal"))
+        n_literals = literals.count()
+        parts = max(1, min(PARTS, -(-n_literals // PART_LITERALS)), -(-n_literals // MOST_LITERALS))
+        part = F.pmod(F.xxhash64(F.substring(F.col("literal").cast("binary"), 1, 8)), F.lit(parts))
+        sums = None
+        for n in range(parts):
+            with passing(spark):
+                hits = scan_table(documents(spark, d), "text", literals.where(part == n), overlapping=True)
+                # a literal is in one part
+                own = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.countDistinct("pattern_id").alias("n_literals"), F.sum(F.col("start").cast("long")).alias("sum_start"))
+                own = lasting(own, "sums")
+                sums = own if sums is None else sums.unionByName(own)
+    return sums.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_matches", "n_literals", "sum_start")])
 
 
 def regex_ensemble(spark: SparkSession, d: str) -> DataFrame:
