@@ -13,6 +13,12 @@ of the largest bounds come first; a document is scored in full only if their sum
 and the block maxima of the rest still reach the threshold. Documents of a shard
 are ordered so that like ones share blocks.
 
+Queries are searched many at a time. What a shard's most frequent terms add,
+which are most of the postings that a query meets, is then one product of
+matrices for all of them, of single precision: with its error it bounds blocks
+and documents from above. Blocks and rows of the other terms are as above, and
+every document that may reach the threshold is scored in full.
+
 Shards are searched in waves, each about three times as many as all before it,
 so that most begin with a threshold that is close to the last one, and return
 few documents. A query is its set of terms. Scores are rounded to six decimals;
@@ -41,6 +47,8 @@ QUERY_TERMS = 1_000_000
 DECIMALS, MARGIN = 6, 1e-5
 #: What the terms after the first ones may add at most in a pivot block, as a share of the threshold.
 REST = 0.2
+#: Terms of a shard that are held as a matrix at most, numbers in it, and in a product (of queries and documents).
+DENSE_TERMS, DENSE_SIZE, PRODUCT_SIZE = 256, 1 << 22, 1 << 19
 #: Shards of the first wave at most, and of one task.
 FIRST_WAVE, TASK_SHARDS = 16, 4
 
@@ -191,6 +199,74 @@ class Shard:
         best = np.lexsort((self.ids[docs], -total))[:k]
         return self.ids[docs[best]], total[best]
 
+    def _dense(self) -> None:
+        """Impacts of the most frequent terms by document, and their maxima by block."""
+        n = min(DENSE_TERMS, DENSE_SIZE // max(1, len(self.ids)), len(self.terms))
+        frequent = np.sort(np.argsort(self.offsets[:-1] - self.offsets[1:], kind="stable")[:n])
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[frequent] = np.arange(n)
+        self.by_doc, self.by_block = np.zeros((n, len(self.ids)), np.float32), np.zeros((n, self.blocks), np.float32)
+        at, sizes = self._gather(self.offsets, frequent)
+        self.by_doc[np.repeat(np.arange(n), sizes), self.docs[at]] = self.impacts[at]
+        at, sizes = self._gather(self.block_offsets, frequent)
+        self.by_block[np.repeat(np.arange(n), sizes), self.block_of[at]] = self.block_most[at]
+        #: Sums of positive numbers of single precision, rounded twice, are off by this share at most.
+        self.off = (n + 3) * 2.0**-23
+
+    def search_all(self, starts: list[int], terms: np.ndarray, weights: np.ndarray, k: int, floors: list[float]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As ``search`` for many queries, the terms of query q from ``starts[q]`` to ``starts[q + 1]``: q, ids and scores, where there are any."""
+        if not len(self.terms) or not len(terms):
+            return
+        self._dense()
+        place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        hits = np.flatnonzero(self.terms[place] == terms)
+        cuts = np.searchsorted(hits, starts)
+        some = max(1, PRODUCT_SIZE // len(self.ids))
+        n = len(self.by_doc)
+        doc_blocks = np.arange(len(self.ids)) // BLOCK
+        for first in range(0, len(floors), some):
+            last = min(len(floors), first + some)
+            own = hits[cuts[first] : cuts[last]]
+            column = self.column[place[own]]
+            of = np.repeat(np.arange(last - first), np.diff(cuts[first : last + 1]))
+            asked = np.zeros((last - first, n), np.float32)
+            asked[of[column >= 0], column[column >= 0]] = weights[own[column >= 0]]
+            by_doc, by_block = (asked @ self.by_doc).astype(np.float64), asked @ self.by_block
+            for q in range(first, last):
+                mine = hits[cuts[q] : cuts[q + 1]]
+                if not len(mine):
+                    continue
+                least = floors[q] - MARGIN
+                rare = mine[self.column[place[mine]] < 0]
+                entries, sizes = self._gather(self.block_offsets, place[rare])
+                by_entry = np.repeat(weights[rare], sizes)
+                blocks = self.block_of[entries]
+                bounds = np.bincount(blocks, self.block_most[entries] * by_entry, self.blocks) + by_block[q - first] * (1 + self.off)
+                pivots = bounds >= least
+                if not pivots.any():
+                    continue
+                whole = pivots.all()
+                if not whole:
+                    inside = pivots[blocks]
+                    entries, by_entry = entries[inside], by_entry[inside]
+                dense = by_doc[q - first]
+                most = self._decode(entries, by_entry) + dense * (1 + self.off)
+                docs = np.flatnonzero((most >= least) & (most > 0))
+                docs = docs if whole else docs[pivots[doc_blocks[docs]]]
+                if len(docs) > k:  # the k-th best so far may say more
+                    at_least = most[docs] - 2 * self.off * dense[docs]
+                    docs = docs[most[docs] >= np.partition(at_least, -k)[-k] - MARGIN]
+                if not len(docs):
+                    continue
+                total = np.round(self._full(docs, place[mine], weights[mine]), DECIMALS)
+                keep = total > 0
+                if len(docs) > k:
+                    keep &= total >= np.partition(total, -k)[-k]
+                docs, total = docs[keep], total[keep]
+                best = np.lexsort((self.ids[docs], -total))[:k]
+                if len(best):
+                    yield q, self.ids[docs[best]], total[best]
+
 
 def _query_rows(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     frame = queries.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).where("id is not null and body is not null")
@@ -234,12 +310,10 @@ def _search_wave(index: DataFrame, shards: int, held, mean_length: float, k: int
         for batch in batches:
             for n in range(batch.num_rows):
                 shard = Shard(batch.slice(n, 1).to_pylist()[0], mean_length)
-                for q, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-                    docs, scores = shard.search(terms[a:b], weights[a:b], k, least[q])
-                    if len(docs):
-                        own = best[q] = sorted([*best[q], *zip((-scores).tolist(), docs.tolist(), strict=True)])[:k]
-                        if len(own) == k:
-                            least[q] = max(least[q], -own[-1][0])
+                for q, docs, scores in shard.search_all(starts, terms, weights, k, least):
+                    own = best[q] = sorted([*best[q], *zip((-scores).tolist(), docs.tolist(), strict=True)])[:k]
+                    if len(own) == k:
+                        least[q] = max(least[q], -own[-1][0])
         rows = [(i, doc, -score) for i, own, floor in zip(ids, best, least, strict=True) for score, doc in own if -score >= floor]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])

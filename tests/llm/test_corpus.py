@@ -128,6 +128,37 @@ def test_pruning_is_used():
     assert with_floor[1] < 0.5 * with_floor[0]
 
 
+@pytest.mark.parametrize("dense", [1, 40, 256])
+def test_many_queries_at_once(monkeypatch, dense):
+    """Results are those of one query at a time, with any threshold; the lists of frequent terms aren't decoded for each."""
+    monkeypatch.setattr(search, "DENSE_TERMS", dense)
+    monkeypatch.setattr(search, "PRODUCT_SIZE", 7 * 2000)
+    rng = np.random.default_rng(2)
+    found = [search.terms_of(" ".join(f"t{int(x)}" for x in np.minimum(rng.zipf(1.3, 40), 3000))) for _ in range(2000)]
+    lengths = np.array([c.sum() for _, c in found])
+    term, count, doc = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]), np.repeat(np.arange(2000), [len(t) for t, _ in found])
+    order = np.argsort(term, kind="stable")
+    first = np.flatnonzero(np.diff(term[order], prepend=term[order][0] ^ np.uint64(1)))
+    row = {"ids": np.arange(2000).tobytes(), "lengths": lengths.tobytes(), "terms": term[order][first].tobytes(), "offsets": np.append(first, len(term)).tobytes(), "posting_docs": doc[order].astype(np.uint16).tobytes(), "posting_counts": count[order].astype(np.uint32).tobytes()}
+    shard = search.Shard(row, lengths.mean())
+    idf = np.log1p((2000 - np.diff(shard.offsets) + 0.5) / (np.diff(shard.offsets) + 0.5))
+    asked = [*[t for t, _ in found[:60]], found[0][0] ^ np.uint64(5)]  # the last one has terms that the shard hasn't
+    weights = [idf[np.minimum(np.searchsorted(shard.terms, t), len(idf) - 1)] for t in asked]
+    one = [shard.search(t, w, 10) for t, w in zip(asked, weights, strict=True)]
+    decoded = []
+    for floors in ([0.0] * 61, [float(s[n % 10]) if len(s) else 1.0 for n, (_, s) in enumerate(one)]):
+        before = shard.decoded
+        single = [shard.search(t, w, 10, f) for t, w, f in zip(asked, weights, floors, strict=True)]
+        middle = shard.decoded
+        got = {q: (i, s) for q, i, s in shard.search_all(np.cumsum([0, *map(len, asked)]).tolist(), np.concatenate(asked), np.concatenate(weights), 10, floors)}
+        decoded.append((middle - before, shard.decoded - middle))
+        for q, (ids, scores) in enumerate(single):
+            mine = got.get(q, (np.zeros(0, np.int64), np.zeros(0)))
+            reached = lambda i, s, f=floors[q]: [(int(x), round(float(y), 6)) for x, y in zip(i, s, strict=True) if y >= f]
+            assert reached(*mine) == reached(ids, scores)
+    assert not len(one[60][0]) and (dense < 256 or all(y < x / 2 for x, y in decoded))
+
+
 def test_blocks_are_skipped():
     """Documents of two kinds that share some terms: the blocks of the other kind are no pivots."""
     kinds = [" ".join(["all"] * (n % 3 + 1) + [f"{'ab'[n >= 640]}{n % 40 + i}" for i in range(12)]) for n in range(1280)]
